@@ -1,6 +1,4 @@
-"""Explicit schemas. Logs are never read with an inferred schema."""
-from pyspark.sql import types as T
-
+"""Explicit schemas as DDL. Logs are never read with an inferred schema."""
 # The feature contract. Names and order belong to a fitted model.
 FEATURE_NAMES = [
     "body_log_size", "body_entropy", "body_special_ratio", "body_digit_ratio",
@@ -16,14 +14,14 @@ FEATURE_NAMES = [
 
 BASE_SCORES = ["rate", "isolation_forest", "autoencoder"]
 
-REQUEST = T.StructType.fromDDL("""
+REQUEST = ("""
     event_id BIGINT, client STRING, ts TIMESTAMP,
     method STRING, path STRING, query STRING, body STRING, body_size BIGINT,
     template STRING, content_type STRING, user_agent STRING, header_count INT,
     has_referer BOOLEAN, has_auth BOOLEAN, status INT, latency_ms DOUBLE, label STRING
 """)
 
-EVENT_LOG = T.StructType.fromDDL("""
+EVENT_LOG = ("""
     ts DOUBLE, client STRING, method STRING, template STRING, path_len INT,
     body_size BIGINT, status INT, window_count INT, burst_count INT,
     latency_ms DOUBLE, detect_ms DOUBLE, action STRING, enforced BOOLEAN,
@@ -32,11 +30,11 @@ EVENT_LOG = T.StructType.fromDDL("""
     features MAP<STRING, DOUBLE>, label STRING
 """)
 
-ENDPOINT_BASELINE = T.StructType.fromDDL(
+ENDPOINT_BASELINE = (
     "template STRING, body_mean DOUBLE, body_std DOUBLE, count BIGINT")
-RATE_BASELINE = T.StructType.fromDDL("mean DOUBLE, std DOUBLE, n_samples BIGINT")
+RATE_BASELINE = ("mean DOUBLE, std DOUBLE, n_samples BIGINT")
 
-DECISION = T.StructType.fromDDL("""
+DECISION = ("""
     version INT, trained_at STRING, seed INT, feature_names ARRAY<STRING>,
     threshold DOUBLE, if_lo DOUBLE, if_hi DOUBLE, ae_lo DOUBLE, ae_hi DOUBLE,
     meta_inputs ARRAY<STRING>, pool_sizes MAP<STRING, BIGINT>,
@@ -46,14 +44,14 @@ DECISION = T.StructType.fromDDL("""
     calibration_target_fpr DOUBLE, calibration_observed_fpr DOUBLE
 """)
 
-SCALER = T.StructType.fromDDL("feature STRING, mean DOUBLE, scale DOUBLE")
-FOREST_NODES = T.StructType.fromDDL(
+SCALER = ("feature STRING, mean DOUBLE, scale DOUBLE")
+FOREST_NODES = (
     "tree INT, node INT, feature INT, threshold DOUBLE, left INT, right INT, size INT")
-FOREST_META = T.StructType.fromDDL("trees INT, sample_size INT")
-AE_WEIGHTS = T.StructType.fromDDL("layer INT, row INT, col INT, value DOUBLE")
-META_WEIGHTS = T.StructType.fromDDL("name STRING, value DOUBLE")
+FOREST_META = ("trees INT, sample_size INT")
+AE_WEIGHTS = ("layer INT, row INT, col INT, value DOUBLE")
+META_WEIGHTS = ("name STRING, value DOUBLE")
 
-SEED_RUNS = T.StructType.fromDDL("""
+SEED_RUNS = ("""
     seed INT, f1 DOUBLE, recall DOUBLE, precision DOUBLE, fpr DOUBLE,
     roc_auc DOUBLE, pr_auc DOUBLE, zero_day_recall DOUBLE
 """)
