@@ -41,7 +41,8 @@ DECISION = ("""
     novel_families ARRAY<STRING>, test_metrics MAP<STRING, DOUBLE>,
     test_roc_auc DOUBLE, test_pr_auc DOUBLE, zero_day_recall DOUBLE,
     unique_feature_ratio DOUBLE, calibrated_at STRING, calibration_samples BIGINT,
-    calibration_target_fpr DOUBLE, calibration_observed_fpr DOUBLE
+    calibration_target_fpr DOUBLE, calibration_observed_fpr DOUBLE,
+    model_version STRING
 """)
 
 SCALER = ("feature STRING, mean DOUBLE, scale DOUBLE")
