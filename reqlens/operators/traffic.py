@@ -15,15 +15,19 @@ def _ones(condition):
 def traffic_stats(df: DataFrame) -> DataFrame:
     """(layer, n): enforced blocks per layer, and rows 'total', 'allowed' and
     'blocked', from one aggregation."""
-    group = F.when(F.col("enforced"), F.coalesce("layer", F.lit(""))).otherwise("allowed")
-    hits = df.groupBy(F.coalesce("enforced", F.lit(False)).alias("hit"), group.alias("layer")).agg(
+    layer = F.coalesce("layer", F.lit(""))
+    hit = F.coalesce("enforced", F.lit(False))
+    counts = df.groupBy(hit.alias("hit"), F.when(hit, layer).alias("layer")).agg(
         F.count(F.lit(1)).alias("n"))
-    kinds = F.explode(F.when(F.col("hit"), F.array(
-        F.struct(F.lit("layer").alias("kind"), F.col("layer").alias("name")),
-        F.struct(F.lit("stat"), F.lit("blocked")), F.struct(F.lit("stat"), F.lit("total")))
-    ).otherwise(F.array(F.struct(F.lit("stat").alias("kind"), F.lit("allowed").alias("name")),
-                        F.struct(F.lit("stat"), F.lit("total")))))
-    return hits.select(kinds.alias("k"), "n").groupBy("k.kind", "k.name").agg(
+
+    def row(kind, name):
+        return F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+
+    shown = F.array_compact(F.array(
+        row("stat", F.lit("total")),
+        row("stat", F.when(F.col("hit"), "blocked").otherwise("allowed")),
+        F.when(F.col("hit"), row("layer", F.col("layer")))))
+    return counts.select(F.explode(shown).alias("k"), "n").groupBy("k.kind", "k.name").agg(
         F.sum("n").alias("n"))
 
 
@@ -57,12 +61,14 @@ def latency_summary(df: DataFrame, columns=("detect_ms", "latency_ms")) -> DataF
     """describe() with 50/95/99 %: one row per column, exact percentiles."""
     out = None
     for column in columns:
-        spread = percentiles(df, column, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+        names = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+        # One subquery for all three, not one each.
+        spread = percentiles(df, column, names).select(F.struct(*names)).scalar()
         row = df.agg(
             F.lit(column).alias("column"), F.count(column).alias("count"),
             F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"),
             F.min(column).alias("min"), F.max(column).alias("max"),
-            *[F.max(spread.select(p).scalar()).alias(p) for p in ("p50", "p95", "p99")])
+            F.max(spread).alias("p")).select("*", "p.*").drop("p")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -92,15 +98,17 @@ def traffic_series(df: DataFrame, time: str = "time", seconds: int = 5) -> DataF
     bins = df.groupBy(F.window(time, width).start.alias("bin")).agg(
         _ones(F.col("action") == "allow").alias("allowed"),
         _ones(F.col("action") == "block").alias("blocked"))
-    edge = df.agg(F.window(F.min(time), width).start.alias("first"),
-                  F.window(F.max(time), width).start.alias("last"))
+    first, last = (F.floor(F.unix_seconds(edge) / seconds) * seconds
+                   for edge in (F.min(time), F.max(time)))
+    edges = df.agg(first.alias("first"), last.alias("last"))
     step = seconds * 720
-    starts = F.sequence(F.unix_seconds("first"), F.unix_seconds("last"), F.lit(step))
+    starts = F.sequence("first", "last", F.lit(step).cast("bigint"))
     inner = F.sequence(F.col("at"), F.least(F.col("at") + (step - seconds), F.col("stop")),
                        F.lit(seconds).cast("bigint"))
-    spine = (edge.filter(F.col("first").isNotNull())
-             .select(F.explode(starts).alias("at"), F.unix_seconds("last").alias("stop"))
-             .repartition("at").select(F.timestamp_seconds(F.explode(inner)).alias("bin")))
+    spine = (edges.filter(F.col("first").isNotNull())
+             .select(F.explode(starts).alias("at"), F.col("last").alias("stop"))
+             .repartition("at").select(F.explode(inner).alias("s"))
+             .select(F.timestamp_seconds("s").alias("bin")))
     return spine.join(bins, "bin", "left").fillna(0, ["allowed", "blocked"])
 
 
