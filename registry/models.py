@@ -15,6 +15,7 @@ from reqlens.operators import decide, eventlog
 from reqlens.operators import baseline as bl
 from reqlens.plans import train
 from reqlens.schemas import FEATURE_NAMES
+from reqlens.session import cut
 
 _AVERAGES = ", ".join(f"avg(e[{i + 1}]) AS m{i}, stddev_pop(e[{i + 1}]) AS s{i}" for i in range(64))
 _UNROLLED = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
@@ -145,7 +146,7 @@ def enforcement_modes(spark, sf):
 
 def _small_models(spark, sf):
     """Detectors fitted on all normal event requests, with few trees and rounds."""
-    df = featured(spark, sf)
+    df = cut(featured(spark, sf))
     base = df.filter("y = 0")
     params = scaler.parameters(scaler.fit_scaler(base, FEATURE_NAMES), FEATURE_NAMES)
     vector = scaler.scaled_vector(params)
@@ -199,7 +200,10 @@ def training_log(spark, sf):
     """Event log with all features and labels, for the training plans."""
     df = featured(spark, sf).join(event_log(spark, sf).select(
         "event_id", "label", "rule_hits", "layer", "window_count", "burst_count"), "event_id")
-    return df.withColumn("features", scalars.feature_map(FEATURE_NAMES))
+    # A log is stored; without the cut every feature would be derived per use.
+    return cut(df.select("client", "template", "body_size", "label", "rule_hits", "layer",
+                         "window_count", "burst_count",
+                         scalars.feature_map(FEATURE_NAMES).alias("features")))
 
 
 @query("train_report")

@@ -1,7 +1,7 @@
 """Streams replayed from the event table to completion."""
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -19,7 +19,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def _events(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     path = f"{sf}/events.parquet"
-    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # As a pattern, since the source takes a plain path for a directory.
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -39,12 +40,7 @@ def _log(spark, sf):
 def _drain(df, mode="append"):
     """Runs the stream over all available input into a table in a fresh folder."""
     spark = df.sparkSession
-    root = checkpoint_root(spark)
-    if "://" not in root and not root.startswith("file:"):
-        root = tempfile.mkdtemp(prefix="replay-", dir=root)
-    else:
-        import uuid
-        root = f"{root}/replay-{uuid.uuid4().hex}"
+    root = f"{checkpoint_root(spark)}/replay-{uuid.uuid4().hex}"
     if mode == "append":
         writer = df.writeStream.format("parquet").option("path", f"{root}/out")
     else:

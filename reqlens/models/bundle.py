@@ -44,51 +44,44 @@ def raw_scores(df: DataFrame, scaler, forest: Forest, network: Network,
                when: Column | None = None) -> DataFrame:
     """Adds if_raw, ae_raw and error from the feature columns, in one crossing.
 
-    Rows outside `when` are NULL vectors and skip the models. A batch that fails
-    is retried row by row, so only failing rows carry the error's name; values
-    that are not finite count as a ValueError.
+    Rows outside `when` are NULL vectors and skip the models. Rows with values
+    that are not finite count as a ValueError. A batch that fails otherwise is
+    halved until the failing rows stand alone, and only those carry an error.
     """
     shared = df.sparkSession.sparkContext.broadcast((forest, network))
     mean = np.array([m for m, _ in scaler.values()])
     scale = np.array([s for _, s in scaler.values()])
 
-    def evaluate(X):
+    def evaluate(X, raw, names):
         trees, net = shared.value
-        # Models see the float32 vector that the feature contract promises.
-        X = (X.astype(np.float32).astype(np.float64) - mean) / scale
-        return trees.score(X), net.errors(X)
-
-    def one(row):
         try:
-            X = np.array(list(row), dtype=float)[None, :]
-            if not np.isfinite(X).all():
-                raise ValueError("feature is not finite")
-            i, a = evaluate(X)
-            return float(i[0]), float(a[0]), None
+            # Models see the float32 vector that the feature contract promises.
+            scaled = (X.astype(np.float32).astype(np.float64) - mean) / scale
+            raw[:, 0], raw[:, 1] = trees.score(scaled), net.errors(scaled)
         except Exception as e:
-            return None, None, type(e).__name__
+            if len(X) == 1:
+                names[0] = type(e).__name__
+                return
+            half = len(X) // 2
+            evaluate(X[:half], raw[:half], names[:half])
+            evaluate(X[half:], raw[half:], names[half:])
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            out = pd.DataFrame({"if_raw": np.nan, "ae_raw": np.nan, "error": None}, index=x.index)
-            out = out.astype({"if_raw": "object", "ae_raw": "object", "error": "object"})
-            out[:] = None
-            live = x.notna().to_numpy()
-            if live.any():
-                try:
-                    X = np.stack(x[live].to_numpy()).astype(float)
-                    if not np.isfinite(X).all():
-                        raise ValueError
-                    i, a = evaluate(X)
-                    out.loc[live, "if_raw"] = i
-                    out.loc[live, "ae_raw"] = a
-                except Exception:
-                    rows = [one(v) for v in x[live]]
-                    for at, name in enumerate(("if_raw", "ae_raw", "error")):
-                        out.loc[live, name] = [r[at] for r in rows]
-            out["if_raw"] = out["if_raw"].astype("Float64")
-            out["ae_raw"] = out["ae_raw"].astype("Float64")
-            yield out
+            raw = np.full((len(x), 2), np.nan)
+            names = np.full(len(x), None, dtype=object)
+            live = np.flatnonzero(x.notna().to_numpy())
+            if len(live):
+                X = np.stack(x.iloc[live].to_numpy()).astype(float)
+                finite = np.isfinite(X).all(axis=1)
+                names[live[~finite]] = "ValueError"
+                if finite.any():
+                    got, failed = raw[live[finite]], names[live[finite]]
+                    evaluate(X[finite], got, failed)
+                    raw[live[finite]], names[live[finite]] = got, failed
+            yield pd.DataFrame({
+                "if_raw": pd.array(raw[:, 0], dtype="Float64"),
+                "ae_raw": pd.array(raw[:, 1], dtype="Float64"), "error": names})
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     udf = F.pandas_udf(score, "if_raw double, ae_raw double, error string")
