@@ -48,16 +48,14 @@ def raw_scores(df: DataFrame, scaler, forest: Forest, network: Network,
     that are not finite count as a ValueError. A batch that fails otherwise is
     halved until the failing rows stand alone, and only those carry an error.
     """
-    shared = df.sparkSession.sparkContext.broadcast((forest, network))
     mean = np.array([m for m, _ in scaler.values()])
     scale = np.array([s for _, s in scaler.values()])
 
     def evaluate(X, raw, names):
-        trees, net = shared.value
         try:
             # Models see the float32 vector that the feature contract promises.
             scaled = (X.astype(np.float32).astype(np.float64) - mean) / scale
-            raw[:, 0], raw[:, 1] = trees.score(scaled), net.errors(scaled)
+            raw[:, 0], raw[:, 1] = forest.score(scaled), network.errors(scaled)
         except Exception as e:
             if len(X) == 1:
                 names[0] = type(e).__name__

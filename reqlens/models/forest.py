@@ -140,13 +140,11 @@ def load_forest(nodes: DataFrame, sample: int) -> Forest:
 
 
 def score_forest(df: DataFrame, vector: Column, forest: Forest, out: str = "if_raw") -> DataFrame:
-    """Adds the raw anomaly score; higher is more anomalous."""
-    shared = df.sparkSession.sparkContext.broadcast(forest)
-
+    """Adds the raw anomaly score; higher is more anomalous. The node arrays travel
+    with the function, which Spark ships as a broadcast when it is large."""
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = shared.value
         for x in batches:
-            yield pd.Series(model.score(np.stack(x.to_numpy())) if len(x) else [], dtype="float64")
+            yield pd.Series(forest.score(np.stack(x.to_numpy())) if len(x) else [], dtype="float64")
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return df.withColumn(out, F.pandas_udf(score, "double")(vector))

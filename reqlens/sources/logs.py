@@ -9,12 +9,17 @@ from reqlens.session import checkpoint_root
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-lines log. Blank lines vanish and malformed ones are dropped; bytes
-    that are not UTF-8 are replaced. The schema is given, never inferred."""
-    rows = (spark.read.schema(EVENT_LOG + ", _corrupt STRING")
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-            .option("encoding", "UTF-8").option("lineSep", "\n").json(path))
-    return rows.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+    """JSON-lines log. Blank lines vanish, malformed ones are dropped and bytes
+    that are not UTF-8 are ignored. The schema is given, never inferred."""
+    line = F.col("value")
+    # The JSON source would reject a whole record for one bad byte.
+    repaired = F.when(F.is_valid_utf8(line), line).otherwise(
+        F.replace(F.make_valid_utf8(line), F.lit("\ufffd"), F.lit("")))
+    record = F.from_json(repaired, EVENT_LOG + ", _corrupt STRING",
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = spark.read.text(path).filter(F.trim(line) != "").select(record.alias("r"))
+    return rows.filter(F.col("r").isNotNull() & F.col("r._corrupt").isNull()).select(
+        "r.*").drop("_corrupt")
 
 
 def read_event_table(spark: SparkSession, path: str) -> DataFrame:
