@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reqlens.config import DEFAULTS
 from reqlens.functions import scalars
 from reqlens.operators import eventlog
+from reqlens.session import spread
 
 # Events are sparse, so windows of a day and six hours stand in for a minute
 # and five seconds.
@@ -19,7 +20,9 @@ DAY = DEFAULTS.but(window_seconds=86_400, window_limit=8, burst_seconds=21_600,
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    # One small file would keep all but one core idle.
+    return spread(df) if name in ("events", "documents", "pages") else df
 
 
 # ── requests from events ─────────────────────────────────────────────────────

@@ -11,11 +11,14 @@ import re
 import unicodedata
 from urllib.parse import unquote_plus
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DECODE_ROUNDS = 4
+# Longest string whose entropy is worth computing without leaving the JVM.
+SHORT = 128
 # Stripped from canonical text. Tab, newline and carriage return stay and are
 # then folded into single spaces.
 CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
@@ -222,10 +225,22 @@ def nonascii_ratio(text) -> Column:
     return class_ratio(text, NON_ASCII)
 
 
-def shannon_entropy(text) -> Column:
-    """Bits per character. Counts each distinct character by deleting it, so the
-    cost is distinct characters times length and no row is ever exploded."""
-    text = _text(text)
+def _bits(s: str) -> float:
+    points = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    counts = np.bincount(points)
+    share = counts[counts > 0] / len(points)
+    return float(-(share * np.log2(share)).sum())
+
+
+def entropy_udf():
+    def bits(values: pd.Series) -> pd.Series:
+        return pd.Series([None if not v else _bits(v) for v in values], dtype="float64")
+    return F.pandas_udf(bits, "double")
+
+
+def _entropy_inline(text: Column) -> Column:
+    """Counts each distinct character by deleting it: distinct characters times
+    length, so right for short strings only."""
     n = F.length(text).cast("double")
     chars = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
 
@@ -233,7 +248,17 @@ def shannon_entropy(text) -> Column:
         share = (n - F.length(F.replace(text, c, F.lit("")))) / n
         return acc - share * F.log2(share)
 
-    return F.when(F.length(text) == 0, 0.0).otherwise(F.aggregate(chars, F.lit(0.0), add))
+    return F.aggregate(chars, F.lit(0.0), add)
+
+
+def shannon_entropy(text, short: int = SHORT) -> Column:
+    """Bits per character. Short strings stay in the JVM; long ones are counted
+    in Arrow batches, in time linear in their length."""
+    text = _text(text)
+    long = F.length(text) > short
+    return (F.when(F.length(text) == 0, 0.0)
+            .when(long, entropy_udf()(F.when(long, text)))
+            .otherwise(_entropy_inline(F.when(~long, text))))
 
 
 def length_of(text) -> Column:

@@ -1,7 +1,7 @@
 """Per-client rate state for streams: one stateful operator, one shuffle on client.
 
-The state is what the batch operators derive from the log: recent timestamps,
-the templates of the running session and the time of the last request.
+The state is what the batch operators derive from the log: recent timestamps
+and the templates of the running session.
 """
 from __future__ import annotations
 
@@ -35,36 +35,30 @@ class RateState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.stamps = handle.getListState("stamps", "us bigint", self.idle_ms)
-        self.templates = handle.getMapState("templates", "template string", "seen bigint",
-                                            self.idle_ms)
-        self.last = handle.getValueState("last", "us bigint", self.idle_ms)
-
-    def _forget(self) -> None:
-        self.stamps.clear()
-        self.templates.clear()
-        self.last.clear()
+        self.templates = handle.getListState("templates", "template string", self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
         batch = batch.sort_values(["us", "event_id"], kind="stable", ignore_index=True)
         stamps = sorted(r[0] for r in self.stamps.get())
-        last = self.last.get()[0] if self.last.exists() else None
-        changed = {"window_count": [], "burst_count": [], "window_distinct": [], "late": []}
-        known = {r[0] for r in self.templates.keys()}
-        fresh = set()
+        # The newest timestamp is never pruned, so it is the last request's.
+        last = stamps[-1] if stamps else None
+        known = {r[0] for r in self.templates.get()}
+        # State is written once per batch and client: what is new, or all of it
+        # where a session ended or a reset came in between.
+        fresh, replaced = set(), False
+        counts = {"window_count": [], "burst_count": [], "window_distinct": [], "late": []}
 
         for us, template, kind in zip(batch["us"], batch["template"], batch["kind"]):
             if kind == RESET:
-                self._forget()
-                stamps, known, fresh, last = [], set(), set(), None
-                for values in changed.values():
+                stamps, known, fresh, last, replaced = [], set(), set(), None, True
+                for values in counts.values():
                     values.append(0)
                 continue
             us = int(us)
             late = last is not None and us < last - self.lateness_us
             if last is not None and us - last >= self.gap_us:
-                self.templates.clear()
-                known, fresh = set(), set()
+                known, fresh, replaced = set(), set(), True
             last = us if last is None else max(last, us)
             bisect.insort(stamps, us)
             del stamps[:bisect.bisect_right(stamps, last - self.window_us - self.lateness_us)]
@@ -72,17 +66,20 @@ class RateState(StatefulProcessor):
                 known.add(template)
                 fresh.add(template)
             upto = bisect.bisect_right(stamps, us)
-            changed["window_count"].append(upto - bisect.bisect_right(stamps, us - self.window_us))
-            changed["burst_count"].append(upto - bisect.bisect_right(stamps, us - self.burst_us))
-            changed["window_distinct"].append(len(known))
-            changed["late"].append(int(late))
+            counts["window_count"].append(upto - bisect.bisect_right(stamps, us - self.window_us))
+            counts["burst_count"].append(upto - bisect.bisect_right(stamps, us - self.burst_us))
+            counts["window_distinct"].append(len(known))
+            counts["late"].append(int(late))
 
-        if last is not None:
+        if stamps:
             self.stamps.put([(s,) for s in stamps])
-            for template in fresh:
-                self.templates.updateValue((template,), (last,))
-            self.last.update((last,))
-        out = batch.assign(**changed)
+        else:
+            self.stamps.clear()
+        if replaced:
+            self.templates.clear()
+        if fresh:
+            self.templates.appendList([(t,) for t in fresh])
+        out = batch.assign(**counts)
         out = out[out["kind"] != RESET]
         yield out[["packed", "window_count", "burst_count", "window_distinct", "late"]].astype(
             {"window_count": "int64", "burst_count": "int64", "window_distinct": "int64",
