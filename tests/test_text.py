@@ -109,3 +109,11 @@ def test_client_chain(spark):
     df = spark.createDataFrame(rows, "peer string, xff string")
     got = [tuple(r) for r in df.select(*[scalars.client_id("peer", "xff", h) for h in (0, 1, 2, 9)]).collect()]
     assert got == [("p",) * 4, ("p",) * 4, ("p", "a", "a", "a"), ("p", "c", "b", "a")]
+
+
+def test_sql_names(spark):
+    from reqlens.functions.register import register
+    register(spark)
+    r = spark.sql("SELECT payload_canonical('A%2BB  c'), payload_normalize('&lt;X'), "
+                  "payload_decode('%2541'), text_entropy('abab')").first()
+    assert list(r) == ["a b c", "<X", "A", 1.0]
