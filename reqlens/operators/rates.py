@@ -25,13 +25,18 @@ KEYS = ("_client", "_us", "_chunk")
 
 
 def _keyed(df: DataFrame, client: str, ts: str, arrival: str) -> DataFrame:
+    # Join keys are never NULL, so no request is lost: one without a client counts
+    # as "unknown", one without a time as the epoch.
+    place = F.coalesce(F.col(arrival).cast("bigint"), F.lit(-1))
     return df.withColumns({
-        "_client": F.col(client), "_us": F.unix_micros(ts), "_arrival": F.col(arrival),
-        "_chunk": F.floor(F.col(arrival) / CHUNK).cast("bigint")})
+        "_client": F.coalesce(F.col(client), F.lit("unknown")),
+        "_us": F.coalesce(F.unix_micros(ts), F.lit(0)), "_arrival": place,
+        "_chunk": F.floor(place / CHUNK).cast("bigint")})
 
 
 def _grains(rows: DataFrame, template: str) -> DataFrame:
-    return rows.groupBy(*KEYS, F.col(template).alias("_template")).agg(
+    name = F.coalesce(F.col(template), F.lit("/")).alias("_template")
+    return rows.groupBy(*KEYS, name).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_arrival").alias("_first"))
 
 

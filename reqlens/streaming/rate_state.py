@@ -108,8 +108,10 @@ def stream_rate_state(requests: DataFrame, settings: Settings = DEFAULTS,
     columns = [c for c in requests.columns if c != "kind"]
     schema = requests.select(*columns).schema
     packed = requests.select(
-        F.col("client").alias("_key"), F.unix_micros("ts").alias("us"), "event_id",
-        F.col("template"), kind.alias("kind"),
+        F.coalesce("client", F.lit("unknown")).alias("_key"),
+        F.coalesce(F.unix_micros("ts"), F.lit(0)).alias("us"),
+        F.coalesce("event_id", F.lit(-1)).alias("event_id"),
+        F.coalesce("template", F.lit("/")).alias("template"), kind.alias("kind"),
         F.to_json(F.struct(*columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
                                        "ignoreNullFields": "false"}).alias("packed"))
     out = packed.groupBy("_key").transformWithStateInPandas(

@@ -105,3 +105,11 @@ def test_hot_client_and_instant(spark):
 def test_missing_counters_degrade(spark):
     r = rates.without_counters(spark.range(1)).first()
     assert (r.window_count, r.rate_limited, r.rate_degraded) == (0, False, True)
+
+
+def test_requests_without_client_or_time_are_kept(spark):
+    df = frame(spark, [("a", 0, "/x", 1), ("a", 5, "/y", 2)]).unionByName(spark.sql(
+        "SELECT string(null) AS client, timestamp(null) AS ts, string(null) AS template, id AS event_id "
+        "FROM range(3, 6)"))
+    got = {r.event_id: (r.window_count, r.window_distinct) for r in rates.rate_state(df).collect()}
+    assert got == {1: (1, 1), 2: (2, 2), 3: (1, 1), 4: (2, 1), 5: (3, 1)}
