@@ -21,8 +21,8 @@ DAY = DEFAULTS.but(window_seconds=86_400, window_limit=8, burst_seconds=21_600,
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    # One small file would keep all but one core idle.
-    return spread(df) if name in ("events", "documents", "pages") else df
+    # Long texts in one small file would keep all but one core idle.
+    return spread(df) if name in ("documents", "pages") else df
 
 
 # ── requests from events ─────────────────────────────────────────────────────
