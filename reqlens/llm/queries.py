@@ -46,6 +46,32 @@ def op4_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reqlens.llm.quality import quality
-    return quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
+    return quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept")
+
+
+@query
+def op7_toxic_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reqlens.llm.toxicity import held_out, score, train, training_rows, Toxicity
+    docs = table(spark, sf_dir, "documents")
+    model = train(training_rows(docs, table(spark, sf_dir, "labels"), Toxicity()))
+    scored = score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_spans", "spans")
+
+
+@query
+def op8_pii_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reqlens.llm.pii import Pii, find_pii, labelled_table, train
+    docs = table(spark, sf_dir, "documents")
+    found = find_pii(docs, train(labelled_table(docs, Pii())))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op9_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reqlens.llm.neardup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept")
