@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reqlens.llm.linededup import repeated_runs
+    spans = F.array_join(F.transform("deleted", lambda s: F.concat_ws(
+        ":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return repeated_runs(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "deleted_lines", "deleted_words", spans.alias("deleted"))
+
+
 @query
 def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reqlens.llm.secrets import KINDS, listed, scan_secrets
@@ -51,6 +60,12 @@ def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+@query
+def op6_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reqlens.llm.tokencounts import count_tokens
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_toxic_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reqlens.llm.toxicity import held_out, score, train, training_rows, Toxicity
@@ -75,3 +90,9 @@ def op9_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reqlens.llm.neardup import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reqlens.llm.tokenbinary import token_shards
+    return token_shards(table(spark, sf_dir, "documents"))
