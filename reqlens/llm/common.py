@@ -34,6 +34,20 @@ def row_key(column: str = "text") -> Column:
     return F.xxhash64(F.col(column).isNull(), text_of(column))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs, whatever their names), doc_id and key."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id",
+                       row_key().alias("key"))
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """docs without the rows of the (doc_id, key) pairs of bad. Columns stay as they are."""
+    bad = bad.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    rows = packed(docs)
+    return rows.join(bad, rows["doc_id"].eqNullSafe(bad["_id"]) & (rows["key"] == bad["_key"]),
+                     "left_anti").select("row.*")
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
@@ -42,15 +56,6 @@ def n_words(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
-def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    """Equality of the named columns, nulls included."""
-    out = None
-    for name in names:
-        one = left[name].eqNullSafe(right[name])
-        out = one if out is None else out & one
-    return out
-
-
 def prefix_sums(xs: Column, chunk: int = 256) -> Column:
     """Inclusive running sums of an array of long, in chunks so that long arrays
     aren't copied once per element."""

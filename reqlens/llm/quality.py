@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import let, text_of, words_of
+from reqlens.llm.common import let, row_key, stored, text_of, without, words_of
 
 # Frequent function words of each language.
 COMMON_WORDS = {
@@ -22,9 +22,11 @@ COMMON_WORDS = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o".split(),
 }
 VOCABULARY = sorted({w for words in COMMON_WORDS.values() for w in words})
-# Character classes; what is in none of them is the last class.
-CLASSES = {"lower": "a-z", "upper": "A-Z", "beyond": r"\x{80}-\x{10FFFF}", "digit": "0-9",
-           "space": r"\x20\x09-\x0D", "mark": r".,;:!?'\"()\-"}
+# Character classes besides white space, characters beyond ASCII and
+# symbols (all other ASCII characters but lower-case letters, which are the rest).
+COUNTED = {"upper": "A-Z", "digit": "0-9", "mark": r".,;:!?'\"()\-"}
+SYMBOL = r"[^a-zA-Z0-9.,;:!?'\"()\-\x20\x09-\x0D\x{80}-\x{10FFFF}]"
+N_CLASSES = len(COUNTED) + 4
 SCALE = 1_000_000
 
 
@@ -60,11 +62,13 @@ def repeated_words(words: Column, window: int = 8) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(
             covered(let(ranked, twice)))
 
-    hashes = F.when(F.size(words) >= window, F.transform(
-        F.sequence(F.lit(1), F.size(words) - window + 1),
-        lambda i: F.xxhash64(F.slice(words, i, F.lit(window))))).otherwise(
-        F.array().cast("array<bigint>"))
-    return let(hashes, of).cast("long")
+    def windows(one: Column) -> Column:
+        return F.when(F.size(one) >= window, F.transform(
+            F.sequence(F.lit(1), F.size(one) - window + 1),
+            lambda i: F.xxhash64(F.slice(one, i, F.lit(window))))).otherwise(
+            F.array().cast("array<bigint>"))
+    each = F.transform(words, lambda w: F.xxhash64(w))
+    return let(let(each, windows), of).cast("long")
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -72,54 +76,67 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long")
 
 
-def _histograms(df: DataFrame) -> DataFrame:
-    """Adds _chars and _common, arrays of counts, to a table with _text and _words."""
-    known = [F.length(F.regexp_replace("_text", f"[^{members}]++", "")).cast("long")
-             for members in CLASSES.values()]
+def features(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, key, lang, n_chars, the counts of `quality`, and
+    chars and common, the counts of each class and each common word. One pass over the
+    texts, without a shuffle."""
+    df = docs.select("doc_id", row_key().alias("key"), F.col("lang").cast("string").alias("lang"),
+                     text_of().alias("_text"))
+    df = df.withColumn("_words", words_of(F.col("_text")))
     listed = F.filter(F.transform("_words", F.lower), lambda w: w.isin(VOCABULARY))
-    df = df.withColumn("_listed", F.concat(F.lit(" "), F.array_join(listed, "  "), F.lit(" ")))
-    df = df.withColumn("_known", F.array(*known))
+    df = df.withColumns({
+        "_listed": F.concat(F.lit(" "), F.array_join(listed, "  "), F.lit(" ")),
+        "n_chars": F.length("_text").cast("long"),
+        "n_words": F.size("_words").cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.size(F.regexp_extract_all("_text", F.lit(r"[#*$%&|<>]"), F.lit(0))).cast("long"),
+        "n_dup_lines": duplicate_lines(F.col("_text")),
+        "n_repeat_words": repeated_words(F.col("_words")),
+        "_beyond": F.when(F.octet_length("_text") == F.char_length("_text"), F.lit(0)).otherwise(
+            F.length(F.regexp_replace("_text", r"[\x00-\x7F]++", ""))).cast("long"),
+        "_symbols": F.size(F.regexp_extract_all("_text", F.lit(SYMBOL), F.lit(0))).cast("long"),
+        **{f"_{name}": F.length(F.regexp_replace("_text", f"[^{members}]++", "")).cast("long")
+           for name, members in COUNTED.items()}})
+    some = ["_beyond", "_symbols", *[f"_{name}" for name in COUNTED]]
+    space = F.col("n_chars") - F.col("word_chars")
+    rest = F.col("n_chars") - space
+    for name in some:
+        rest = rest - F.col(name)
+    df = df.withColumn("chars", F.array(*[F.col(c) for c in some], space, rest))
+    # The listed words stand between two spaces each, so a word's count is what its
+    # removal takes away.
     counts = [((F.octet_length("_listed") - F.octet_length(F.replace("_listed", F.lit(f" {w} "), F.lit("")))
                 ) / (len(w.encode()) + 2)).cast("long") for w in VOCABULARY]
     df = df.withColumn("_counts", F.array(*counts))
-
-    def with_rest(counts: str, total: Column) -> Column:
-        rest = total - F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-        return F.concat(F.col(counts), F.array(rest))
-
-    return df.withColumns({
-        "_chars": with_rest("_known", F.length("_text").cast("long")),
-        "_common": with_rest("_counts", F.size("_words").cast("long")),
-    }).drop("_listed", "_known", "_counts")
+    other = F.col("n_words") - F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    return df.select("doc_id", "key", "lang", "n_chars", "n_words", "word_chars", "n_symbols",
+                     "n_dup_lines", "n_repeat_words", "chars",
+                     F.concat("_counts", F.array(other)).alias("common"))
 
 
-def _shares(counts: str, total: Column) -> Column:
-    return F.transform(counts, lambda c: F.floor(c * SCALE / total))
+def _shares(counts: str, total: str) -> Column:
+    return F.transform(counts, lambda c: F.floor(c * SCALE / F.col(total)))
 
 
-def references(docs: DataFrame, rules: QualityRules = QualityRules()) -> dict[str, dict[str, list[float]]]:
+def references(found: DataFrame, rules: QualityRules = QualityRules()) -> dict[str, dict[str, list[float]]]:
     """Mean histograms per language, over all documents long enough to be judged.
 
     Only languages with a list of common words have one, so what comes to the driver
     is bounded by that list, whatever the corpus. Shares are summed as whole
     millionths: the result doesn't depend on the order of the rows.
     """
-    df = docs.select(F.col("lang").cast("string").alias("_lang"), text_of().alias("_text"))
-    df = df.filter(F.col("_lang").isin(list(COMMON_WORDS)))
-    df = _histograms(df.withColumn("_words", words_of(F.col("_text"))))
-    df = df.filter((F.length("_text") >= rules.judged_chars)
-                   & (F.size("_words") >= rules.judged_words))
-    df = df.select("_lang", _shares("_chars", F.length("_text")).alias("c"),
-                   _shares("_common", F.size("_words")).alias("w"))
-    n_c, n_w = len(CLASSES) + 1, len(VOCABULARY) + 1
-    rows = df.groupBy("_lang").agg(*[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(n_c)],
-                                   *[F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(n_w)]
-                                   ).collect()
+    df = found.filter(F.col("lang").isin(list(COMMON_WORDS)) & (F.col("n_chars") >= rules.judged_chars)
+                      & (F.col("n_words") >= rules.judged_words))
+    df = df.select("lang", _shares("chars", "n_chars").alias("c"), _shares("common", "n_words").alias("w"))
+    n_c, n_w = N_CLASSES, len(VOCABULARY) + 1
+    rows = df.groupBy("lang").agg(*[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(n_c)],
+                                  *[F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(n_w)]
+                                  ).collect()
 
     def share(row, prefix: str, n: int) -> list[float]:
         values = [row[f"{prefix}{i}"] for i in range(n)]
         return [v / max(1, sum(values)) for v in values]
-    return {r["_lang"]: {"chars": share(r, "c", n_c), "words": share(r, "w", n_w)} for r in rows}
+    return {r["lang"]: {"chars": share(r, "c", n_c), "words": share(r, "w", n_w)} for r in rows}
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -148,32 +165,28 @@ def _distance(counts: str, total: Column, refs: dict, part: str) -> Column:
     return F.when(total > 0, let(p, of))
 
 
-def quality(docs: DataFrame, rules: QualityRules = QualityRules(),
-            refs: dict[str, dict[str, list[float]]] | None = None) -> DataFrame:
-    """docs with their counts, distances and verdict.
+def quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """One row per row of docs: doc_id, key, n_words, word_chars, n_symbols,
+    n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
 
-    Added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    char_distance, word_distance, kept. A null text counts as an empty one and fails
-    the base rule; repeated rows each get the same verdict; an empty table gives an
-    empty one. A column of docs with such a name is replaced.
+    A null text counts as an empty one and fails the base rule; a null or unknown
+    language is compared with the nearest reference; repeated rows each get the same
+    verdict; an empty table gives an empty one.
     """
-    refs = references(docs, rules) if refs is None else refs
-    docs = docs.withColumn("_text", text_of())
-    df = _histograms(docs.withColumn("_words", words_of(F.col("_text"))))
-    df = df.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": F.size(F.regexp_extract_all("_text", F.lit(r"[#*$%&|<>]"), F.lit(0))).cast("long"),
-        "n_dup_lines": duplicate_lines(F.col("_text")),
-        "n_repeat_words": repeated_words(F.col("_words")),
-        "char_distance": F.when(F.length("_text") >= rules.judged_chars, _distance(
-            "_chars", F.length("_text"), refs, "chars")),
-        "word_distance": F.when(F.size("_words") >= rules.judged_words, _distance(
-            "_common", F.size("_words"), refs, "words")),
-    })
-    df = df.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (
-        F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeated_percent))
+    found = stored(features(docs), "quality-features")
+    refs = references(found, rules)
+    df = found.withColumns({
+        "char_distance": F.when(F.col("n_chars") >= rules.judged_chars, _distance(
+            "chars", F.col("n_chars"), refs, "chars")),
+        "word_distance": F.when(F.col("n_words") >= rules.judged_words, _distance(
+            "common", F.col("n_words"), refs, "words")),
+        "base_failed": (F.col("n_words") < rules.min_words) | (
+            F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeated_percent)})
     far = ((F.coalesce("char_distance", F.lit(0.0)) > rules.max_char_distance)
            | (F.coalesce("word_distance", F.lit(0.0)) > rules.max_word_distance))
-    return df.withColumn("kept", ~F.col("base_failed") & ~far).drop(
-        "_text", "_words", "_chars", "_common")
+    return df.withColumn("kept", ~F.col("base_failed") & ~far).drop("lang", "n_chars", "chars", "common")
+
+
+def keep_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """docs without the rejected documents. Columns stay as they are."""
+    return without(docs, quality(docs, rules).filter(~F.col("kept")))
