@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reqlens.llm import bytewords as bw
-from reqlens.llm.common import row_key, stored
+from reqlens.llm.common import packed, row_key, stored
 
 _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
@@ -209,12 +209,14 @@ def delete_repeats(docs: DataFrame, opts: LineDedup = LineDedup()) -> DataFrame:
     """docs with the repeated runs cut out of text. Other columns stay as they are."""
     cut = repeated_runs(docs, opts).filter("deleted_lines > 0").dropDuplicates(["doc_id", "key"]).select(
         F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "deleted")
-    keyed = docs.withColumn("_key", row_key())
-    out = keyed.join(cut, keyed["doc_id"].eqNullSafe(cut["_id"]) & (keyed["_key"] == cut["_k"]), "left")
+    rows = packed(docs)
+    out = rows.join(cut, rows["doc_id"].eqNullSafe(cut["_id"]) & (rows["key"] == cut["_k"]), "left")
+    text = F.col("row.text")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     rest = F.aggregate("deleted", start, lambda acc, s: F.struct(
         s["end"].alias("at"), F.concat(acc["parts"], F.array(F.substring(
-            F.col("text"), acc["at"] + 1, s["start"] - acc["at"]))).alias("parts")),
+            text, acc["at"] + 1, s["start"] - acc["at"]))).alias("parts")),
         lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(
-            F.col("text"), acc["at"] + 1, F.length("text"))))
-    return out.withColumn("text", F.when(F.col("deleted").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
+            text, acc["at"] + 1, F.length(text))))
+    return out.withColumn("row", F.col("row").withField(
+        "text", F.when(F.col("deleted").isNull(), text).otherwise(rest))).select("row.*")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from reqlens.llm.common import WORD, n_words, row_key, stored, text_of
+from reqlens.llm.common import n_words, packed, row_key, stored, text_of, words_of
 
 WEIGHTS = (5, 2, 1)  # of the sources in code-point order, repeating
 BITS = 52            # of a point: what a double holds exactly
@@ -190,16 +190,15 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     takes = takes.groupBy("_id", "_k", "_s").agg(F.flatten(F.collect_list(F.concat(
         "_whole", F.when(F.col("_part") > 0, F.array("_part")).otherwise(
             F.array().cast("array<bigint>"))))).alias("_takes"))
-    d = docs.withColumn("_key", row_key())
     # Repeated rows share one line of takes, so only one of them carries it.
-    d = d.dropDuplicates(["doc_id", "_key", "source"])
-    out = d.join(takes, d["doc_id"].eqNullSafe(takes["_id"]) & (d["_key"] == takes["_k"])
-                 & d["source"].cast("string").eqNullSafe(takes["_s"]))
-    out = out.withColumn("_take", F.explode("_takes"))
-    text = F.when(F.col("_take") < 0, F.col("text")).otherwise(
-        F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1),
-                             F.greatest(F.lit(1), F.col("_take").cast("int"))), " "))
-    out = out.withColumn("text", text)
+    d = packed(docs).withColumn("source", F.col("row.source").cast("string"))
+    d = d.dropDuplicates(["doc_id", "key", "source"])
+    out = d.join(takes, d["doc_id"].eqNullSafe(takes["_id"]) & (d["key"] == takes["_k"])
+                 & d["source"].eqNullSafe(takes["_s"])).select("row", F.explode("_takes").alias("take"))
+    text = F.when(F.col("take") < 0, F.col("row.text")).otherwise(F.array_join(F.slice(
+        words_of(F.col("row.text")), F.lit(1), F.greatest(F.lit(1), F.col("take").cast("int"))), " "))
+    out = out.withColumn("row", F.col("row").withField("text", text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("row", F.col("row").withField(
+            "n_chars", F.length("row.text").cast(docs.schema["n_chars"].dataType)))
+    return out.select("row.*")

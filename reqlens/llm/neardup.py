@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reqlens.llm import bytewords as bw
-from reqlens.llm.common import row_key, stored
+from reqlens.llm.common import packed, row_key, stored
 from reqlens.llm.components import components
 
 COORDINATES, MATCHES = 64, 36
@@ -269,6 +269,6 @@ def deduplicate(docs: DataFrame, opts: NearDup = NearDup()) -> DataFrame:
     # A doc_id that stands on several texts of one component is kept with one of them.
     kept = kept.groupBy("_id", F.when(F.col("_n") == 0, F.col("_k")).alias("_empty")).agg(
         F.min("_k").alias("_k"))
-    keyed = docs.withColumn("_key", row_key())
-    out = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_k"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    rows = packed(docs)
+    out = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["key"] == kept["_k"]), "left_semi")
+    return out.dropDuplicates(["doc_id", "key"]).select("row.*")

@@ -41,17 +41,17 @@ def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0
 
 
 def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """Per row of docs: doc_id, _key, owner, repo, base and added (spans; an added one
+    """Per row of docs: doc_id, key, owner, repo, base and added (spans; an added one
     overlaps no base one and has a letter and a digit). hash is the value's SHA-256:
     values themselves go nowhere. A null text counts as an empty one."""
-    d = docs.select("doc_id", row_key().alias("_key"), F.col(owner).cast("string").alias("owner"),
+    d = docs.select("doc_id", row_key().alias("key"), F.col(owner).cast("string").alias("owner"),
                     F.col(repository).cast("string").alias("repo"), text_of().alias("_text"))
     t = F.col("_text")
     d = d.withColumns({"_assign": _spans(t, ASSIGN, "assign", 2, 6), "_access": _spans(t, ACCESS, "access"),
                        "_hex": _spans(t, HEX, "hex"), "_token": _spans(t, TOKEN, "token")})
     d = d.withColumn("base", F.array_sort(F.concat("_assign", "_access", "_hex")))
     clear = F.filter("_token", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return d.select("doc_id", "_key", "owner", "repo", "base", clear.alias("added"))
+    return d.select("doc_id", "key", "owner", "repo", "base", clear.alias("added"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -80,17 +80,17 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     found = stored(candidates(docs, owner, repository), "secret-spans")
     freq = stored(ownership(found), "secret-owners").select("hash", "owners")
     each = found.filter(F.size("base") + F.size("added") > 0).select(
-        "doc_id", "_key", F.explode(F.concat("base", "added")).alias("s")
+        "doc_id", "key", F.explode(F.concat("base", "added")).alias("s")
     ).withColumn("hash", F.col("s.hash"))
     judged = each.join(freq, "hash").withColumn("live", F.col("owners") <= max_owners)
-    judged = judged.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("s", "live")).alias("all"))
+    judged = judged.groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "live")).alias("all"))
     judged = judged.select(
-        "doc_id", "_key", F.size(F.filter("all", lambda x: x["live"])).alias("n_live"),
+        "doc_id", "key", F.size(F.filter("all", lambda x: x["live"])).alias("n_live"),
         F.size(F.filter("all", lambda x: ~x["live"])).alias("n_copied"),
         F.transform(F.filter("all", lambda x: x["live"] | (x["s"]["kind"] != "token")),
                     lambda x: x["s"]).alias("spans"))
     rows = found.alias("f").join(judged.alias("j"), (F.col("f.doc_id").eqNullSafe(F.col("j.doc_id")))
-                                 & (F.col("f._key") == F.col("j._key")), "left")
+                                 & (F.col("f.key") == F.col("j.key")), "left")
     return rows.select(
         "f.doc_id", "base", F.array_sort(F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))).alias("spans"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),

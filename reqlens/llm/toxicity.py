@@ -31,6 +31,7 @@ class Toxicity:
     # the toxic rows that have no such token yet.
     min_evidence: tuple = (27.0, 15.0)
     min_ratio: float = 20.0     # of its frequency in toxic rows to that in others
+    floor: float = 0.2          # least marginal that counts towards the score
     span_at: float = 0.5        # least marginal of an offending token
 
 
@@ -100,11 +101,12 @@ def _label_tokens(tokens, toxic: np.ndarray, opts: Toxicity) -> np.ndarray:
     return out
 
 
-def _document(p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-    """Per text: 1, log(1 + summed marginal), highest marginal."""
+def _document(p: np.ndarray, text: np.ndarray, n: int, floor: float) -> np.ndarray:
+    """Per text: 1, log(1 + summed marginal), highest marginal. Marginals below the floor
+    aren't summed: the many near-zero ones of a long text are no evidence."""
     out = np.zeros((n, 3))
     out[:, 0] = 1
-    out[:, 1] = np.log1p(np.bincount(text, p, n))
+    out[:, 1] = np.log1p(np.bincount(text, np.where(p >= floor, p, 0.0), n))
     np.maximum.at(out[:, 2], text, p)
     return out
 
@@ -134,7 +136,7 @@ def train(rows: list[tuple[str, int]], opts: Toxicity = Toxicity()) -> Model:
     chain = ch.fit([s[use] for s in slots], tags[use].astype(np.int64),
                    np.append(0, np.cumsum(lengths)), 2)
     p = ch.marginals(chain, chain.unary(slots), bounds)[0][:, 1]
-    x = _document(p, text, len(rows))
+    x = _document(p, text, len(rows), opts.floor)
     curve = np.zeros(3)
     for _ in range(50):  # Newton's method with a small penalty
         q = 1 / (1 + np.exp(-x @ curve))
@@ -152,7 +154,7 @@ def score(docs: DataFrame, model: Model, opts: Toxicity = Toxicity()) -> DataFra
             for texts in bw.chunks(batch.column("text")):
                 starts, ends, text, slots, bounds = _tokens(texts, opts)
                 p = ch.marginals(model.chain, model.chain.unary(slots), bounds)[0][:, 1]
-                value = 1 / (1 + np.exp(-_document(p, text, len(texts)) @ model.curve))
+                value = 1 / (1 + np.exp(-_document(p, text, len(texts), opts.floor) @ model.curve))
                 at = np.flatnonzero(p >= opts.span_at)
                 chars = bw.code_points(texts.data)
                 spans: list[list[str]] = [[] for _ in range(len(texts))]
