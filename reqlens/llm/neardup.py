@@ -13,11 +13,12 @@ in fewer than MATCHES = 36 with a probability below 1e-7.
   posted, so that passages that many documents hold fall out of the lists.
 * Stars instead of all pairs: every list's members are first compared with one centre,
   the member whose coordinates are the commonest (in a group of edited copies, the
-  text closest to all). What the centre doesn't link is then compared with the members
-  of other components only. So no link between components is lost, and a group of
-  copies costs as many comparisons as it has members.
-* Candidates whose signatures agree in fewer than MATCHES coordinates are dropped; all
-  others are compared by their full sets.
+  text closest to all); a pair whose signatures agree in fewer than MATCHES coordinates
+  isn't compared. Lists whose members are then in one component are done. The members
+  of all others go through the same prefix join once more, over their full sets, for
+  links between different components: see cross_pairs. So no link between components is
+  lost, and a group of copies costs as many comparisons as it has members.
+* Every candidate is confirmed on the full sets.
 """
 from __future__ import annotations
 
@@ -193,6 +194,60 @@ def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(texts, width)
 
 
+def cross_pairs(unsettled: DataFrame, opts: NearDup) -> DataFrame:
+    """(a, b): pairs of different components that may be links. unsettled: class,
+    class_component, text.
+
+    The lists again, but of the full sets: shingles that stand in one component only
+    can't be shared by such a pair, so they come first in the order of rarity; behind
+    them come the others, the rarest first. A link has its first common shingle within
+    the prefix of both sets, with enough left behind it. A text with a few changes of its
+    own has used up its prefix, however many near relatives it has. In each list the
+    members of the largest component aren't paired with each other.
+    """
+    width, percent = opts.shingle, opts.percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in bw.chunks(batch.column("text")):
+                sets = shingle_sets(texts, width)
+                part = batch.slice(at, len(sets))
+                at += len(sets)
+                sizes = np.array([len(s) for s in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("class"), part.column("class_component"), pa.array(sizes),
+                    bw.list_array(np.concatenate(sets).view(np.int64), sizes, pa.int64())],
+                    names=["class", "component", "n", "shingles"])
+
+    sets = stored(unsettled.select("class", "class_component", "text").mapInArrow(
+        run, "class binary, component binary, n long, shingles array<long>"), "minhash-sets")
+    each = sets.select("class", "component", "n", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("lo"),
+                                         F.max("component").alias("hi"))
+    shared = stored(shared.filter("lo <> hi").select("shingle", "held"), "minhash-common")
+    held = each.join(shared, "shingle").groupBy("class", "component", "n").agg(
+        F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("common"))  # at most n
+    own = (F.col("n") - F.size("common")).cast("int")
+    prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    held = held.withColumn("own", own).filter(prefix > own)
+    posts = held.select("class", "component", "n", "own", F.posexplode(F.slice(
+        "common", F.lit(1), prefix - F.col("own"))).alias("k", "s"))
+    posts = stored(posts.select("class", "component", "n", (F.col("n") - F.col("own") - F.col("k")).alias("left"),
+                                F.col("s.shingle").alias("shingle")), "minhash-prefixes")
+    most = posts.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("held")).groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("component", F.struct("held", "component")).alias("main"))
+    most = stored(most.filter("n > 1").select("shingle", "main"), "minhash-main")
+    posts = stored(posts.join(most, "shingle").withColumn("rest", F.col("component") != F.col("main")).drop("main"),
+                   "minhash-mixed")
+    x, y = ({c: F.col(f"{name}.{c}") for c in posts.columns} for name in ("x", "y"))
+    enough = F.least(x["left"], y["left"]) * (100 + percent) >= (x["n"] + y["n"]) * percent
+    pairs = posts.filter("rest").alias("x").join(posts.alias("y"), (x["shingle"] == y["shingle"]) & enough
+                                                 & (x["component"] != y["component"])
+                                                 & (~y["rest"] | (x["class"] < y["class"])))
+    return pairs.select(x["class"].alias("a"), y["class"].alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, opts: NearDup = NearDup()) -> DataFrame:
     """One row per row of docs: doc_id, key, n_shingles, component_id, kept.
 
@@ -234,13 +289,10 @@ def near_duplicates(docs: DataFrame, opts: NearDup = NearDup()) -> DataFrame:
     placed = placed.join(stored(middle, "minhash-middle"), F.col("pair") == F.col("_pair")).drop("_pair")
     placed = stored(placed.withColumn("rest", F.col("class_component") != F.col("centre_component")),
                     "minhash-placed")
-    rest, other = placed.filter("rest").alias("r"), placed.alias("o")
-    left = {c: F.col(f"r.{c}") for c in placed.columns}
-    right = {c: F.col(f"o.{c}") for c in placed.columns}
-    cross = rest.join(other, (left["pair"] == right["pair"])
-                      & (left["class_component"] != right["class_component"])
-                      & (~right["rest"] | (left["class"] < right["class"])) & _alike(left, right, opts))
-    cross = stored(cross.select(left["class"].alias("a"), right["class"].alias("b")).distinct(), "minhash-cross")
+    open_lists = stored(placed.groupBy("pair").agg(F.max("rest").alias("rest")).filter("rest").select("pair"),
+                        "minhash-open")
+    unsettled = placed.join(open_lists, "pair").select("class", "class_component").distinct()
+    cross = stored(cross_pairs(unsettled.join(texts, "class"), opts), "minhash-cross")
     more = confirmed(cross, texts, opts)
     if not more.isEmpty():
         joined = components(links.unionByName(more))
