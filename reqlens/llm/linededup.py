@@ -94,40 +94,52 @@ def lines(docs: DataFrame, opts: LineDedup) -> DataFrame:
              "end array<int>, picks array<int>")
 
 
-def extend(mine: np.ndarray, other: np.ndarray, anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def extend(mine: list[int], other: list[int], anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs [from, to) of `mine` that equal `other` around the anchors (place in mine,
     place in other)."""
     out: list[tuple[int, int]] = []
     done: dict[int, int] = {}  # diagonal: end of its last run
     for p, q in sorted(anchors):
-        if done.get(p - q, -1) > p:
+        shift = p - q
+        least = done.get(shift, 0)
+        if least > p:
             continue
         a, b = p, p + 1
-        least = done.get(p - q, 0)
-        while a > least and a - (p - q) > 0 and mine[a - 1] == other[a - 1 - (p - q)]:
+        low, high = max(least, shift), min(len(mine), len(other) + shift)
+        while a > low and mine[a - 1] == other[a - 1 - shift]:
             a -= 1
-        while b < len(mine) and b - (p - q) < len(other) and mine[b] == other[b - (p - q)]:
+        while b < high and mine[b] == other[b - shift]:
             b += 1
-        done[p - q] = b
+        done[shift] = b
         out.append((a, b))
     return out
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Offsets of a list column's rows, and its values."""
+    return column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten()
+
+
+def _pairs_array(rows: list[list[tuple[int, int]]], first: str, second: str) -> pa.Array:
+    """A list column of structs of two ints."""
+    counts = np.array([len(r) for r in rows], np.int64)
+    flat = np.array([p for r in rows for p in r], np.int32).reshape(-1, 2)
+    values = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], [first, second])
+    offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
 def _matches(pairs: DataFrame) -> DataFrame:
     """Per pair of documents and its anchors, the runs found in the later one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine, other = batch.column("mine"), batch.column("other")
-            out = []
-            for i, anchors in enumerate(batch.column("anchors").to_pylist()):
-                runs = extend(mine[i].values.to_numpy(zero_copy_only=False),
-                              other[i].values.to_numpy(zero_copy_only=False),
-                              [(x["pos"], x["first_pos"]) for x in anchors])
-                out.append([{"a": a, "b": b} for a, b in runs])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"),
-                 pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))],
-                names=["doc_id", "key", "runs"])
+            (m, mine), (o, other), (n, anchors) = (_flat(batch.column(c)) for c in ("mine", "other", "anchors"))
+            mine, other = mine.to_numpy(), other.to_numpy()
+            spots = list(zip(anchors.field("pos").to_pylist(), anchors.field("first_pos").to_pylist()))
+            out = [extend(mine[m[i]:m[i + 1]].tolist(), other[o[i]:o[i + 1]].tolist(), spots[n[i]:n[i + 1]])
+                   for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"),
+                                              _pairs_array(out, "a", "b")], names=["doc_id", "key", "runs"])
     kind = pairs.schema["doc_id"].dataType.simpleString()
     return pairs.mapInArrow(run, f"doc_id {kind}, key long, runs array<struct<a:int,b:int>>")
 
@@ -138,24 +150,26 @@ def _deleted(rows: DataFrame, opts: LineDedup) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            (at, words), (n, runs) = _flat(batch.column("words")), _flat(batch.column("runs"))
+            words = words.to_numpy()
+            start, end = (batch.column(c).flatten().to_numpy() for c in ("start", "end"))
             spans, n_lines, n_words = [], [], []
-            words, start, end = (batch.column(c) for c in ("words", "start", "end"))
-            for i, runs in enumerate(batch.column("runs").to_pylist()):
-                w, s, e = (c[i].values.to_numpy(zero_copy_only=False) for c in (words, start, end))
-                covered = np.zeros(len(w) + 1, np.int32)
-                for r in runs:
-                    covered[r["a"]] += 1
-                    covered[r["b"]] -= 1
-                inside = np.append(np.cumsum(covered[:-1]) > 0, False)
-                edges = np.flatnonzero(np.diff(np.append(0, inside.astype(np.int8))))
-                cuts = [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())
-                        if int(w[a:b].sum()) >= least]
-                spans.append([{"start": int(s[a]), "end": int(e[b - 1])} for a, b in cuts])
-                n_lines.append(sum(b - a for a, b in cuts))
-                n_words.append(sum(int(w[a:b].sum()) for a, b in cuts))
+            # Lines of all rows in one array, each row's runs moved to its place in it.
+            base = np.repeat(at[:-1], np.diff(n))
+            size = len(words) + 1
+            covered = (np.bincount(runs.field("a").to_numpy() + base, minlength=size)
+                       - np.bincount(runs.field("b").to_numpy() + base, minlength=size))
+            inside = np.cumsum(covered) > 0
+            sums = np.append(0, np.cumsum(words))
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                edges = np.flatnonzero(np.diff(inside[a:b].astype(np.int8), prepend=0, append=0)) + a
+                cuts = [(x, y) for x, y in zip(edges[::2].tolist(), edges[1::2].tolist())
+                        if sums[y] - sums[x] >= least]
+                spans.append([(start[x], end[y - 1]) for x, y in cuts])
+                n_lines.append(sum(y - x for x, y in cuts))
+                n_words.append(int(sum(sums[y] - sums[x] for x, y in cuts)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(spans, pa.list_(
-                    pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                [batch.column("doc_id"), batch.column("key"), _pairs_array(spans, "start", "end"),
                  pa.array(n_lines, pa.int64()), pa.array(n_words, pa.int64())],
                 names=["doc_id", "key", "deleted", "deleted_lines", "deleted_words"])
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -189,7 +203,7 @@ def repeated_runs(docs: DataFrame, opts: LineDedup = LineDedup()) -> DataFrame:
     other = known.withColumnRenamed("hashes", "other")
     both = both.join(other, both["first_id"].eqNullSafe(other["_id"]) & (both["first_key"] == other["_key"]))
     runs = _matches(both.select("doc_id", "key", "anchors", "mine", "other"))
-    runs = stored(runs.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")),
+    runs = stored(runs.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("runs")).alias("runs")),
                   "line-runs")
     mine = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "words", "start", "end")
     cut = runs.join(mine, runs["doc_id"].eqNullSafe(mine["_id"]) & (runs["key"] == mine["_key"]))
