@@ -11,8 +11,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
+import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +26,12 @@ UNKNOWN_PENALTY = 10.0
 @dataclass(frozen=True)
 class TokenCounts:
     model_file: str = "/opt/tokenizers/piece_bpe_32k.model"
-    cached_words: int = 400_000  # per task; then the cache starts over
+    cached_words: int = 400_000  # per worker; then the cache starts over
 
 
 def vocabulary(model_file: str) -> list[tuple[str, float]]:
     """(piece, log probability) of the file's ordinary pieces. The file ranks its pieces;
     their probabilities follow Zipf's law of the rank."""
-    import sentencepiece
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())
               if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
@@ -40,7 +42,6 @@ class Counter:
     """Pieces of a text: words are independent, so each is worked out once."""
 
     def __init__(self, pieces: list[tuple[str, float]], cached: int):
-        import ahocorasick
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
@@ -98,11 +99,17 @@ class Counter:
         return total
 
 
+@lru_cache(maxsize=2)
+def counter_of(model_file: str, cached: int) -> Counter:
+    """Kept by a worker, with its words, for its next tasks."""
+    return Counter(vocabulary(model_file), cached)
+
+
 def count_tokens(docs: DataFrame, opts: TokenCounts = TokenCounts()) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_chars. A null or empty text has none.
-    The vocabulary file must be at its path on every node; it is read once per task."""
+    The vocabulary file must be at its path on every node; it is read once per worker."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary(opts.model_file), opts.cached_words)
+        counter = counter_of(opts.model_file, opts.cached_words)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(

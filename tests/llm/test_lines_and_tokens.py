@@ -151,7 +151,7 @@ def test_round_trip(spark, odd_docs, odd_rows, no_docs, tmp_path):
     assert all(r["shard"] == r["slot"] // 40 and r["offset"] == r["slot"] % 40 * opts.stride for r in rows)
     order = tb.permute(np.arange(n), n, opts)
     stream = np.concatenate([np.frombuffer(rows[s]["ids"], "<u2") for s in order])
-    encode = tb.encoder(opts.ranks_file).encode_ordinary
+    encode = tb.encoder(opts.ranks_file)
     texts = sorted(tuple(encode(r[1] or "")) for r in odd_rows)
     parts, own = [], []
     for t in stream.tolist():
@@ -168,6 +168,21 @@ def test_round_trip(spark, odd_docs, odd_rows, no_docs, tmp_path):
     assert tb.token_shards(no_docs, opts).count() == 0
 
 
+@needs_files
+def test_encoder_equals_the_library(odd_rows):
+    import base64
+
+    import tiktoken
+    path = tb.TokenShards().ranks_file
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("x", pat_str=tb.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(13)
+    texts = [r[1] or "" for r in odd_rows] + [
+        "".join(rng.choice("ab 1\n\t'ts\u00a0\u2003\x1c.é") for _ in range(40)) for _ in range(500)]
+    assert all(tb.encoder(path)(t) == library.encode_ordinary(t) for t in texts)
+    assert max(max(library.encode_ordinary(t), default=0) for t in texts) < tb.END
+
+
 @needs_files
 def test_split_that_changes_fails(spark):
     opts = tb.TokenShards(length=4)
