@@ -39,7 +39,7 @@ SELECT page_id, least(len(segs), 20)::BIGINT AS depth,
 FROM (SELECT page_id, [s for s in string_split(path, '/') if s <> ''] AS segs FROM pg)""")
 def path_shape(spark, sf):
     return page_requests(spark, sf).select(
-        "page_id", text.path_depth("path").cast("bigint").alias("depth"),
+        "page_id", text.path_depth("path", limit=20).cast("bigint").alias("depth"),
         text.path_max_segment("path").cast("bigint").alias("max_seg"),
         r6(text.path_numeric_ratio("path")).alias("numeric_ratio"))
 

@@ -17,8 +17,10 @@ class Settings:
 
     # request size limits
     max_body_bytes: int = 1_048_576
-    inspect_bytes: int = 65_536
-    feature_body_chars: int = 4_096
+    # Optional limits on what rules and body features see; by default the whole body.
+    inspect_bytes: int | None = None
+    feature_body_chars: int | None = None
+    path_depth_limit: int | None = None
 
     # request rate policy
     window_seconds: int = 60
@@ -39,6 +41,7 @@ class Settings:
     min_pool_rows: int = 50
     forest_trees: int = 300
     forest_samples: int = 4_096
+    ae_shards: int = 8
     ae_hidden: int = 32
     ae_bottleneck: int = 12
     ae_lr: float = 1e-3

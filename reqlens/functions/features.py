@@ -25,7 +25,9 @@ def feature_columns(settings: Settings = DEFAULTS) -> dict[str, Column]:
     Expects the request columns plus path_decode_delta, q_decode_delta,
     body_mean, body_std and path_known. Shapes are measured on raw strings.
     """
-    head = F.substring(F.coalesce(F.col("body"), F.lit("")), 1, settings.feature_body_chars)
+    head = F.coalesce(F.col("body"), F.lit(""))
+    if settings.feature_body_chars is not None:
+        head = F.substring(head, 1, settings.feature_body_chars)
     path = F.coalesce(F.nullif(F.col("path"), F.lit("")), F.lit("/"))
     query = F.coalesce(F.col("query"), F.lit(""))
     size = F.col("body_size").cast("double")
@@ -43,7 +45,7 @@ def feature_columns(settings: Settings = DEFAULTS) -> dict[str, Column]:
         "ct_json": _flag(F.contains(F.lower(F.coalesce(F.col("content_type"), F.lit(""))),
                                     F.lit("json"))),
         "path_len": F.length(path),
-        "path_depth": text.path_depth(path),
+        "path_depth": text.path_depth(path, settings.path_depth_limit),
         "path_max_seg": text.path_max_segment(path),
         "path_entropy": text.shannon_entropy(path),
         "path_special_ratio": text.special_ratio(path),
@@ -68,6 +70,24 @@ def feature_columns(settings: Settings = DEFAULTS) -> dict[str, Column]:
     return {name: out[name].cast("double") for name in FEATURE_NAMES}
 
 
+# Features that need history: the baseline, or the client's session.
+LATE = ("body_size_z", "path_known", "win_distinct_paths")
+EARLY = tuple(n for n in FEATURE_NAMES if n not in LATE)
+
+
+def early_columns(settings: Settings = DEFAULTS) -> dict[str, Column]:
+    """The features of the request alone, from its text and its `hits`."""
+    every = feature_columns(settings)
+    out = {name: every[name] for name in EARLY}
+    out["n_flags"] = F.size("hits").cast("double")
+    return out
+
+
+def late_columns() -> dict[str, Column]:
+    every = feature_columns()
+    return {name: every[name] for name in LATE}
+
+
 def with_features(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Adds the feature columns in contract order."""
     return df.withColumns(feature_columns(settings))

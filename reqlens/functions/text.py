@@ -16,14 +16,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DECODE_ROUNDS = 4
-# Longest string whose entropy is worth computing without leaving the JVM.
-SHORT = 128
+# Rounds after which a chain of encoded percent signs is collapsed at once.
+PLAIN_ROUNDS = 8
 # Stripped from canonical text. Tab, newline and carriage return stay and are
 # then folded into single spaces.
 CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
 _CONTROL = re.compile(CONTROL)
 _SPACE = re.compile(r"\s+")
+_CHAIN = re.compile(r"%(?:25)+")
 
 # The character classes of the ratio features and the id shapes
 # that collapse a concrete path to its template. (?d) keeps "\n" the only line
@@ -39,12 +39,13 @@ HEX_SEGMENT = r"(?di)^[0-9a-f]{16,}$"
 
 # ── canonical form ───────────────────────────────────────────────────────────
 
-def _decode(text: str, rounds: int = DECODE_ROUNDS) -> str:
-    for _ in range(rounds):
-        decoded = unquote_plus(text)
-        if decoded == text:
-            break
-        text = decoded
+def _decode(text: str) -> str:
+    """Decodes until nothing changes. Every change uses up a "%" or "+", so it
+    ends; a chain "%252525..." loses one link a round, so long ones are cut short."""
+    rounds = 0
+    while (decoded := unquote_plus(text)) != text:
+        rounds += 1
+        text = decoded if rounds < PLAIN_ROUNDS else _CHAIN.sub("%", decoded)
     return text
 
 
@@ -175,8 +176,9 @@ def path_template(path) -> Column:
     return F.concat(F.lit("/"), F.array_join(parts, "/"))
 
 
-def path_depth(path) -> Column:
-    return F.least(F.size(segments(path)), F.lit(20))
+def path_depth(path, limit: int | None = None) -> Column:
+    depth = F.size(segments(path))
+    return depth if limit is None else F.least(depth, F.lit(limit))
 
 
 def path_max_segment(path) -> Column:
@@ -238,28 +240,8 @@ def entropy_udf():
     return F.pandas_udf(bits, "double")
 
 
-def _entropy_inline(text: Column) -> Column:
-    """Counts each distinct character by deleting it: distinct characters times
-    length, so right for short strings only."""
-    n = F.length(text).cast("double")
-    chars = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
-
-    def add(acc, c):
-        share = (n - F.length(F.replace(text, c, F.lit("")))) / n
-        return acc - share * F.log2(share)
-
-    return F.aggregate(chars, F.lit(0.0), add)
-
-
-def shannon_entropy(text, short: int = SHORT) -> Column:
-    """Bits per character. Short strings stay in the JVM; long ones are counted
-    in Arrow batches, in time linear in their length."""
+def shannon_entropy(text) -> Column:
+    """Bits per character, counted in Arrow batches in time linear in the length."""
     text = _text(text)
-    long = F.length(text) > short
-    return (F.when(F.length(text) == 0, 0.0)
-            .when(long, entropy_udf()(F.when(long, text)))
-            .otherwise(_entropy_inline(F.when(~long, text))))
-
-
-def length_of(text) -> Column:
-    return F.length(_text(text))
+    return F.when(F.length(text) == 0, 0.0).otherwise(
+        entropy_udf()(F.when(F.length(text) > 0, text)))

@@ -1,9 +1,11 @@
 """Dense autoencoder trained by distributed parameter averaging.
 
-Each round, every partition runs mini-batch Adam over its own rows from the
-shared state, and the states are averaged, weighted by rows (Zinkevich et al.,
-2010). Averaging is a Spark aggregation per parameter; the driver only sees the
-result, a few thousand numbers. One partition gives plain sequential training.
+Rows belong to settings.ae_shards shards by their key's hash, whatever the data's
+size and the cluster's. Each round, every shard runs mini-batch Adam over its own
+rows, in key order, from the shared state, and the states are averaged, weighted by
+rows (Zinkevich et al., 2010). Averaging is a Spark aggregation per parameter; the
+driver only sees the result, a few thousand numbers. One shard gives plain sequential
+training; more shards than slots queue.
 """
 from __future__ import annotations
 
@@ -17,8 +19,6 @@ from pyspark.sql import functions as F
 
 from reqlens.config import DEFAULTS, Settings
 
-ROWS_PER_WORKER = 50_000
-
 
 class Network:
     """d -> hidden -> bottleneck -> hidden -> d, ReLU inside, linear output."""
@@ -82,13 +82,8 @@ def local_pass(net: Network, flat, m, v, t, X, batch, lr, noise, rng):
     return flat, m, v, t
 
 
-def _workers(df: DataFrame, n: int) -> int:
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, min(slots, n // ROWS_PER_WORKER))
-
-
 def fit_autoencoder(df: DataFrame, vector: Column, key: str, settings: Settings = DEFAULTS,
-                    seed: int | None = None, workers: int | None = None
+                    seed: int | None = None, shards: int | None = None
                     ) -> tuple[Network, list[float]]:
     """(network, validation error per round). A tenth of the rows, chosen by
     hash, stops training after ae_patience rounds without gain; the best weights
@@ -97,8 +92,8 @@ def fit_autoencoder(df: DataFrame, vector: Column, key: str, settings: Settings
     rows = df.select(F.col(key).alias("k"), vector.alias("x")).withColumn(
         "held", F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(10)) == 0)
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
-    # Hash partitioning keeps rows with their worker across rounds and retries.
-    rows = rows.repartition(workers or _workers(df, size.n), "k")
+    # Hash partitioning keeps rows with their shard across rounds and retries.
+    rows = rows.repartition(shards or settings.ae_shards, "k").sortWithinPartitions("k")
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _train(rows, size.d, settings, seed)

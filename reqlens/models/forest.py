@@ -66,11 +66,10 @@ def tree_samples(df: DataFrame, vector: Column, key: str, n: int, trees: int, sa
     def unit(*cols):
         return F.pmod(F.xxhash64(*cols), F.lit(1 << 53)) / float(1 << 53)
 
-    if entry < 1.0:
-        rows = rows.filter(unit("k", F.lit(f"entry{seed}")) < entry)
-    ids = F.sequence(F.lit(0), F.lit(trees - 1))
-    if rate < 1.0:
-        ids = F.filter(ids, lambda t: unit("k", t, F.lit(seed)) < rate / entry)
+    # Hashes are below 1, so a rate of 1 keeps every row.
+    rows = rows.filter(unit("k", F.lit(f"entry{seed}")) < entry)
+    ids = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
+                   lambda t: unit("k", t, F.lit(seed)) < rate / entry)
     picked = rows.select("k", "x", F.explode(ids).alias("tree"))
     place = Window.partitionBy("tree").orderBy(F.xxhash64("k", "tree", F.lit(seed)), "k")
     return picked.withColumn("r", F.row_number().over(place)).filter(

@@ -1,6 +1,7 @@
 """Session helpers: sensible local defaults, and reliable lineage cuts."""
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ def local_session(cores: str = "*", app: str = "reqlens", **conf: str) -> SparkS
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # Small files are cut by row groups, so that they keep all cores busy.
+        .config("spark.sql.files.maxPartitionBytes", "4m")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -30,11 +33,14 @@ _FALLBACK: list[str] = []
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir. Only where
-    none is set, as in tests, a temporary one."""
+    """The shared folder the cluster names in spark.checkpoint.dir. A local
+    master without one, as in tests, gets a temporary folder; a cluster must name
+    one, as its nodes could not read each other's."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="reqlens-ckpt-"))
     return _FALLBACK[0]
@@ -46,10 +52,3 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Shuffles only where an input has fewer splits than the cluster has slots,
-    as one small file has; large inputs pass through untouched."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df

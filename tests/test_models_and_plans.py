@@ -62,11 +62,11 @@ def test_forest_sampling_covers_large_inputs(spark):
     assert len(rows) == 8 and all(r.n == 256 and 80_000 < r.m < 120_000 for r in rows)
 
 
-@pytest.mark.parametrize("workers", [1, 3])
-def test_autoencoder_learns(spark, points, workers):
+@pytest.mark.parametrize("shards", [1, 3])
+def test_autoencoder_learns(spark, points, shards):
     params, vec = vector(points)
     s = DEFAULTS.but(ae_epochs=12, ae_hidden=16, ae_bottleneck=3, ae_lr=5e-3, ae_batch=64)
-    net, history = autoencoder.fit_autoencoder(points.filter("y = 0"), vec, "id", s, workers=workers)
+    net, history = autoencoder.fit_autoencoder(points.filter("y = 0"), vec, "id", s, shards=shards)
     assert history[-1] < 0.5 * history[0]
     out = autoencoder.score_autoencoder(points, vec, net)
     assert metrics.ranking_metrics(out, "ae_raw").first().roc_auc > 0.9

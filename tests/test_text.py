@@ -89,7 +89,7 @@ def test_path_template(spark, path, want):
 def test_params_and_segments(spark):
     r = spark.range(1).select(
         text.param_values(F.lit("a=1&b=x=y&c&&=zz")), text.max_param_value(F.lit("a=1&b=x=y&c")),
-        text.path_depth(F.lit("/a" * 30)), text.path_numeric_ratio(F.lit("/1/a/22/b")),
+        text.path_depth(F.lit("/a" * 30), 20), text.path_numeric_ratio(F.lit("/1/a/22/b")),
         text.max_param_value(F.lit(""))).first()
     assert list(r) == [["1", "x=y", "", "zz"], 3, 20, 0.5, 0]
 
