@@ -34,7 +34,8 @@ def decide(df: DataFrame, models: ModelSet | None = None, settings: Settings = D
     df = df.withColumns(l1_columns()).withColumn("n_flags", rules.n_flags("hits"))
     rule, rate, survives = F.col("_rule"), F.col("_rate"), F.col("_survives")
     if models is not None:
-        df = df.withColumns(feature_columns(settings))
+        if not set(FEATURE_NAMES) <= set(df.columns):
+            df = df.withColumns(feature_columns(settings))
         df = score(df, models, settings, when=survives)
         # A missing or non-finite probability is a scoring failure as well.
         failed = survives & (F.col("error").isNotNull() | F.col("p").isNull() | F.isnan("p"))
@@ -81,8 +82,9 @@ def enforced(settings: Settings = DEFAULTS, action="action", layer="layer") -> C
     """Certain verdicts are enforced in both enforcing modes, learned ones only in full."""
     if settings.mode == "monitor":
         return F.lit(False)
-    block = F.col(action) == "block"
-    return block if settings.mode == "enforce" else block & ~F.col(layer).isin(*ML_LAYERS)
+    block = F.coalesce(F.col(action) == "block", F.lit(False))
+    learned = F.coalesce(F.col(layer).isin(*ML_LAYERS), F.lit(False))
+    return block if settings.mode == "enforce" else block & ~learned
 
 
 def would_block(action="action", layer="layer", flag="enforced") -> Column:
@@ -117,7 +119,8 @@ def to_event_log(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     detect = F.col("detect_ms") if "detect_ms" in has else F.lit(None).cast("double")
     return df.select(
         scalars.epoch_seconds("ts").alias("ts"), scalars.hash_client("client").alias("client"),
-        "method", "template", F.length("path").alias("path_len"), "body_size",
+        "method", "template", (F.length("path") if "path" in has else F.col("path_len").cast(
+            "int")).alias("path_len"), "body_size",
         F.col("status").cast("int").alias("status"),
         F.col("window_count").cast("int").alias("window_count"),
         F.col("burst_count").cast("int").alias("burst_count"),

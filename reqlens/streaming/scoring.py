@@ -22,10 +22,12 @@ def without_duplicates(requests: DataFrame, key: str = "event_id",
 
 
 def score_stream(requests: DataFrame, models: ModelSet | None = None,
-                 settings: Settings = DEFAULTS, **state) -> DataFrame:
-    """Request stream -> decisions, with the same column functions as batch."""
+                 settings: Settings = DEFAULTS, measured: bool = False, **state) -> DataFrame:
+    """Request stream -> decisions, with the same column functions as batch. Features
+    are derived for models, or if `measured`."""
     accepted, _ = scoring.accept(requests, settings)
-    return scoring.inspect(stream_rate_state(accepted, settings, **state), models, settings)
+    shaped = scoring.shape(accepted, settings, measured=models is not None or measured)
+    return scoring.judge(stream_rate_state(shaped, settings, **state), models, settings)
 
 
 def refused_stream(requests: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -34,7 +36,8 @@ def refused_stream(requests: DataFrame, settings: Settings = DEFAULTS) -> DataFr
 
 def log_stream(requests: DataFrame, models: ModelSet | None = None,
                settings: Settings = DEFAULTS, **state) -> DataFrame:
-    return decide.to_event_log(score_stream(requests, models, settings, **state), settings)
+    scored = score_stream(requests, models, settings, measured=True, **state)
+    return decide.to_event_log(scored, settings)
 
 
 def score_with_reload(requests: DataFrame, store: Store, sink: Callable[[DataFrame, int], None],
@@ -44,12 +47,12 @@ def score_with_reload(requests: DataFrame, store: Store, sink: Callable[[DataFra
     between batches, never inside one. `sink(log, batch_id)` should be idempotent
     per batch id. Returns the started query."""
     accepted, _ = scoring.accept(requests, settings)
-    rated = stream_rate_state(accepted, settings, **state)
+    rated = stream_rate_state(scoring.shape(accepted, settings), settings, **state)
     reloader = Reloader(store, settings)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         models = reloader.get(batch.sparkSession)
-        sink(decide.to_event_log(scoring.inspect(batch, models, settings), settings), batch_id)
+        sink(decide.to_event_log(scoring.judge(batch, models, settings), settings), batch_id)
 
     root = checkpoint_root(requests.sparkSession)
     writer = (rated.writeStream.foreachBatch(handle).queryName(name)
