@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reqlens.config import DEFAULTS, Settings
 from reqlens.functions import scalars
 from reqlens.operators import eventlog
-from reqlens.operators.running import cumulative_by_value, percentiles
+from reqlens.operators.running import cumulative_by_value, percentiles, percentiles_by
 from reqlens.schemas import FEATURE_NAMES
 
 # The threshold grid 0.02, 0.025, ... 0.985 with its float steps.
@@ -33,7 +33,8 @@ def ratio(top, bottom) -> Column:
 # ── confusion ────────────────────────────────────────────────────────────────
 
 def confusion_aggs(y="y", pred="pred") -> list[Column]:
-    y, p = F.col(y), F.col(pred)
+    # A row without a prediction was not flagged.
+    y, p = F.col(y), F.coalesce(F.col(pred), F.lit(0))
     return [_ones((p == 1) & (y == 1)).alias("tp"), _ones((p == 0) & (y == 0)).alias("tn"),
             _ones((p == 1) & (y == 0)).alias("fp"), _ones((p == 0) & (y == 1)).alias("fn")]
 
@@ -61,8 +62,21 @@ def pipeline_metrics(scored: DataFrame, settled: DataFrame) -> DataFrame:
 
 # ── ranking ──────────────────────────────────────────────────────────────────
 
+def scored(score) -> Column:
+    """The score, NULL where there is none or it is not a number."""
+    score = (F.col(score) if isinstance(score, str) else score).cast("double")
+    return F.when(~F.isnan(score), score)
+
+
+def unscored(df: DataFrame, score="score") -> DataFrame:
+    """One row: rows in all, and rows without a usable score. Everywhere below,
+    such a row is one that no threshold flags: it ranks under every score."""
+    return df.agg(F.count(F.lit(1)).alias("n"), _ones(scored(score).isNull()).alias("unscored"))
+
+
 def _by_score(df: DataFrame, score: str, y: str) -> DataFrame:
-    return cumulative_by_value(df.select(F.col(score).alias("score"), F.col(y).alias("y")),
+    last = F.lit(float("-inf"))
+    return cumulative_by_value(df.select(F.coalesce(scored(score), last).alias("score"), F.col(y).alias("y")),
                                "score", {"pos": (F.col("y") == 1).cast("bigint"),
                                          "neg": (F.col("y") == 0).cast("bigint")}, descending=True)
 
@@ -100,7 +114,8 @@ def _steps_reached(score: Column) -> Column:
     guess = F.floor((score - GRID_START) / GRID_STEP)
     steps = (F.when(score >= _grid_value(guess + 1), guess + 2)
              .when(score >= _grid_value(guess), guess + 1).otherwise(guess))
-    return F.greatest(F.lit(0), F.least(F.lit(GRID_SIZE), steps)).cast("int")
+    reached = F.greatest(F.lit(0), F.least(F.lit(GRID_SIZE), steps)).cast("int")
+    return F.when(scored(score).isNull(), 0).otherwise(reached)
 
 
 def threshold_sweep(df: DataFrame, score="score", y="y") -> DataFrame:
@@ -139,11 +154,9 @@ def pick_threshold(df: DataFrame, budget: float | None = None, score="score",
 
 def score_range(df: DataFrame, columns: dict[str, str]) -> dict[str, tuple[float, float]]:
     """(1st, 99.5th percentile) per score column; columns maps name -> column."""
-    found = {}
-    for name, column in columns.items():
-        row = percentiles(df, column, {"lo": 0.01, "hi": 0.995}).first()
-        found[name] = (row.lo, row.hi)
-    return found
+    rows = percentiles_by(df, sorted(set(columns.values())), {"lo": 0.01, "hi": 0.995}).collect()
+    found = {r["column"]: (r.lo, r.hi) for r in rows}
+    return {name: found[column] for name, column in columns.items()}
 
 
 def calibrated_threshold(df: DataFrame, fpr: float, p="p") -> DataFrame:

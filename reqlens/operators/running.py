@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-VALUE_BUCKETS = 512
+EDGES = 512            # quantiles that cut the values of a column
+BUCKET_ROWS = 100_000  # rows of a bucket, about
 
 
 def running(df: DataFrame, keys: Sequence[str], at: str, value: str, out: str,
@@ -40,61 +40,92 @@ def running(df: DataFrame, keys: Sequence[str], at: str, value: str, out: str,
     return rows.withColumn(out, both).drop(block, before)
 
 
+def usable(value: Column) -> Column:
+    """The value as a double, NULL where it is missing or not a number."""
+    value = value.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def _buckets(value: str) -> Column:
+    """Bucket number of a value: its interval between quantiles, and, where a
+    quantile stands for more than BUCKET_ROWS rows, an equal slice of the interval."""
+    at = F.size(F.filter("_edges", lambda e: e <= F.col(value)))
+    low, high = F.get("_edges", at - 1), F.get("_edges", at)
+    slices = F.greatest(F.lit(1), F.ceil(F.col("_rows") / (EDGES * BUCKET_ROWS)))
+    part = F.when(low.isNotNull() & high.isNotNull() & (high > low) & (low > F.lit(float("-inf"))),
+                  F.floor((F.col(value) - low) / (high - low) * slices)).otherwise(0)
+    return at.cast("bigint") * slices + F.least(part.cast("bigint"), slices - 1)
+
+
 def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column],
-                        descending: bool = False, buckets: int = VALUE_BUCKETS) -> DataFrame:
-    """One row per distinct `value` with its `sums` and their running totals
-    (`cum_<name>`, inclusive) in value order.
-
-    Values are first combined map-side, then cut at approximate quantiles, so a
-    bucket holds about 1/buckets of the rows however the values cluster. Only
-    the bucket edges reach the driver and only bucket totals are broadcast; both
-    have at most `buckets` entries.
+                        descending: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """One row per distinct `value` (and `by`) with its `sums` and their running
+    totals (`cum_<name>`, inclusive) in value order. Missing values and NaN are
+    left out.
+
+    Values are first combined map-side, then cut at approximate quantiles, EDGES
+    of them for each `by`, and further where the data is large, so a bucket stays
+    small however many rows there are and however they cluster. Edges and bucket
+    totals are small tables.
     """
-    df = df.filter(F.col(value).isNotNull())
-    steps = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.percentile_approx(value, steps, 10_000).alias("edges")).first()
-    edges = sorted({float(e) for e in (found.edges or [])})
-    infinity = float("inf")
-
-    grouped = df.groupBy(F.col(value).cast("double").alias(value)).agg(
-        *[F.sum(col).alias(name) for name, col in sums.items()])
-    cut = Bucketizer(splits=[-infinity, *edges, infinity], inputCol=value, outputCol="_bucket")
-    grouped = cut.transform(grouped)
+    by = list(by)
+    key = by or ["_all"]
+    rows = df if by else df.withColumn("_all", F.lit(0))
+    rows = rows.withColumn(value, usable(F.col(value))).filter(F.col(value).isNotNull())
+    steps = [i / EDGES for i in range(1, EDGES)]
+    edges = rows.groupBy(*key).agg(
+        F.array_distinct(F.percentile_approx(value, steps, 10_000)).alias("_edges"),
+        F.count(F.lit(1)).alias("_rows"))
+
+    grouped = rows.groupBy(*key, value).agg(*[F.sum(col).alias(name) for name, col in sums.items()])
+    grouped = grouped.join(F.broadcast(edges), key)  # EDGES numbers for each key
+    grouped = grouped.withColumn("_bucket", _buckets(value)).drop("_edges", "_rows")
 
     def way(col):
         return F.desc(col) if descending else F.asc(col)
 
-    earlier = Window.orderBy(way("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = (grouped.groupBy("_bucket").agg(*[F.sum(n).alias(n) for n in sums])
-              .select("_bucket", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}")
-                                   for n in sums]))
-    inside = Window.partitionBy("_bucket").orderBy(way(value)).rowsBetween(
+    earlier = Window.partitionBy(*key).orderBy(way("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = (grouped.groupBy(*key, "_bucket").agg(*[F.sum(n).alias(n) for n in sums])
+              .select(*key, "_bucket", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(
+                  f"_before_{n}") for n in sums]))
+    inside = Window.partitionBy(*key, "_bucket").orderBy(way(value)).rowsBetween(
         Window.unboundedPreceding, 0)
-    out = grouped.join(F.broadcast(totals), "_bucket")
-    return out.select(value, *sums, *[
+    out = grouped.join(totals, [*key, "_bucket"])
+    return out.select(*by, value, *sums, *[
         (F.sum(n).over(inside) + F.col(f"_before_{n}")).alias(f"cum_{n}") for n in sums])
 
 
-def percentiles(df: DataFrame, value: str, wanted: dict[str, float]) -> DataFrame:
-    """One row of exact, linearly interpolated percentiles (0..1) of a column.
+def percentiles_by(df: DataFrame, columns: Sequence[str], wanted: dict[str, float]) -> DataFrame:
+    """Per column, exact, linearly interpolated percentiles (0..1): (column, <names>).
 
-    The built-in exact `percentile` keeps every distinct value of the column in
-    one task; this keeps one bucket of them.
+    All columns go through one ranking, as rows (column, value). The built-in exact
+    `percentile` keeps every distinct value of a column in one task; this keeps one
+    bucket of them. A column without a usable value has NULLs.
     """
-    ranked = cumulative_by_value(df.select(value), value, {"n": F.lit(1)})
-    total = df.agg(F.count(value)).scalar()
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), usable(F.col(c)).alias("value")) for c in columns])
+    long = df.select(F.explode(pairs).alias("p")).select("p.*")
+    ranked = cumulative_by_value(long, "value", {"n": F.lit(1)}, by=["column"])
+    # The last running total of a column is its number of values.
+    ends = ranked.groupBy("column").agg(F.max("cum_n").alias("_n"))
+    ranked = ranked.join(F.broadcast(ends), "column")  # a row per column
     first = F.col("cum_n") - F.col("n")
 
     def at_rank(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank < F.col("cum_n")), F.col(value)))
+        return F.max(F.when((first <= rank) & (rank < F.col("cum_n")), F.col("value")))
 
     picks = []
     for name, p in wanted.items():
-        spot = (total - 1) * p
-        picks += [at_rank(F.floor(spot)).alias(f"_lo_{name}"),
-                  at_rank(F.ceil(spot)).alias(f"_hi_{name}"),
+        spot = (F.col("_n") - 1) * p
+        picks += [at_rank(F.floor(spot)).alias(f"_lo_{name}"), at_rank(F.ceil(spot)).alias(f"_hi_{name}"),
                   F.max(spot - F.floor(spot)).alias(f"_at_{name}")]
-    row = ranked.agg(*picks)
-    return row.select(*[
+    found = ranked.groupBy("column").agg(*picks)
+    found = found.select("column", *[
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_at_{n}")).alias(n)
         for n in wanted])
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string").coalesce(1)
+    return names.join(found, "column", "left")
+
+
+def percentiles(df: DataFrame, value: str, wanted: dict[str, float]) -> DataFrame:
+    """One row of percentiles of one column; see percentiles_by."""
+    return percentiles_by(df, [value], wanted).select(*wanted)

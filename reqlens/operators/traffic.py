@@ -1,11 +1,11 @@
 """Traffic summaries over the event log and over test-load results."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reqlens.operators import eventlog
-from reqlens.operators.running import percentiles
+from reqlens.operators.running import percentiles_by, usable
 
 
 def _ones(condition):
@@ -58,19 +58,16 @@ def mean_evidence(df: DataFrame) -> DataFrame:
 
 
 def latency_summary(df: DataFrame, columns=("detect_ms", "latency_ms")) -> DataFrame:
-    """describe() with 50/95/99 %: one row per column, exact percentiles."""
-    out = None
-    for column in columns:
-        names = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-        # One subquery for all three, not one each.
-        spread = percentiles(df, column, names).select(F.struct(*names)).scalar()
-        row = df.agg(
-            F.lit(column).alias("column"), F.count(column).alias("count"),
-            F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"),
-            F.min(column).alias("min"), F.max(column).alias("max"),
-            F.max(spread).alias("p")).select("*", "p.*").drop("p")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """describe() with 50/95/99 %: one row per column, exact percentiles. NaN counts
+    as missing. Percentiles and moments each come from one aggregation of all columns."""
+    names = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    stats = df.agg(*[F.struct(
+        F.count(usable(F.col(c))).alias("count"), F.avg(usable(F.col(c))).alias("mean"),
+        F.stddev_samp(usable(F.col(c))).alias("std"), F.min(usable(F.col(c))).alias("min"),
+        F.max(usable(F.col(c))).alias("max")).alias(c) for c in columns])
+    parts = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in columns])
+    stats = stats.select(F.explode(parts).alias("r")).select("r.column", "r.s.*")
+    return stats.join(percentiles_by(df, columns, names), "column")
 
 
 def latency_sketch(df: DataFrame, columns=("detect_ms", "latency_ms"),
@@ -115,10 +112,10 @@ def traffic_series(df: DataFrame, time: str = "time", seconds: int = 5) -> DataF
 def clean_load_fpr(df: DataFrame) -> DataFrame:
     """On attack-free traffic every 403 is a false positive: per status its
     count, and the false-positive rate over everything sent."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    wrong = df.agg(_ones(F.col("status") == 403)).scalar()
-    return df.groupBy("status").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "fpr", wrong / F.greatest(F.lit(1), total))
+    every = Window.partitionBy()  # over a row per status
+    counts = df.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    wrong = F.coalesce(F.sum(F.when(F.col("status") == 403, F.col("n"))).over(every), F.lit(0))
+    return counts.withColumn("fpr", wrong / F.greatest(F.lit(1), F.sum("n").over(every)))
 
 
 def with_verdict(df: DataFrame) -> DataFrame:
