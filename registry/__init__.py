@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from registry import evaluation, log, models, rating, shapes, streams  # noqa: F401
+    from registry import edges, evaluation, log, models, rating, shapes, streams  # noqa: F401

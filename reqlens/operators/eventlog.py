@@ -29,10 +29,15 @@ RECENT_COLUMNS = ["time", "method", "template", "status", "action", "decided_by"
 
 
 def since(df: DataFrame, now: float, minutes: float | None) -> DataFrame:
-    """Events of the last `minutes`; without a limit, all of them."""
+    """Events of the last `minutes`; without a limit, all of them. Both filters
+    reach the scan, and the one on `dt`, where it exists, prunes directories."""
     if not minutes:
         return df
-    return df.filter(F.coalesce(F.col("ts"), F.lit(0.0)) >= now - minutes * 60)
+    first = now - minutes * 60
+    if "dt" in df.columns:
+        day = F.to_date(F.timestamp_seconds(F.lit(first)))
+        df = df.filter(F.col("dt") >= day)
+    return df.filter(F.col("ts") >= F.lit(first))
 
 
 def require_features(df: DataFrame) -> DataFrame:

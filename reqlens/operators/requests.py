@@ -6,9 +6,15 @@ from pyspark.sql import functions as F
 
 from reqlens.config import DEFAULTS, Settings
 from reqlens.functions import scalars, text
+from reqlens.schemas import FEATURE_NAMES
 
-PRIVATE = ("path", "query", "body", "user_agent", "content_type", "canon_path", "canon_body",
-           "xff", "peer")
+# What may leave the gateway beside the hashed client: numbers, verdicts and
+# templates, no request text. Columns that are not listed are dropped.
+PUBLIC = ("event_id", "ts", "us", "method", "template", "path_len", "body_size", "status",
+          "window_count", "burst_count", "window_distinct", "session_start", "latency_ms",
+          "detect_ms", "action", "enforced", "would_block", "layer", "reason", "probability",
+          "scores", "rule_hits", "categories", "degraded", "features", "label", "y", "family",
+          "header_count", "has_referer", "has_auth", *FEATURE_NAMES)
 
 
 def _or(name: str, default, df: DataFrame, kind: str) -> Column:
@@ -20,7 +26,7 @@ def _or(name: str, default, df: DataFrame, kind: str) -> Column:
 def to_request(df: DataFrame) -> DataFrame:
     """Canonical event columns with defaults; every other column passes through.
 
-    body_size falls back to the text length only where it is absent, so an
+    body_size falls back to the text's bytes only where it is absent, so an
     explicit 0 stays 0.
     """
     path = F.when(_or("path", "/", df, "string") == "", "/").otherwise(
@@ -28,7 +34,7 @@ def to_request(df: DataFrame) -> DataFrame:
     method = F.when(_or("method", "GET", df, "string") == "", "GET").otherwise(
         _or("method", "GET", df, "string"))
     body = _or("body", "", df, "string")
-    size = F.length(body).cast("bigint")
+    size = F.octet_length(body).cast("bigint")
     if "body_size" in df.columns:
         size = F.coalesce(F.col("body_size").cast("bigint"), size)
     template = text.path_template(path)
@@ -50,11 +56,14 @@ def split_oversize(df: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFr
 
 
 def truncate_body(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Only the first inspect_bytes bytes of the body are inspected.
+    """Only the first inspect_bytes bytes of the body are inspected; without
+    that limit, all of it.
 
     A character cut in half is dropped: of the four byte lengths that can end
     the last whole character, the longest valid one is kept.
     """
+    if settings.inspect_bytes is None:
+        return df
     raw = F.encode("body", "UTF-8")
     whole = F.coalesce(*[
         F.try_validate_utf8(F.substring(raw, 1, settings.inspect_bytes - k).cast("string"))
@@ -74,6 +83,6 @@ def gate_label(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 
 def privacy_projection(df: DataFrame) -> DataFrame:
-    """Drops every raw text column and hashes the client."""
-    keep = [c for c in df.columns if c not in PRIVATE and c != "client"]
+    """Keeps the PUBLIC columns and the hashed client."""
+    keep = [c for c in df.columns if c in PUBLIC]
     return df.select(*keep, scalars.hash_client("client").alias("client"))

@@ -46,12 +46,14 @@ class Fitted:
 
 
 def prepare(log: DataFrame, seed: int) -> DataFrame:
-    """Labelled rows as narrow numeric columns. The cut freezes the row ids that
-    later sampling hashes."""
+    """Labelled rows as narrow numeric columns, with row ids from their content: what
+    later sampling hashes doesn't depend on how the log is laid out. Equal rows share
+    an id, and with it their place in samples."""
     rows = from_map(eventlog.labelled_rows(log)).select(
         "y", "family", "client", "template", "body_size", "win",
         F.coalesce("burst_count", F.lit(0)).alias("burst_count"), "l1", "by_rule", *FEATURE_NAMES)
-    return cut(eventlog.with_pool(rows, seed).withColumn("row_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("row_id", F.xxhash64(*rows.columns))
+    return cut(eventlog.with_pool(rows, seed))
 
 
 def fit(log: DataFrame, settings: Settings = DEFAULTS, seed: int | None = None) -> Fitted:

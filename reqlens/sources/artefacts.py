@@ -62,7 +62,8 @@ def save_baseline(spark: SparkSession, store: Store, version: str, baseline: Bas
 
 
 def load_baseline(spark: SparkSession, store: Store, version: str | None) -> Baseline:
-    """Missing or unreadable means an empty baseline that is not ready."""
+    """A version without a baseline has an empty one that is not ready. Any other
+    failure to read is raised: it must not make every path look known."""
     if version is None:
         return empty_baseline(spark)
     try:
@@ -70,7 +71,9 @@ def load_baseline(spark: SparkSession, store: Store, version: str | None) -> Bas
         rate = spark.read.schema(RATE_BASELINE).parquet(store.at(version, "rate_baseline")).first()
         return Baseline(endpoints, rate["mean"], rate["std"], rate["n_samples"],
                         rate["n_samples"] > 0 and not endpoints.isEmpty())
-    except Exception:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return empty_baseline(spark)
 
 

@@ -58,8 +58,9 @@ def request_stream_kafka(spark: SparkSession, servers: str, topic: str,
 
 
 def write_event_log(df: DataFrame, path: str, name: str, fmt: str = "parquet",
-                    available_now: bool = False, interval: str = "1 second"):
-    """Starts an append-only sink, partitioned by day; returns the query."""
+                    available_now: bool = False, interval: str = "1 minute"):
+    """Starts an append-only sink, partitioned by day; returns the query. Each
+    interval writes a file per task and day, so short ones make many small files."""
     root = checkpoint_root(df.sparkSession)
     writer = (with_day(df).writeStream.format(fmt).outputMode("append").partitionBy("dt")
               .option("path", path).option("checkpointLocation", f"{root}/{name}").queryName(name))
