@@ -25,8 +25,10 @@ HELD_OUT_PARTS = 5  # rows with crc32(doc_id) mod 5 = 0 are never learned from
 
 @dataclass(frozen=True)
 class Toxicity:
-    sample_rows: int = 4000     # most training rows of each label: the bound of what is collected
-    beginnings: tuple = (4, 5, 6)  # bytes of a word's beginning, as features
+    # Most training rows that are toxic, and that aren't: the bound of what is collected.
+    toxic_rows: int = 1500
+    other_rows: int = 4500
+    beginnings: tuple = (4, 5)  # bytes of a word's beginning, as features
     # Log-likelihood ratio (G2) for a word's tokens to be toxic: in all rows, and then in
     # the toxic rows that have no such token yet.
     min_evidence: tuple = (27.0, 15.0)
@@ -61,13 +63,12 @@ def _tokens(texts: bw.Texts, opts: Toxicity):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, opts: Toxicity) -> list[tuple[str, int]]:
-    """(text, toxic) of at most 2 * sample_rows rows, of the least hashes of doc_id.
-    Held-out rows, and rows without id, label or text, are left out."""
+    """(text, toxic) of a bounded sample of rows, of the least hashes of doc_id. Held-out rows, and rows without id, label or text, are left out."""
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     rows = rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = rows.withColumn("_h", F.xxhash64("doc_id"))
-    part = [rows.filter(F.col("toxic") == y).orderBy("_h", "doc_id").limit(opts.sample_rows)
-            for y in (0, 1)]
+    part = [rows.filter(F.col("toxic") == y).orderBy("_h", "doc_id").limit(n)
+            for y, n in ((0, opts.other_rows), (1, opts.toxic_rows))]
     chosen = part[0].unionByName(part[1]).select(F.col("doc_id").alias("_id"), "toxic")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     texts = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # bounded above
@@ -75,8 +76,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, opts: Toxicity) -> list[tu
     return [(r["text"], r["toxic"]) for r in got.orderBy("doc_id").collect()]
 
 
-def _label_tokens(tokens, toxic: np.ndarray, opts: Toxicity) -> np.ndarray:
-    _, _, text, slots, _ = tokens
+def _label_tokens(text: np.ndarray, slots: list[np.ndarray], toxic: np.ndarray, opts: Toxicity) -> np.ndarray:
     out = np.zeros(len(text), bool)
     for least in opts.min_evidence:
         explained = np.zeros(len(toxic), bool)
@@ -87,9 +87,11 @@ def _label_tokens(tokens, toxic: np.ndarray, opts: Toxicity) -> np.ndarray:
         use = ~explained[text]
         more = np.zeros(len(text), bool)
         for hashes in slots:
-            once = np.unique(np.stack([hashes[use], text[use].astype(np.uint64)], axis=1), axis=0)
-            words, inverse = np.unique(once[:, 0], return_inverse=True)
-            bad = np.bincount(inverse, toxic[once[:, 1].astype(np.int64)], len(words))
+            # Once for each word and row.
+            pairs = bw.mix64(hashes[use] + bw.mix64(text[use].astype(np.uint64)))
+            once = np.unique(pairs, return_index=True)[1]
+            words, inverse = np.unique(hashes[use][once], return_inverse=True)
+            bad = np.bincount(inverse, toxic[text[use][once]], len(words))
             good = np.bincount(inverse, minlength=len(words)) - bad
             ratio = (bad / rows_bad) / ((good + 0.5) / rows_good)
             share = rows_bad / (rows_bad + rows_good)
@@ -119,24 +121,31 @@ def train(rows: list[tuple[str, int]], opts: Toxicity = Toxicity()) -> Model:
         share = 0.99 if toxic.sum() else 0.01
         return Model(empty, np.array([np.log(share / (1 - share)), 0.0, 0.0]))
     column = pa.array([t for t, _ in rows], pa.string())
-    data = bw.Texts(np.frombuffer(column.buffers()[2], np.uint8),
-                    np.frombuffer(column.buffers()[1], np.int32).astype(np.int64), 0)
-    tokens = _tokens(data, opts)
-    _, _, text, slots, bounds = tokens
-    tags = _label_tokens(tokens, toxic, opts)
-    # All lines with a toxic token, and as many others, spread over the sample.
-    line = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    has = np.zeros(len(bounds) - 1, bool)
+    text, line, slots, lines = [], [], [], 0
+    for texts in bw.chunks(column):
+        _, _, t, s, bounds = _tokens(texts, opts)
+        text.append(t + texts.first)
+        line.append(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) + lines)
+        slots.append(s)
+        lines += len(bounds) - 1
+    text, line = np.concatenate(text), np.concatenate(line)
+    slots = [np.concatenate(x) for x in zip(*slots)]
+    tags = _label_tokens(text, slots, toxic, opts)
+    # All lines with a toxic token, and others spread over the sample.
+    has = np.zeros(lines, bool)
     has[line[tags]] = True
     others = np.flatnonzero(~has)
-    wanted = max(2000, 2 * int(has.sum()))
-    has[others[::max(1, len(others) // wanted)]] = True
+    has[others[::max(1, len(others) // max(2000, 2 * int(has.sum())))]] = True
     use = has[line]
-    lengths = np.diff(bounds)[has]
-    chain = ch.fit([s[use] for s in slots], tags[use].astype(np.int64),
-                   np.append(0, np.cumsum(lengths)), 2)
-    p = ch.marginals(chain, chain.unary(slots), bounds)[0][:, 1]
-    x = _document(p, text, len(rows), opts.floor)
+    lengths = np.bincount(line[use], minlength=lines)[has]
+    chain = ch.fit([s[use] for s in slots], tags[use].astype(np.int64), np.append(0, np.cumsum(lengths)), 2)
+    del slots
+    parts = []
+    for texts in bw.chunks(column):
+        _, _, t, s, bounds = _tokens(texts, opts)
+        p = ch.marginals(chain, chain.unary(s), bounds)[0][:, 1]
+        parts.append(_document(p, t, len(texts), opts.floor))
+    x = np.concatenate(parts)
     curve = np.zeros(3)
     for _ in range(50):  # Newton's method with a small penalty
         q = 1 / (1 + np.exp(-x @ curve))

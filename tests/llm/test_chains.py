@@ -112,7 +112,7 @@ def test_toxicity_learns_from_no_held_out_row(spark):
     got = toxicity.training_rows(docs, frame, toxicity.Toxicity())
     want = [(dict(rows)[d], t) for d, _, t in labels if zlib.crc32(str(d).encode()) % 5]
     assert sorted(got) == sorted(want)
-    assert len(toxicity.training_rows(docs, frame, toxicity.Toxicity(sample_rows=5))) == 10
+    assert len(toxicity.training_rows(docs, frame, toxicity.Toxicity(toxic_rows=4, other_rows=5))) == 9
 
 
 def test_toxicity_of_odd_rows(spark, odd_docs, odd_rows, no_docs):
