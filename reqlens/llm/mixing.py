@@ -118,7 +118,7 @@ def streams(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     before: a source with a third of all rows is spread over many tasks.
     """
     text = F.concat_ws(":", F.lit(mix.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
-                       F.col("key").cast("string"))
+                       F.col("size").cast("string"))
     rows = sizes.withColumn("_order", F.md5(text.cast("binary")))
     count = rows.count()
     digits = 1

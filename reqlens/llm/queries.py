@@ -4,7 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES, ORACLE = {}, {}
+from reqlens.llm.oracle import ORACLE  # noqa: F401
+
+QUERIES = {}
 
 
 def query(fn):
