@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import row_key, text_of
+from reqlens.llm.common import let, row_key, text_of, without
 
 # After A-Z became a-z: runs of digits, a-z and all characters beyond ASCII.
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -19,13 +19,17 @@ def item_words(text: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(ITEM_WORD), F.lit(0))
 
 
-def _places(words: Column, length: int) -> Column:
-    """(pos, len, hash) of each window of so many words."""
-    n = F.size(words)
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _places(hashes: Column, length: int) -> Column:
+    """(pos, len, hash) of each window of so many words, from the words' hashes."""
+    n = F.size(hashes)
     return F.when(n >= length, F.transform(
         F.sequence(F.lit(0), n - length), lambda i: F.struct(
             i.alias("pos"), F.lit(length).alias("len"),
-            F.xxhash64(F.slice(words, i + 1, F.lit(length))).alias("hash")))
+            F.xxhash64(F.slice(hashes, i + 1, F.lit(length))).alias("hash")))
     ).otherwise(F.array().cast("array<struct<pos:int,len:int,hash:bigint>>"))
 
 
@@ -39,7 +43,8 @@ def test_windows(benchmark: DataFrame, window: int = 10) -> DataFrame:
     rows = items.select("item", F.explode(F.transform(
         starts, lambda i: F.slice("w", i, F.lit(window)))).alias("words"))
     return rows.groupBy("words").agg(F.collect_set("item").alias("items")).select(
-        F.size("words").alias("len"), F.xxhash64("words").alias("hash"), "words", "items")
+        F.size("words").alias("len"), F.xxhash64(word_hashes(F.col("words"))).alias("hash"),
+        "words", "items")
 
 
 def _covered(spans: Column) -> Column:
@@ -55,7 +60,7 @@ def _covered(spans: Column) -> Column:
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10,
          broadcast_windows: int = 2_000_000) -> DataFrame:
-    """Per distinct (doc_id, text): doc_id, _key, copies (repeated rows), n_words,
+    """Per distinct (doc_id, text): doc_id, key, copies (repeated rows), n_words,
     spans (word position and length of each hit window), items (ids, as strings).
 
     Each text is scanned once; only its hits leave the task. Up to broadcast_windows
@@ -66,26 +71,31 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     shape = tests.groupBy("len").count().collect()  # at most `window` rows
     small = sum(r["count"] for r in shape) <= broadcast_windows
     lengths = sorted(r["len"] for r in shape)
-    d = docs.select("doc_id", row_key().alias("_key"), item_words(text_of()).alias("_words"))
+    d = docs.select("doc_id", row_key().alias("key"), item_words(text_of()).alias("_words"))
     d = d.withColumn("n_words", F.size("_words").cast("long"))
     # One place of length 0 stands for the document itself, and hits nothing.
-    itself = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.col("_key").alias("hash")))
-    places = F.concat(itself, *[_places(F.col("_words"), n) for n in lengths])
-    rows = d.select("doc_id", "_key", "n_words", "_words", F.explode(places).alias("p"))
+    itself = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.col("key").alias("hash")))
+    places = let(word_hashes(F.col("_words")),
+                 lambda h: F.concat(itself, *[_places(h, n) for n in lengths]))
+    # No list of places is empty. A plain explode would first filter on that, and so make
+    # every list twice.
+    rows = d.select("doc_id", "key", "n_words", "_words", F.explode_outer(places).alias("p"))
     at = F.slice("_words", F.col("p.pos") + 1, F.col("p.len"))
     if small:
         tests, found = F.broadcast(tests), at
     else:  # whole texts must not be shuffled with each of their windows
-        rows = rows.select("doc_id", "_key", "n_words", "p", at.alias("_at"))
+        rows = rows.select("doc_id", "key", "n_words", "p", at.alias("_at"))
         found = F.col("_at")
-    rows = rows.join(tests, (rows["p.hash"] == tests["hash"]) & (rows["p.len"] == tests["len"])
-                     & (found == tests["words"]), "left")
+    # Words are compared behind the join: in its condition they would become a key, and
+    # be hashed for every window.
+    rows = rows.join(tests, (rows["p.hash"] == tests["hash"]) & (rows["p.len"] == tests["len"]), "left")
     itself = F.col("p.len") == 0
-    rows = rows.filter(itself | F.col("items").isNotNull())
-    return rows.groupBy("doc_id", "_key", "n_words").agg(
-        F.sum(itself.cast("long")).alias("copies"),
-        F.collect_set(F.when(F.col("items").isNotNull(), F.struct("p.pos", "p.len"))).alias("spans"),
-        F.collect_set("items").alias("items")).withColumn(
+    rows = rows.filter(itself | F.col("items").isNotNull()).select(
+        "doc_id", "key", "n_words", "p", "items", F.coalesce(found == F.col("words"), F.lit(False)).alias("hit"))
+    return rows.groupBy("doc_id", "key", "n_words").agg(
+        F.sum((F.col("p.len") == 0).cast("long")).alias("copies"),
+        F.collect_set(F.when(F.col("hit"), F.struct("p.pos", "p.len"))).alias("spans"),
+        F.collect_set(F.when(F.col("hit"), F.col("items"))).alias("items")).withColumn(
         "items", F.array_sort(F.array_distinct(F.flatten("items"))))
 
 
@@ -101,8 +111,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without the documents that hold a test window. Columns stay as they are."""
-    bad = hits(docs, benchmark, window).filter(F.size("spans") > 0).select(
-        F.col("doc_id").alias("_bad_id"), F.col("_key").alias("_bad_key"))
-    keyed = docs.withColumn("_key", row_key())
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["_bad_id"])
-                      & (keyed["_key"] == bad["_bad_key"]), "left_anti").drop("_key")
+    return without(docs, hits(docs, benchmark, window).filter(F.size("spans") > 0))
