@@ -71,7 +71,7 @@ def _vector_model(spark, sf):
 @query("iforest_scores")
 def iforest_scores(spark, sf):
     df, base, vector = _vector_model(spark, sf)
-    nodes, sample = forest.fit_forest(base, vector, "vec_id", trees=100, sample=256)
+    nodes, sample = forest.fit_forest(base, vector, "vec_id", DEFAULTS.forest_trees, DEFAULTS.forest_samples)
     scored_ = forest.score_forest(df, vector, forest.load_forest(nodes, sample))
     return scored_.select("vec_id", "label", r6("if_raw").alias("if_raw"))
 
@@ -79,7 +79,7 @@ def iforest_scores(spark, sf):
 @query("iforest_nodes")
 def iforest_nodes(spark, sf):
     _, base, vector = _vector_model(spark, sf)
-    nodes, _ = forest.fit_forest(base, vector, "vec_id", trees=20, sample=64)
+    nodes, _ = forest.fit_forest(base, vector, "vec_id", DEFAULTS.forest_trees, DEFAULTS.forest_samples)
     return nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"),
                                      F.max(F.when(F.col("node") == 0, F.col("size"))).alias("rows"))
 
@@ -87,7 +87,7 @@ def iforest_nodes(spark, sf):
 @query("autoencoder_scores")
 def autoencoder_scores(spark, sf):
     df, base, vector = _vector_model(spark, sf)
-    net, _ = autoencoder.fit_autoencoder(base, vector, "vec_id", DEFAULTS.but(ae_epochs=5))
+    net, _ = autoencoder.fit_autoencoder(base, vector, "vec_id", DEFAULTS)
     return autoencoder.score_autoencoder(df, vector, net).select(
         "vec_id", "label", r6("ae_raw").alias("ae_raw"))
 
@@ -144,14 +144,14 @@ def enforcement_modes(spark, sf):
         decide.would_block().alias("would_block"), decide.response_status(small).alias("seen"))
 
 
-def _small_models(spark, sf):
-    """Detectors fitted on all normal event requests, with few trees and rounds."""
+def _models(spark, sf):
+    """Detectors fitted on all normal event requests."""
     df = cut(featured(spark, sf))
     base = df.filter("y = 0")
     params = scaler.parameters(scaler.fit_scaler(base, FEATURE_NAMES), FEATURE_NAMES)
     vector = scaler.scaled_vector(params)
-    nodes, sample = forest.fit_forest(base, vector, "event_id", trees=20, sample=128)
-    net, _ = autoencoder.fit_autoencoder(base, vector, "event_id", DEFAULTS.but(ae_epochs=2))
+    nodes, sample = forest.fit_forest(base, vector, "event_id", DEFAULTS.forest_trees, DEFAULTS.forest_samples)
+    net, _ = autoencoder.fit_autoencoder(base, vector, "event_id", DEFAULTS)
     learner = meta.Meta(-3.0, {"rate": 2.0, "isolation_forest": 2.0, "autoencoder": 4.0})
     return df, ModelSet(params, forest.load_forest(nodes, sample), net, learner,
                         bl.empty_baseline(spark), {"if": (-0.1, 0.2), "ae": (0.0, 2.0)}, 0.5,
@@ -161,11 +161,8 @@ def _small_models(spark, sf):
 @query("decision_models")
 def decision_models(spark, sf):
     """The full cascade with fitted models over event requests."""
-    df, models = _small_models(spark, sf)
-    df = df.drop(*FEATURE_NAMES).withColumns({
-        "path_decode_delta": F.lit(0.0), "q_decode_delta": F.lit(0.0), "path_known": F.lit(1.0),
-        "canon_path": F.col("path"), "canon_body": F.col("body"),
-        "body_mean": F.lit(None).cast("double"), "body_std": F.lit(None).cast("double"),
+    df, models = _models(spark, sf)
+    df = df.withColumns({
         "window_count": F.col("event_id") % 9, "burst_count": F.col("event_id") % 4,
         "rate_limited": F.col("event_id") % 50 == 0, "rate_reason": F.lit("")})
     out = decide.decide(df.withColumn("hits", rules.scan()), models, DAY)
@@ -179,13 +176,11 @@ SELECT 'L-error' AS layer, 'block' AS action, 'inference failure, failing closed
   count(*) AS n, true AS degraded, 1.0 AS probability FROM events WHERE event_id % 7 = 0""")
 def fail_closed(spark, sf):
     """Every seventh request carries a value that is not finite."""
-    df, models = _small_models(spark, sf)
+    df, models = _models(spark, sf)
     broken = F.when(F.col("event_id") % 7 == 0, float("nan")).otherwise(0.0)
-    df = df.drop(*FEATURE_NAMES).withColumns({
-        "path_decode_delta": broken, "q_decode_delta": F.lit(0.0), "path_known": F.lit(1.0),
-        "body_mean": F.lit(None).cast("double"), "body_std": F.lit(None).cast("double"),
-        "window_count": F.lit(0), "burst_count": F.lit(0), "rate_limited": F.lit(False),
-        "rate_reason": F.lit(""), "canon_path": F.lit("/"), "canon_body": F.lit("")})
+    df = df.withColumns({
+        "path_decode_delta": F.col("path_decode_delta") + broken, "window_count": F.lit(0),
+        "burst_count": F.lit(0), "rate_limited": F.lit(False), "rate_reason": F.lit("")})
     out = decide.decide(df.withColumn("hits", rules.scan()), models, DAY)
     return out.filter("layer = 'L-error'").groupBy(
         "layer", "action", "reason", "degraded", "probability").agg(F.count(F.lit(1)).alias("n"))
@@ -193,9 +188,6 @@ def fail_closed(spark, sf):
 
 # ── training ─────────────────────────────────────────────────────────────────
 
-SMALL = DAY.but(forest_trees=50, forest_samples=256, ae_epochs=4)
-
-
 def training_log(spark, sf):
     """Event log with all features and labels, for the training plans."""
     df = featured(spark, sf).join(event_log(spark, sf).select(
@@ -208,7 +200,7 @@ def training_log(spark, sf):
 
 @query("train_report")
 def train_report(spark, sf):
-    report = train.train(training_log(spark, sf), SMALL)
+    report = train.train(training_log(spark, sf), DAY)
     families = report.frames["families"]
     return families.select("family", "ml_n", r6("ml_recall").alias("ml_recall"), "l1_caught",
                            r6("pipeline_recall").alias("pipeline_recall"), "novel",
@@ -217,7 +209,7 @@ def train_report(spark, sf):
 
 @query("compare_detectors")
 def compare_detectors(spark, sf):
-    table, _ = train.compare(train.fit(training_log(spark, sf), SMALL), SMALL)
+    table, _ = train.compare(train.fit(training_log(spark, sf), DAY), DAY)
     return table
 
 

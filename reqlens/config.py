@@ -42,6 +42,7 @@ class Settings:
     forest_trees: int = 300
     forest_samples: int = 4_096
     ae_shards: int = 8
+    ae_sync_epochs: int = 5  # passes over a shard between two averages
     ae_hidden: int = 32
     ae_bottleneck: int = 12
     ae_lr: float = 1e-3

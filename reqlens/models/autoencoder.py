@@ -1,8 +1,8 @@
 """Dense autoencoder trained by distributed parameter averaging.
 
 Rows belong to settings.ae_shards shards by their key's hash, whatever the data's
-size and the cluster's. Each round, every shard runs mini-batch Adam over its own
-rows, in key order, from the shared state, and the states are averaged, weighted by
+size and the cluster's. Each round, every shard runs ae_sync_epochs passes of
+mini-batch Adam over its own rows, batch by batch in key order, from the shared state, and the states are averaged, weighted by
 rows (Zinkevich et al., 2010). Averaging is a Spark aggregation per parameter; the
 driver only sees the result, a few thousand numbers. One shard gives plain sequential
 training; more shards than slots queue.
@@ -108,8 +108,10 @@ def _train(rows: DataFrame, width: int, settings: Settings, seed: int):
     state = np.concatenate([flat, np.zeros(2 * size), [0.0]])
     best, best_flat, waited, history = np.inf, flat, 0, []
 
-    for round_ in range(settings.ae_epochs + 1):
-        total = _round(rows, net, state, round_, settings, seed, last=round_ == settings.ae_epochs)
+    sync = max(1, min(settings.ae_sync_epochs, settings.ae_epochs))
+    rounds = -(-settings.ae_epochs // sync)
+    for round_ in range(rounds + 1):
+        total = _round(rows, net, state, round_, settings, seed, last=round_ == rounds)
         # Slots past the state: held-out error sum, held-out rows, trained rows.
         error, held, trained = total[-3:]
         if round_ > 0 and held > 0:
@@ -119,7 +121,7 @@ def _train(rows: DataFrame, width: int, settings: Settings, seed: int):
             if loss < best - 1e-7:
                 best, best_flat, waited = loss, state[:size], 0
             else:
-                waited += 1
+                waited += sync
                 if waited >= settings.ae_patience:
                     break
         if trained > 0:
@@ -133,6 +135,7 @@ def _round(rows, net, state, round_, settings, seed, last):
     """Sums over partitions of [rows * new state..., error, held rows, rows]."""
     size = (len(state) - 1) // 3
     batch, lr, noise = settings.ae_batch, settings.ae_lr, settings.ae_noise
+    sync = max(1, min(settings.ae_sync_epochs, settings.ae_epochs))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flat, m, v = state[:size], state[size:2 * size], state[2 * size:3 * size]
@@ -149,7 +152,8 @@ def _round(rows, net, state, round_, settings, seed, last):
                 held += int(out.sum())
             if not last and (~out).any():
                 n += int((~out).sum())
-                flat, m, v, t = local_pass(net, flat, m, v, t, X[~out], batch, lr, noise, rng)
+                for _ in range(sync):
+                    flat, m, v, t = local_pass(net, flat, m, v, t, X[~out], batch, lr, noise, rng)
         new = np.concatenate([flat, m, v, [t]]) * n
         values = np.concatenate([new, [error, held, n]])
         yield pd.DataFrame({"i": np.arange(len(values), dtype="int32"), "value": values})
