@@ -1,4 +1,6 @@
 """The cascade: order of layers, enforcement, failing closed, privacy."""
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +132,24 @@ def test_oversize_is_refused_before_counting(spark):
 def test_unknown_mode_is_refused():
     with pytest.raises(ValueError):
         Settings(mode="loud")
+
+
+def test_no_text_reaches_a_shuffle(spark):
+    df = requests_of(spark, PLAIN, ATTACK, FLAGGED).drop(
+        "window_count", "burst_count", "window_distinct", "rate_limited", "rate_reason")
+    assert not set(scoring.TEXT) & set(scoring.shape(scoring.accept(df)[0]).columns)
+
+    def nodes(node):
+        yield node
+        for i in range(node.children().size()):
+            yield from nodes(node.children().apply(i))
+    plan = scoring.score_requests(df)._jdf.queryExecution().optimizedPlan()
+    shuffled = [n.output().mkString(" ") for n in nodes(plan) if n.nodeName() in ("Window", "Aggregate", "Join")]
+    assert shuffled and not [o for o in shuffled if re.search(r"\b(path|query|body|canon_path|canon_body)#", o)]
+
+
+def test_missing_layers_and_sizes_in_bytes(spark):
+    row = spark.sql("SELECT 'block' AS action, CAST(NULL AS STRING) AS layer, 'é' AS body")
+    assert row.select(decide.enforced(DEFAULTS)).first()[0] is True
+    assert requests.to_request(row).first().body_size == 2
+    assert requests.privacy_projection(spark.sql("SELECT 'c' AS client, 'x' AS html, 1 AS status")).columns == ["status", "client"]
