@@ -1,6 +1,7 @@
 """Helpers that several corpus operators share."""
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -48,6 +49,17 @@ def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
                      "left_anti").select("row.*")
 
 
+def draw_rate(n: int, count: int) -> float:
+    """The share of `count` rows that yields n of them almost surely, and hardly more.
+    Sampling by rate first keeps a bounded sample from gathering n rows of every task."""
+    return min(1.0, (n + 6 * math.sqrt(n) + 10) / max(1, count))
+
+
+def place_of(hashed: str) -> Column:
+    """A hash as a number from 0 to 1."""
+    return F.pmod(F.col(hashed), F.lit(1 << 32)) / float(1 << 32)
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from reqlens.llm import bytewords as bw
 from reqlens.llm import chain as ch
+from reqlens.llm.common import draw_rate, place_of
 
 # Kinds in the order in which they are listed, and their patterns.
 PATTERNS = {
@@ -108,11 +109,16 @@ def _tokens(texts: bw.Texts):
 
 
 def labelled_table(docs: DataFrame, opts: Pii) -> list[str]:
-    """At most sample_rows texts: half with a digit or @, half without, of least hashes."""
+    """At most sample_rows distinct texts of least hashes: half with a digit or @ in
+    such places as personal data has, half without. Two scans, and one row per text."""
     rows = docs.select(F.col("text").cast("string").alias("text")).filter("length(text) > 0").select(
         "text", F.col("text").rlike(r"@|\+[0-9]|[0-9]{4}|[0-9]\.[0-9]").alias("some"), F.xxhash64("text").alias("_h"))
-    parts = [rows.filter(F.col("some") == y).orderBy("_h").limit(opts.sample_rows // 2) for y in (True, False)]
-    return [r["text"] for r in parts[0].unionByName(parts[1]).collect()]
+    half = opts.sample_rows // 2
+    rates = {r["some"]: draw_rate(half, r["count"]) for r in rows.groupBy("some").count().collect()}
+    rate = F.when(F.col("some"), rates.get(True, 1.0)).otherwise(rates.get(False, 1.0))
+    drawn = rows.filter(place_of("_h") < rate).groupBy("some", "_h").agg(F.min("text").alias("text"))
+    drawn = sorted(drawn.collect(), key=lambda r: (r["_h"] % (1 << 32), r["_h"]))
+    return [r["text"] for y in (True, False) for r in [r for r in drawn if r["some"] == y][:half]]
 
 
 def train(rows: list[str]) -> ch.Chain:
