@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from reqlens.llm import bytewords as bw
 from reqlens.llm import chain as ch
+from reqlens.llm.common import draw_rate, place_of
 
 HELD_OUT_PARTS = 5  # rows with crc32(doc_id) mod 5 = 0 are never learned from
 
@@ -26,8 +27,8 @@ HELD_OUT_PARTS = 5  # rows with crc32(doc_id) mod 5 = 0 are never learned from
 @dataclass(frozen=True)
 class Toxicity:
     # Most training rows that are toxic, and that aren't: the bound of what is collected.
-    toxic_rows: int = 1500
-    other_rows: int = 4500
+    toxic_rows: int = 1000
+    other_rows: int = 3000
     beginnings: tuple = (4, 5)  # bytes of a word's beginning, as features
     # Log-likelihood ratio (G2) for a word's tokens to be toxic: in all rows, and then in
     # the toxic rows that have no such token yet.
@@ -67,8 +68,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, opts: Toxicity) -> list[tu
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     rows = rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = rows.withColumn("_h", F.xxhash64("doc_id"))
-    part = [rows.filter(F.col("toxic") == y).orderBy("_h", "doc_id").limit(n)
-            for y, n in ((0, opts.other_rows), (1, opts.toxic_rows))]
+    wanted = {0: opts.other_rows, 1: opts.toxic_rows}
+    counts = {r["toxic"]: r["count"] for r in rows.filter(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
+    part = [rows.filter((F.col("toxic") == y) & (place_of("_h") < draw_rate(n, counts.get(y, 0))))
+            .orderBy(place_of("_h"), "_h", "doc_id").limit(n) for y, n in wanted.items()]
     chosen = part[0].unionByName(part[1]).select(F.col("doc_id").alias("_id"), "toxic")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     texts = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # bounded above
@@ -135,7 +138,7 @@ def train(rows: list[tuple[str, int]], opts: Toxicity = Toxicity()) -> Model:
     has = np.zeros(lines, bool)
     has[line[tags]] = True
     others = np.flatnonzero(~has)
-    has[others[::max(1, len(others) // max(2000, 2 * int(has.sum())))]] = True
+    has[others[::max(1, len(others) // max(2000, int(has.sum())))]] = True
     use = has[line]
     lengths = np.bincount(line[use], minlength=lines)[has]
     chain = ch.fit([s[use] for s in slots], tags[use].astype(np.int64), np.append(0, np.cumsum(lengths)), 2)
