@@ -23,14 +23,11 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _places(hashes: Column, length: int) -> Column:
-    """(pos, len, hash) of each window of so many words, from the words' hashes."""
+def _windows(hashes: Column, length: int) -> Column:
+    """A hash of each window of so many words, from the words' hashes."""
     n = F.size(hashes)
-    return F.when(n >= length, F.transform(
-        F.sequence(F.lit(0), n - length), lambda i: F.struct(
-            i.alias("pos"), F.lit(length).alias("len"),
-            F.xxhash64(F.slice(hashes, i + 1, F.lit(length))).alias("hash")))
-    ).otherwise(F.array().cast("array<struct<pos:int,len:int,hash:bigint>>"))
+    return F.when(n >= length, F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: F.xxhash64(
+        F.slice(hashes, i, F.lit(length))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def test_windows(benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -73,28 +70,35 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     lengths = sorted(r["len"] for r in shape)
     d = docs.select("doc_id", row_key().alias("key"), item_words(text_of()).alias("_words"))
     d = d.withColumn("n_words", F.size("_words").cast("long"))
-    # One place of length 0 stands for the document itself, and hits nothing.
-    itself = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.col("key").alias("hash")))
-    places = let(word_hashes(F.col("_words")),
-                 lambda h: F.concat(itself, *[_places(h, n) for n in lengths]))
+    # The first place stands for the document itself; then the windows of each length.
+    places = let(word_hashes(F.col("_words")), lambda h: F.concat(
+        F.array(F.col("key")), *[_windows(h, n) for n in lengths]))
     # No list of places is empty. A plain explode would first filter on that, and so make
     # every list twice.
-    rows = d.select("doc_id", "key", "n_words", "_words", F.explode_outer(places).alias("p"))
-    at = F.slice("_words", F.col("p.pos") + 1, F.col("p.len"))
+    rows = d.select("doc_id", "key", "n_words", "_words", F.posexplode_outer(places).alias("at", "_hash"))
+    length, pos, base = F.when(F.col("at") == 0, 0), F.when(F.col("at") == 0, 0), F.lit(1)
+    for n in lengths:
+        end = base + F.greatest(F.lit(0), F.size("_words") - n + 1)
+        length = length.when(F.col("at") < end, n)
+        pos = pos.when(F.col("at") < end, F.col("at") - base)
+        base = end
+    at = F.slice("_words", pos + 1, length)
     if small:
         tests, found = F.broadcast(tests), at
     else:  # whole texts must not be shuffled with each of their windows
-        rows = rows.select("doc_id", "key", "n_words", "p", at.alias("_at"))
-        found = F.col("_at")
+        rows = rows.select("doc_id", "key", "n_words", "at", "_hash", length.alias("_len"), pos.alias("_pos"),
+                           at.alias("_at"))
+        found, length, pos = F.col("_at"), F.col("_len"), F.col("_pos")
     # Words are compared behind the join: in its condition they would become a key, and
     # be hashed for every window.
-    rows = rows.join(tests, (rows["p.hash"] == tests["hash"]) & (rows["p.len"] == tests["len"]), "left")
-    itself = F.col("p.len") == 0
+    rows = rows.join(tests, rows["_hash"] == tests["hash"], "left")
+    itself = F.col("at") == 0
     rows = rows.filter(itself | F.col("items").isNotNull()).select(
-        "doc_id", "key", "n_words", "p", "items", F.coalesce(found == F.col("words"), F.lit(False)).alias("hit"))
+        "doc_id", "key", "n_words", itself.alias("itself"), "items", pos.alias("pos"), length.alias("len"),
+        (~itself & F.coalesce(found == F.col("words"), F.lit(False))).alias("hit"))
     return rows.groupBy("doc_id", "key", "n_words").agg(
-        F.sum((F.col("p.len") == 0).cast("long")).alias("copies"),
-        F.collect_set(F.when(F.col("hit"), F.struct("p.pos", "p.len"))).alias("spans"),
+        F.sum(F.col("itself").cast("long")).alias("copies"),
+        F.collect_set(F.when(F.col("hit"), F.struct("pos", "len"))).alias("spans"),
         F.collect_set(F.when(F.col("hit"), F.col("items"))).alias("items")).withColumn(
         "items", F.array_sort(F.array_distinct(F.flatten("items"))))
 
