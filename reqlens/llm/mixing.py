@@ -25,7 +25,7 @@ class Mix:
     block_words: int = 4096    # longest block
     slots_per_source: int = 256  # fewest slots of a source, so that its share comes near
     chunk_slots: int = 65_536  # slots ranked together
-    bucket_rows: int = 20_000  # documents of a source ordered together
+    bucket_rows: int = 2_000  # documents of a source ordered together
     seed: str = "mix"
 
 
