@@ -1,11 +1,16 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by fingerprints of word windows over line hashes.
 
 A line is a physical line, wrapped at ends of sentences so that a passage inside a
-paragraph is seen. In every window of `window` lines the one with the least hash is a
-fingerprint, so any run of so many lines that two documents share has a fingerprint in
-common. A fingerprint's later places are joined with its first place, the match is
-extended both ways line by line, and runs of at least `min_words` words are deleted
-from the later document. The first place of a line is never deleted.
+paragraph is seen. Windows are tied to words: from each line on, and up to each line,
+the fewest lines that have `min_words` words. Every window is a fingerprint, with the
+hash of all its lines, so its first place is that of the same run of lines. A window
+that stood before is deleted; the first place of a window is never deleted.
+
+That is all there is to find: a run of at least `min_words` words that stood before has
+each of its lines in a window inside it (up to the line if the words suffice, else from
+the run's first line on), and each window is such a run itself. The minima that winnow()
+takes can't stand for the windows: the shortest run holds a single one, and the first
+place of a line says nothing about the lines beside it.
 """
 from __future__ import annotations
 
@@ -26,7 +31,6 @@ _END[list(b".!?")] = True
 
 @dataclass(frozen=True)
 class LineDedup:
-    window: int = 3      # lines
     min_words: int = 30  # of a run that is deleted
 
 
@@ -46,6 +50,28 @@ def winnow(hashes: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
     return np.unique(best[full])
 
 
+def word_windows(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, least: int):
+    """Hash, first line and end (lines) of the windows, in the order of their lines: per
+    line the fewest lines from it on, and the fewest up to it, that have `least` words."""
+    n = len(hashes)
+    sums = np.append(0, np.cumsum(words, dtype=np.int64))
+    at = np.arange(n)
+    to = np.searchsorted(sums, sums[:-1] + least)  # from each line on
+    back = np.searchsorted(sums, sums[1:] - least, side="right") - 1  # up to each line
+    a, b = np.append(at, back), np.append(to, at + 1)
+    inside = (a >= 0) & (b <= n)
+    a, b = a[inside], b[inside]
+    inside = doc[a] == doc[b - 1]
+    pair = np.unique(a[inside] * (n + 1) + b[inside])
+    a, b = pair // (n + 1), pair % (n + 1)
+    size = b - a
+    out = size.astype(np.uint64)
+    for j in range(int(size.max(initial=0))):
+        long = np.flatnonzero(size > j)
+        out[long] += hashes[a[long] + j] * (bw.mix64(np.array([j + 1], np.uint64)) | np.uint64(1))
+    return bw.mix64(out), a, b
+
+
 def _lines(texts: bw.Texts):
     """Hash, words, start and end (bytes) and text of each line that has a word."""
     starts, ends, text = texts.words(bw.NOT_SPACE)
@@ -64,9 +90,9 @@ def _lines(texts: bw.Texts):
 
 
 def lines(docs: DataFrame, opts: LineDedup) -> DataFrame:
-    """One row per row of docs: doc_id, key, hashes, words, start and end (code points)
-    of its lines, and picks, the places of its fingerprints."""
-    window = opts.window
+    """One row per row of docs: doc_id, key, words, start and end (code points) of its
+    lines, and prints, at and to: hash, first line and end of its windows."""
+    least = max(1, opts.min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,43 +102,24 @@ def lines(docs: DataFrame, opts: LineDedup) -> DataFrame:
                 base = chars[texts.offsets[doc]]
                 counts = np.bincount(doc, minlength=len(texts))
                 first = np.append(0, np.cumsum(counts))
-                picks = winnow(hashes, doc, window)
+                prints, a, b = word_windows(hashes, words, doc, least)
+                of = doc[a]
+                held = np.bincount(of, minlength=len(texts))
                 part = batch.slice(texts.first, len(texts))
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("key"),
-                    bw.list_array(hashes.view(np.int64), counts, pa.int64()),
                     bw.list_array(words.astype(np.int32), counts, pa.int32()),
                     bw.list_array((chars[start] - base).astype(np.int32), counts, pa.int32()),
                     bw.list_array((chars[end] - base).astype(np.int32), counts, pa.int32()),
-                    bw.list_array((picks - first[doc[picks]]).astype(np.int32),
-                                  np.bincount(doc[picks], minlength=len(texts)), pa.int32()),
-                ], names=["doc_id", "key", "hashes", "words", "start", "end", "picks"])
+                    bw.list_array(prints.view(np.int64), held, pa.int64()),
+                    bw.list_array((a - first[of]).astype(np.int32), held, pa.int32()),
+                    bw.list_array((b - first[of]).astype(np.int32), held, pa.int32()),
+                ], names=["doc_id", "key", "words", "start", "end", "prints", "at", "to"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", row_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, key long, hashes array<long>, words array<int>, start array<int>, "
-             "end array<int>, picks array<int>")
-
-
-def extend(mine: list[int], other: list[int], anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Runs [from, to) of `mine` that equal `other` around the anchors (place in mine,
-    place in other)."""
-    out: list[tuple[int, int]] = []
-    done: dict[int, int] = {}  # diagonal: end of its last run
-    for p, q in sorted(anchors):
-        shift = p - q
-        least = done.get(shift, 0)
-        if least > p:
-            continue
-        a, b = p, p + 1
-        low, high = max(least, shift), min(len(mine), len(other) + shift)
-        while a > low and mine[a - 1] == other[a - 1 - shift]:
-            a -= 1
-        while b < high and mine[b] == other[b - shift]:
-            b += 1
-        done[shift] = b
-        out.append((a, b))
-    return out
+        run, f"doc_id {kind}, key long, words array<int>, start array<int>, end array<int>, "
+             "prints array<long>, at array<int>, to array<int>")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -129,42 +136,26 @@ def _pairs_array(rows: list[list[tuple[int, int]]], first: str, second: str) ->
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
-def _matches(pairs: DataFrame) -> DataFrame:
-    """Per pair of documents and its anchors, the runs found in the later one."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (m, mine), (o, other), (n, anchors) = (_flat(batch.column(c)) for c in ("mine", "other", "anchors"))
-            mine, other = mine.to_numpy(), other.to_numpy()
-            spots = list(zip(anchors.field("pos").to_pylist(), anchors.field("first_pos").to_pylist()))
-            out = [extend(mine[m[i]:m[i + 1]].tolist(), other[o[i]:o[i + 1]].tolist(), spots[n[i]:n[i + 1]])
-                   for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"),
-                                              _pairs_array(out, "a", "b")], names=["doc_id", "key", "runs"])
-    kind = pairs.schema["doc_id"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"doc_id {kind}, key long, runs array<struct<a:int,b:int>>")
-
-
-def _deleted(rows: DataFrame, opts: LineDedup) -> DataFrame:
-    """Per document with runs: the deleted spans, in code points, and their sizes."""
-    least = opts.min_words
-
+def _deleted(rows: DataFrame) -> DataFrame:
+    """Per document with repeated windows (pos): the deleted spans, in code points, and their sizes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (at, words), (n, runs) = _flat(batch.column("words")), _flat(batch.column("runs"))
+            (at, words), (n, pos) = _flat(batch.column("words")), _flat(batch.column("pos"))
             words = words.to_numpy()
             start, end = (batch.column(c).flatten().to_numpy() for c in ("start", "end"))
+            held, first = _flat(batch.column("at"))
             spans, n_lines, n_words = [], [], []
-            # Lines of all rows in one array, each row's runs moved to its place in it.
+            # Lines of all rows in one array, each row's windows moved to its place in it.
             base = np.repeat(at[:-1], np.diff(n))
+            pos = pos.to_numpy() + np.repeat(held[:-1], np.diff(n))
             size = len(words) + 1
-            covered = (np.bincount(runs.field("a").to_numpy() + base, minlength=size)
-                       - np.bincount(runs.field("b").to_numpy() + base, minlength=size))
+            covered = (np.bincount(first.to_numpy()[pos] + base, minlength=size)
+                       - np.bincount(batch.column("to").flatten().to_numpy()[pos] + base, minlength=size))
             inside = np.cumsum(covered) > 0
             sums = np.append(0, np.cumsum(words))
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 edges = np.flatnonzero(np.diff(inside[a:b].astype(np.int8), prepend=0, append=0)) + a
-                cuts = [(x, y) for x, y in zip(edges[::2].tolist(), edges[1::2].tolist())
-                        if sums[y] - sums[x] >= least]
+                cuts = list(zip(edges[::2].tolist(), edges[1::2].tolist()))
                 spans.append([(start[x], end[y - 1]) for x, y in cuts])
                 n_lines.append(sum(y - x for x, y in cuts))
                 n_words.append(int(sum(sums[y] - sums[x] for x, y in cuts)))
@@ -182,34 +173,26 @@ def repeated_runs(docs: DataFrame, opts: LineDedup = LineDedup()) -> DataFrame:
     deleted_lines, deleted_words.
 
     Documents are ordered by doc_id (nulls last), then by their text's hash; repeated
-    rows are one document. A null, empty or blank text has no lines. Lines are compared
+    rows are one document. Deleted are all lines of the runs of at least min_words words
+    that stood before as a whole, in an earlier document or earlier in the same one; such
+    runs may overlap. A null, empty or blank text has no lines. Lines are compared
     word by word, whatever white space stands between.
     """
     found = stored(lines(docs, opts), "line-hashes")
+    prints = found.select("doc_id", "key", F.posexplode("prints").alias("pos", "hash"))
+    # Only hashes at first: most windows stand once, and go no further.
+    again = found.select(F.explode("prints").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    again = stored(again.filter("n > 1").select("hash"), "line-repeated")
+    shared = stored(prints.join(again, "hash"), "line-windows")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "pos")
-    prints = found.select("doc_id", "key", F.explode("picks").alias("pos"), "hashes").select(
-        "doc_id", "key", "pos", F.get("hashes", F.col("pos")).alias("hash"))
-    first = prints.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-    first = stored(first.filter("n > 1").select("hash", "first"), "line-first")
-    later = prints.join(first, "hash").filter(place > F.col("first"))
-    pairs = later.groupBy("doc_id", "key", F.col("first.doc_id").alias("first_id"),
-                          F.col("first.key").alias("first_key")).agg(F.collect_set(
-                              F.struct("pos", F.col("first.pos").alias("first_pos"))).alias("anchors"))
-    pairs = stored(pairs, "line-pairs")
-    # One line of hashes for each document, however often its row is repeated.
-    known = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "hashes")
-    mine = known.withColumnRenamed("hashes", "mine")
-    both = pairs.join(mine, pairs["doc_id"].eqNullSafe(mine["_id"]) & (pairs["key"] == mine["_key"])).drop("_id", "_key")
-    other = known.withColumnRenamed("hashes", "other")
-    both = both.join(other, both["first_id"].eqNullSafe(other["_id"]) & (both["first_key"] == other["_key"]))
-    runs = _matches(both.select("doc_id", "key", "anchors", "mine", "other"))
-    runs = stored(runs.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("runs")).alias("runs")),
-                  "line-runs")
-    mine = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "words", "start", "end")
+    first = stored(shared.groupBy("hash").agg(F.min(place).alias("first")), "line-first")
+    later = shared.join(first, "hash").filter(place > F.col("first"))
+    runs = stored(later.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("pos")), "line-runs")
+    mine = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "words", "start", "end", "at", "to")
     cut = runs.join(mine, runs["doc_id"].eqNullSafe(mine["_id"]) & (runs["key"] == mine["_key"]))
-    cut = _deleted(cut.select("doc_id", "key", "runs", "words", "start", "end"), opts).dropDuplicates(["doc_id", "key"])
+    cut = _deleted(cut.select("doc_id", "key", "pos", "words", "start", "end", "at", "to")).dropDuplicates(["doc_id", "key"])
     cut = cut.filter("deleted_lines > 0").toDF("_id", "_key", "deleted", "deleted_lines", "deleted_words")
-    rows = found.select("doc_id", "key", F.size("hashes").cast("long").alias("n_lines"))
+    rows = found.select("doc_id", "key", F.size("words").cast("long").alias("n_lines"))
     rows = rows.join(cut, rows["doc_id"].eqNullSafe(cut["_id"]) & (rows["key"] == cut["_key"]), "left")
     zero = F.lit(0).cast("long")
     return rows.select(

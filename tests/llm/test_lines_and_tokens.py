@@ -77,6 +77,56 @@ def test_passages_go_and_first_places_stay(spark):
     assert len(brute.WORD.findall(left[3])) == len(brute.WORD.findall(docs[3][1])) - got[3]["deleted_words"]
 
 
+def brute_repeats(docs, min_words=30):
+    """Of documents in order: the lines of all runs of min_words words and more that
+    stood before as a whole, by all pairs of places."""
+    seen, out = set(), {}
+    for d, t in docs:
+        ls = [w for w, _, _ in brute.lines(t)]
+        out[d] = set()
+        for b in range(1, len(ls) + 1):  # by end, so that runs before this one are known
+            for a in range(b):
+                run = tuple(ls[a:b])
+                if sum(map(len, run)) >= min_words:
+                    if run in seen:
+                        out[d] |= set(range(a, b))
+                    seen.add(run)
+    return out
+
+
+def test_no_repeated_run_stays(spark):
+    """Passages of one to five lines, whose middle line also stands alone in an earlier
+    document, with ends that join neighbouring text, and runs just under the limit."""
+    rng = random.Random(23)
+    line = lambda n: " ".join(prose(rng, 1).strip(".\n") for _ in range(n))
+    docs, alone, later = [], [], []
+    for k in (1, 2, 3, 4, 5):
+        for size in (6, 10, 15, 29, 30, 50):
+            passage = [line(size) for _ in range(k)]
+            alone.append(passage[k // 2])
+            for joined in (False, True):
+                both = [line(8) + " " * joined + ".\n" * (not joined) + ".\n".join(passage) + " " * joined
+                        + ".\n" * (not joined) + line(8) + "." for _ in range(2)]
+                later += both
+    docs = [line(12) + ".\n" + s + ".\n" + line(12) + "." for s in alone]
+    rng.shuffle(later)
+    docs += later
+    docs.append(docs[-1].replace("\n", " \n ") + "\n" + docs[-2])  # other white space, two passages
+    docs.append(("twenty words " * 10 + ".\n") * 4)  # overlaps itself
+    rows = list(enumerate(docs))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in ld.repeated_runs(df).collect()}
+    want = brute_repeats(rows)
+    for d, t in rows:
+        ls = brute.lines(t)
+        spans = [(s["start"], s["end"]) for s in got[d]["deleted"]]
+        inside = {i for i, (_, a, b) in enumerate(ls) if any(s <= a and b <= e for s, e in spans)}
+        assert inside == want[d], d
+        assert got[d]["deleted_lines"] == len(inside)
+        assert got[d]["deleted_words"] == sum(len(ls[i][0]) for i in inside)
+    assert sum(map(bool, want.values())) > 40
+
+
 def test_line_dedup_of_odd_rows(odd_docs, odd_rows, no_docs):
     rows = ld.repeated_runs(odd_docs).collect()
     assert len(rows) == len(odd_rows)
