@@ -3,17 +3,18 @@
 Documents are sets of 5-word shingles. Equal sets become one class, and everything
 below is between classes. A class has COORDINATES minima, each under its own hash
 function; a (coordinate, value) pair that two or more classes hold is a posting list.
-Two classes with Jaccard similarity 0.85 agree in 54 of 64 coordinates on average, and
-in fewer than MATCHES = 36 with a probability below 1e-7.
+Two classes with Jaccard similarity 0.85 agree in 54 of 64 coordinates on average.
+matches(percent) is the number in fewer of which a link at the threshold agrees with a
+probability below MISSED = 1e-8: 36 at 0.85, 31 at 0.8.
 
-* Skip: pairs held by one class make no posting; a class with fewer than MATCHES
+* Skip: pairs held by one class make no posting; a class with fewer than matches
   shared pairs has no partner and is dropped.
-* Prefix: two classes that agree in MATCHES coordinates share a pair among the first
-  COORDINATES - MATCHES + 1 of each when pairs are ordered by rarity. Only those are
+* Prefix: two classes that agree in matches coordinates share a pair among the first
+  COORDINATES - matches + 1 of each when pairs are ordered by rarity. Only those are
   posted, so that passages that many documents hold fall out of the lists.
 * Stars instead of all pairs: every list's members are first compared with one centre,
   the member whose coordinates are the commonest (in a group of edited copies, the
-  text closest to all); a pair whose signatures agree in fewer than MATCHES coordinates
+  text closest to all); a pair whose signatures agree in fewer than matches coordinates
   isn't compared. Lists whose members are then in one component are done. The members
   of all others go through the same prefix join once more, over their full sets, for
   links between different components: see cross_pairs. So no link between components is
@@ -22,6 +23,7 @@ in fewer than MATCHES = 36 with a probability below 1e-7.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +37,7 @@ from reqlens.llm import bytewords as bw
 from reqlens.llm.common import packed, row_key, stored
 from reqlens.llm.components import components
 
-COORDINATES, MATCHES = 64, 36
+COORDINATES, MISSED = 64, 1e-8
 _U = np.uint64
 _FACTORS = bw.mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | _U(1)
 _SHIFTS = bw.mix64(np.arange(1001, 1001 + COORDINATES, dtype=np.uint64))
@@ -48,6 +50,19 @@ class NearDup:
     percent: int = 85       # least 100 * intersection / union of a link
 
 
+def matches(percent: int) -> int:
+    """The most coordinates of which a link at the threshold agrees in fewer with a
+    probability below MISSED."""
+    p, below = percent / 100, 0.0
+    for m in range(COORDINATES):
+        below += math.comb(COORDINATES, m) * p ** m * (1 - p) ** (COORDINATES - m)
+        if below >= MISSED:
+            if not m:
+                raise ValueError(f"{COORDINATES} coordinates can't find links at {percent} percent")
+            return m
+    return COORDINATES
+
+
 def shingle_sets(texts: bw.Texts, width: int) -> list[np.ndarray]:
     """Per text its sorted distinct shingle hashes. A text with fewer words than a
     shingle has one, of all its words; a text without words has none."""
@@ -128,18 +143,19 @@ def classes(found: DataFrame) -> DataFrame:
                        "one.n_shingles", "one.sig", "one.bits")
 
 
-def postings(nodes: DataFrame) -> DataFrame:
+def postings(nodes: DataFrame, opts: NearDup) -> DataFrame:
     """The posted pairs: pair, class, n_shingles, bits, weight (how common the class's
     coordinates are)."""
+    least = matches(opts.percent)
     pairs = nodes.select("class", F.posexplode("sig").alias("place", "value")).select(
         "class", (F.col("place").cast("long") * (1 << 32) + F.col("value")).alias("pair"))
     shared = stored(pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"),
                     "minhash-shared")
     held = pairs.join(shared, "pair").groupBy("class").agg(
         F.collect_list(F.struct("held", "pair")).alias("pairs"))  # at most COORDINATES
-    held = held.filter(F.size("pairs") >= MATCHES)
+    held = held.filter(F.size("pairs") >= least)
     # Pairs of no other class come first in the order of rarity, and take up the prefix.
-    length = F.size("pairs") - (MATCHES - 1)
+    length = F.size("pairs") - (least - 1)
     held = held.select("class", F.slice(F.array_sort("pairs"), F.lit(1), length).alias("prefix"),
                        F.aggregate("pairs", F.lit(0.0), lambda a, p: a + F.log2(p["held"])).alias("weight"))
     rows = held.join(nodes, "class").select(
@@ -165,7 +181,7 @@ def _alike(a: DataFrame, b: DataFrame, opts: NearDup) -> Column:
     """Sizes and signatures allow a link."""
     return ((a["n_shingles"] * 100 >= b["n_shingles"] * opts.percent)
             & (b["n_shingles"] * 100 >= a["n_shingles"] * opts.percent)
-            & (_agree(a["bits"], b["bits"]) >= MATCHES))
+            & (_agree(a["bits"], b["bits"]) >= matches(opts.percent)))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, opts: NearDup) -> DataFrame:
@@ -259,7 +275,7 @@ def near_duplicates(docs: DataFrame, opts: NearDup = NearDup()) -> DataFrame:
     """
     found = stored(features(docs, opts), "minhash-features")
     nodes = stored(classes(found), "minhash-classes")
-    posted = postings(nodes)
+    posted = postings(nodes, opts)
     # Texts of the classes that may have partners, once each.
     keyed = docs.select("doc_id", row_key().alias("key"), F.col("text").cast("string").alias("text"))
     wanted = posted.select("class", "row_id", "row_key")

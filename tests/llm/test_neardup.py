@@ -74,6 +74,43 @@ def test_stars_lose_no_link_between_members(spark):
     assert got == brute.near_duplicates(rows)
 
 
+def kept_at(docs, percent):
+    """Ids of docs (of distinct ids) that are the least of their component, by all pairs."""
+    sets = {d: brute.shingles(t) for d, t in docs}
+    comp = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((comp[a], comp[b]))
+                comp = {d: x if c == y else c for d, c in comp.items()}
+    return [d for d in sorted(sets) if comp[d] == d]
+
+
+def test_stage_at_80_percent(spark):
+    """Pairs with similarities on both sides of 0.8 and of 0.85."""
+    rng = random.Random(17)
+    docs = []
+    for changes in range(9):  # of 196 shingles, about 5 of each word are changed
+        for _ in range(3):
+            base = prose(rng, 200).split(" ")
+            copy = base[:]
+            for i in range(changes):
+                copy[10 + 20 * i] = "changed"
+            docs += [" ".join(base), " ".join(copy)]
+    rows = list(enumerate(docs))
+    want = kept_at(rows, 80)
+    assert len(want) < len(kept_at(rows, 85))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in nd.deduplicate(df, nd.NearDup(percent=80)).collect()) == want
+
+
+def test_matches_follow_the_threshold():
+    assert nd.matches(85) == 36 and nd.matches(80) < 36 and nd.matches(100) == nd.COORDINATES
+    with pytest.raises(ValueError, match="coordinates"):
+        nd.matches(10)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
