@@ -265,9 +265,9 @@ def cross_pairs(unsettled: DataFrame, opts: NearDup) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, opts: NearDup = NearDup()) -> DataFrame:
-    """One row per row of docs: doc_id, key, n_shingles, component_id, kept.
+    """One row per row of docs: doc_id, key, n_shingles, component_id, component, kept.
 
-    component_id is the least doc_id reachable over links, the row's own included.
+    component is the least class of the row's component, null without words; component_id is the least doc_id reachable over links, the row's own included.
     Rows without words are linked with nothing. A row without doc_id takes part by its
     text; its component_id is the least doc_id of those it reaches, null if none has
     one, and it is kept only then. Repeated rows share their component. An empty table
@@ -318,13 +318,13 @@ def near_duplicates(docs: DataFrame, opts: NearDup = NearDup()) -> DataFrame:
         joined.withColumnRenamed("node", "class"), "class", "left").select(
         "class", "row_id", F.coalesce("component", "class").alias("component"))
     least = member.groupBy("component").agg(F.min("row_id").alias("component_id"))
-    ids = stored(member.join(least, "component").select(F.col("class").alias("_class"), "component_id"),
+    ids = stored(member.join(least, "component").select(F.col("class").alias("_class"), "component", "component_id"),
                  "minhash-ids")
     rows = found.select("doc_id", "key", "n_shingles", "class")
     rows = rows.join(ids, F.col("class") == F.col("_class"), "left")
     rows = rows.withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(
         F.col("component_id")))
-    return rows.select("doc_id", "key", "n_shingles", "component_id",
+    return rows.select("doc_id", "key", "n_shingles", "component_id", "component",
                        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -332,10 +332,9 @@ def deduplicate(docs: DataFrame, opts: NearDup = NearDup()) -> DataFrame:
     """docs with one row of each component. Columns stay as they are. Of rows without
     words, one of each (doc_id, text) stays."""
     kept = near_duplicates(docs, opts).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "component_id",
-        F.col("n_shingles").alias("_n"))
-    # A doc_id that stands on several texts of one component is kept with one of them.
-    kept = kept.groupBy("_id", F.when(F.col("_n") == 0, F.col("_k")).alias("_empty")).agg(
+        F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "component")
+    # A doc_id, or none, that stands on several texts of a component is kept with one of them.
+    kept = kept.groupBy("component", "_id", F.when(F.col("component").isNull(), F.col("_k")).alias("_empty")).agg(
         F.min("_k").alias("_k"))
     rows = packed(docs)
     out = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["key"] == kept["_k"]), "left_semi")

@@ -74,6 +74,23 @@ def test_stars_lose_no_link_between_members(spark):
     assert got == brute.near_duplicates(rows)
 
 
+def test_one_of_each_component_stays_whatever_its_id(spark):
+    """Unrelated texts without an id, and two under one id, all stay; a near copy goes."""
+    rng = random.Random(29)
+    texts = [prose(rng, 90) for _ in range(8)]
+    near = texts[0] + " again"
+    rows = [(None, t) for t in texts[:5]] + [(None, near)]
+    rows += [(7, texts[5]), (7, texts[6]), (7, texts[6] + " again"), (8, texts[7]), (None, texts[7]), (7, ""), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = [(r["doc_id"], r["text"]) for r in nd.deduplicate(df).collect()]
+    first = [r for r in out if r[1] in (texts[0], near)]
+    second = [r for r in out if r[1] in (texts[6], texts[6] + " again")]
+    assert len(first) == 1 and len(second) == 1
+    rest = [r for r in out if r not in first + second]
+    assert sorted(map(str, rest)) == sorted(map(str, [(None, t) for t in texts[1:5]] + [
+        (7, texts[5]), (8, texts[7]), (7, ""), (None, " ")]))
+
+
 def kept_at(docs, percent):
     """Ids of docs (of distinct ids) that are the least of their component, by all pairs."""
     sets = {d: brute.shingles(t) for d, t in docs}
