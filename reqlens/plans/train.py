@@ -21,6 +21,10 @@ DETECTORS = {"rate": "rate", "iforest": "isolation_forest", "autoencoder": "auto
              "stack": "p"}
 
 
+#: Copies of a row that one task numbers.
+COPIES = 65_536
+
+
 class PoolTooSmall(ValueError):
     pass
 
@@ -45,15 +49,25 @@ class Fitted:
         return self.rows.filter(F.col("l1") & (F.col("pool") == "test"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with row_id, a hash of their content and of a number among their copies:
+    samples that hash it are uniform over rows, and don't depend on how the log is laid
+    out. Copies are counted before the shuffle, and those of one row spread over tasks."""
+    columns = rows.columns
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_hash", F.xxhash64(*columns))
+    last = F.floor((F.col("_n") - 1) / COPIES)
+    parts = counted.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition("_hash", "_part")
+    start = F.col("_part") * COPIES
+    copies = parts.withColumn("_copy", F.explode(F.sequence(start, F.least("_n", start + COPIES) - 1)))
+    return copies.select(*columns, F.xxhash64("_hash", "_copy").alias("row_id"))
+
+
 def prepare(log: DataFrame, seed: int) -> DataFrame:
-    """Labelled rows as narrow numeric columns, with row ids from their content: what
-    later sampling hashes doesn't depend on how the log is laid out. Equal rows share
-    an id, and with it their place in samples."""
+    """Labelled rows as narrow numeric columns, with row ids."""
     rows = from_map(eventlog.labelled_rows(log)).select(
         "y", "family", "client", "template", "body_size", "win",
         F.coalesce("burst_count", F.lit(0)).alias("burst_count"), "l1", "by_rule", *FEATURE_NAMES)
-    rows = rows.withColumn("row_id", F.xxhash64(*rows.columns))
-    return cut(eventlog.with_pool(rows, seed))
+    return cut(eventlog.with_pool(numbered(rows), seed))
 
 
 def fit(log: DataFrame, settings: Settings = DEFAULTS, seed: int | None = None) -> Fitted:

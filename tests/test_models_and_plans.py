@@ -62,6 +62,20 @@ def test_forest_sampling_covers_large_inputs(spark):
     assert len(rows) == 8 and all(r.n == 256 and 80_000 < r.m < 120_000 for r in rows)
 
 
+def test_copies_of_a_row_are_sampled_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(train, "COPIES", 128)  # of 1,000: eight parts, the last not full
+    df = spark.range(3000).select(F.when(F.col("id") < 1000, -1.0).otherwise(F.col("id")).cast("double").alias("x"),
+                                  F.lit(None).cast("string").alias("family"))
+    rows = train.numbered(df.repartition(3))
+    ids = sorted(map(tuple, rows.select("row_id", "x").collect()))
+    assert len({i for i, _ in ids}) == 3000 and sum(x == -1 for _, x in ids) == 1000
+    assert sorted(map(tuple, train.numbered(df.repartition(7)).select("row_id", "x").collect())) == ids
+    drawn = forest.tree_samples(rows, F.array("x"), "row_id", 3000, 20, 300, 1)
+    share = drawn.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.avg((F.element_at("x", 1) < 0).cast("int")).alias("m"))
+    got = share.collect()
+    assert len(got) == 20 and all(r.n == 300 and 0.2 < r.m < 0.47 for r in got)
+
+
 @pytest.mark.parametrize("shards", [1, 3])
 def test_autoencoder_learns(spark, points, shards):
     params, vec = vector(points)
