@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reqlens.operators.running import running
 from reqlens.session import checkpoint_root
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -91,3 +92,29 @@ def prefix_sums(xs: Column, chunk: int = 256) -> Column:
         lambda c: F.slice(xs, c * chunk + 1, F.lit(chunk)))).otherwise(
         F.array().cast("array<array<bigint>>"))
     return let(parts, whole)
+
+
+def numbered(rows: DataFrame, name: str, group: str | None = None, order: list[str] = []) -> DataFrame:  # noqa: B006
+    """rows with `rank` (from 0) and `n` (rows) within the group, a column without nulls:
+    in the order of `order`, or of the input. Rows that tie are told apart by an arbitrary
+    number, so copies of one row spread over tasks like others.
+
+    Sorted ranges are written with their rows' places. A row's rank is its place among
+    its group in its range, and the sum of the ranges before: tables with a row per
+    range and group. No task sees more than a range.
+    """
+    by = group or "_all"
+    rows = rows if group else rows.withColumn(by, F.lit(0))
+    if order:
+        keys = [by, *order, "_tie"]
+        rows = rows.withColumn("_tie", F.monotonically_increasing_id())
+        rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
+    # The number of a task's first row is its partition times 2^33.
+    rows = stored(rows.withColumn("_at", F.monotonically_increasing_id()), name).withColumn(
+        "_part", F.shiftright("_at", 33))
+    counts = rows.groupBy(by, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    ends = stored(running(counts, [by], "_part", "_n", "_end", width=1024), f"{name}-ends")
+    ends = ends.join(ends.groupBy(by).agg(F.sum("_n").alias("n")), by).select(
+        by, "_part", (F.col("_end") - F.col("_n") - F.col("_first")).alias("_base"), "n")
+    out = rows.join(ends, [by, "_part"]).withColumn("rank", F.col("_at") + F.col("_base")).drop("_at", "_part", "_base")
+    return out if group else out.drop(by)

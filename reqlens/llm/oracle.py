@@ -155,10 +155,54 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken
 FROM d JOIN tgt ON d.source IS NOT DISTINCT FROM tgt.source LEFT JOIN took USING (doc_id)"""
 
 
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in (
+        "CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)]
+    return "sha256(" + " || ".join(parts) + ")"
+
+
+# CRC-32 of the decimal doc_id, bit by bit, least bits of a byte first.
+_CRC = """xor(list_reduce(flatten([[(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) >> b) & 1 for b in range(0, 8)]
+      for i in range(1, length(CAST(doc_id AS VARCHAR)) + 1)]), lambda c, b:
+      xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+
+def _manifest() -> str:
+    # up: nodes of a tree by level; t is the source's tree ('=...', '-' for null) or 'all'.
+    up = """SELECT t, level, k, digest, n FROM {leaves} UNION ALL
+    SELECT t, level + 1, k // 3, sha256(string_agg(digest, '' ORDER BY k)), (max(n) + 2) // 3
+    FROM {name} WHERE n > 1 GROUP BY t, level, k // 3"""
+    return f"""WITH RECURSIVE d AS (SELECT *, coalesce('=' || source, '-') AS t, {_leaf('text')} AS digest,
+    CASE WHEN {_CRC} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS cut FROM documents),
+  leaf AS (SELECT *, 0 AS level, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, digest) - 1 AS k,
+    count(*) OVER (PARTITION BY t) AS n FROM d),
+  low AS ({up.format(leaves='leaf', name='low')}),
+  sub AS (SELECT t AS src, digest FROM low WHERE n = 1),
+  top AS (SELECT 'all' AS t, src, digest, 0 AS level, row_number() OVER (ORDER BY src) - 1 AS k, count(*) OVER () AS n FROM sub),
+  high AS ({up.format(leaves='top', name='high')}),
+  root AS (SELECT digest FROM high WHERE n = 1),
+  path AS (SELECT leaf.doc_id, leaf.digest AS leaf, leaf.t, leaf.k AS me, 0 AS part, low.level, low.k, low.digest
+      FROM leaf JOIN low ON low.t = leaf.t AND low.n > 1 AND low.k // 3 = leaf.k // CAST(pow(3, low.level + 1) AS BIGINT)
+    UNION ALL SELECT leaf.doc_id, leaf.digest, leaf.t, top.k, 1, high.level, high.k, high.digest
+      FROM leaf JOIN top ON top.src = leaf.t JOIN high ON high.n > 1 AND high.k // 3 = top.k // CAST(pow(3, high.level + 1) AS BIGINT)),
+  fam AS (SELECT doc_id, t, leaf, part, level,
+      coalesce(string_agg(digest, '' ORDER BY k) FILTER (k < me // CAST(pow(3, level) AS BIGINT)), '') AS l,
+      coalesce(string_agg(digest, '' ORDER BY k) FILTER (k > me // CAST(pow(3, level) AS BIGINT)), '') AS r
+    FROM path GROUP BY ALL),
+  steps AS (SELECT doc_id, t, leaf, list(struct_pack(l := l, r := r) ORDER BY part, level) AS s FROM fam GROUP BY ALL),
+  fold AS (SELECT leaf.doc_id, leaf.t, leaf.digest, 0::BIGINT AS i, coalesce(cut, leaf.digest) AS h, coalesce(s, []) AS s
+      FROM leaf LEFT JOIN steps ON steps.doc_id IS NOT DISTINCT FROM leaf.doc_id AND steps.t = leaf.t AND steps.leaf = leaf.digest
+    UNION ALL SELECT doc_id, t, digest, i + 1, sha256(s[i + 1].l || h || s[i + 1].r), s FROM fold WHERE i < len(s))
+SELECT doc_id, fold.digest AS leaf, sub.digest AS subroot, root.digest AS root,
+  sha256(array_to_string([x.l || x.r for x in s], '')) AS proof_sha256, h AS folded_root, h = root.digest AS verified
+FROM fold JOIN sub ON sub.src = fold.t, root WHERE i = len(s)"""
+
+
 ORACLE = {
     "op2_secret_ownership": _secrets(),
     "op3_source_schedule": _mix(),
     "op4_ngram_decontamination": LEAKS,
     "op5_divergence_rules": _quality(),
     "op9_minhash_inverted_join": NEAR,
+    "op11_nested_intervals": _manifest(),
 }

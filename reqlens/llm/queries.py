@@ -98,3 +98,10 @@ def op9_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reqlens.llm.tokenbinary import token_shards
     return token_shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_nested_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reqlens.llm.manifest import joined_digest, manifest
+    return manifest(table(spark, sf_dir, "documents")).select(
+        "doc_id", "leaf", "subroot", "root", joined_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")

