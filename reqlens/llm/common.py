@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from reqlens.operators.running import running
 from reqlens.session import checkpoint_root
@@ -13,13 +14,14 @@ from reqlens.session import checkpoint_root
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
     """Writes df to the cluster's shared folder and reads it back: a lost executor
-    costs a re-read, and Spark knows the table's true size when it plans joins."""
+    costs a re-read, and Spark knows the table's true size when it plans joins. schema:
+    to read it with, if its types have another form of the same content."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:

@@ -105,3 +105,9 @@ def op11_nested_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reqlens.llm.manifest import joined_digest, manifest
     return manifest(table(spark, sf_dir, "documents")).select(
         "doc_id", "leaf", "subroot", "root", joined_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query
+def op12_block_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reqlens.llm.whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"))
