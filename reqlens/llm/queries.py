@@ -111,3 +111,11 @@ def op11_nested_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_block_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reqlens.llm.whitening import whiten
     return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_switched_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reqlens.llm.langid import held_out, identify, train, training_rows
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(training_rows(docs))).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_words", "segments")
