@@ -57,16 +57,31 @@ def _drain(df, mode="append"):
 SELECT event_id, window_count, burst_count, window_distinct,
   (burst_count > 4 OR window_count > 8) AS rate_limited FROM cnt JOIN ses USING (event_id)""")
 def stream_rate(spark, sf):
-    out = stream_rate_state(_requests(spark, sf), DAY)
+    out = stream_rate_state(_requests(spark, sf), DAY, resolution_us=1)  # times have microseconds
     return _drain(out.select("event_id", "window_count", "burst_count", "window_distinct",
                              "rate_limited"))
 
 
+# Every 37th request becomes an operator's order to clear its client's counters.
+_RESET_SQL = """reset AS (SELECT event_id, template, us, client || '#' || sum(CASE WHEN event_id % 37 = 0 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY client ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS client FROM req),
+  rest AS (SELECT * FROM reset WHERE event_id % 37 <> 0)"""
+
+
+@query("stream_reset", with_(REQUESTS_SQL, _RESET_SQL, _COUNTS_SQL.replace("FROM req", "FROM rest"),
+                             _SESSION_SQL.replace("FROM req", "FROM rest")) + """
+SELECT event_id, window_count, burst_count, window_distinct FROM cnt JOIN ses USING (event_id)""")
+def stream_reset(spark, sf):
+    kind = F.when(F.col("event_id") % 37 == 0, "reset").otherwise("request")
+    out = stream_rate_state(_requests(spark, sf).withColumn("kind", kind), DAY, resolution_us=1)
+    return _drain(out.select("event_id", "window_count", "burst_count", "window_distinct"))
+
+
 @query("stream_decisions", with_(REQUESTS_SQL, _COUNTS_SQL) + """
 SELECT event_id, CASE WHEN burst_count > 4 OR window_count > 8 THEN 'L1-rate' ELSE 'L1-only' END
   AS layer, (burst_count > 4 OR window_count > 8) AS enforced FROM cnt""")
 def stream_decisions(spark, sf):
-    out = streams.score_stream(_requests(spark, sf), None, DAY)
+    out = streams.score_stream(_requests(spark, sf), None, DAY, resolution_us=1)
     return _drain(out.select("event_id", "layer", "enforced"))
 
 

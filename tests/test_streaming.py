@@ -116,3 +116,53 @@ def test_duplicates_drop_within_watermark(spark, folder, tmp_path):
     twice = raw.unionByName(raw)
     assert drain(streams.without_duplicates(twice, watermark="1 day"), "dedup",
                  tmp_path).count() == 240
+
+
+def replay(spark, batches, tmp_path_factory, **state):
+    """Batches of (event_id, client, second, template) through the rate state, in turn."""
+    src, tmp = tmp_path_factory.mktemp("replay"), tmp_path_factory.mktemp("ck")
+    for k, rows in enumerate(batches):
+        with open(src / f"{k:03d}.json", "w") as fh:
+            for i, client, sec, template in rows:
+                fh.write(json.dumps({"event_id": i, "client": client, "path": template, "template": template,
+                                     "ts": (T0 + timedelta(seconds=sec)).isoformat()}) + "\n")
+        os.utime(src / f"{k:03d}.json", (1_700_000_000 + k,) * 2)
+    df = requests.to_request(logs.request_stream(spark, str(src), max_files=1))
+    query = (stream_rate_state(df, S, **state).writeStream.format("memory").queryName(f"r{tmp.name.replace('-', '_')}")
+             .option("checkpointLocation", str(tmp)).trigger(availableNow=True).start())
+    query.awaitTermination()
+    rows = {r.event_id: r for r in spark.table(query.name).collect()}
+    return rows, [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_state_does_not_grow_with_the_flood_and_expires(spark, tmp_path_factory):
+    def flood(first, sec, n):
+        return [(first + i, "hot", sec + i % 2, "/x") for i in range(n)]
+    small, few = replay(spark, [flood(0, 0, 20), flood(20, 2, 20)], tmp_path_factory)
+    large, many = replay(spark, [flood(0, 0, 2000), flood(2000, 2, 2000), [(9000, "other", 10_000, "/y")]], tmp_path_factory)
+    assert few[1]["numRowsTotal"] == many[1]["numRowsTotal"] > 0
+    assert large[3999].window_count == 4000 and small[39].window_count == 40
+    # The last batch moves the stream on: only the other client is left, and the replay ended.
+    assert many[-1]["numRowsTotal"] < many[1]["numRowsTotal"]
+
+
+def test_a_batch_touches_its_own_templates_only(spark, tmp_path_factory):
+    def updated(breadth):
+        first = [(i, "a", i % 30, f"/t{i}") for i in range(breadth)]
+        rows, progress = replay(spark, [first, [(9000, "a", 31, "/t1"), (9001, "a", 32, "/new")]], tmp_path_factory)
+        assert (rows[9000].window_distinct, rows[9001].window_distinct) == (breadth, breadth + 1)
+        return progress[1]["numRowsUpdated"]
+    assert updated(10) == updated(300)
+
+
+def test_batches_equal_one_batch_and_forgotten_clients_are_marked(spark, tmp_path_factory):
+    rows = [(i, f"c{i % 2}", sec, f"/t{i % 5}") for i, sec in enumerate(
+        [0, 0, 1, 30, 59, 60, 61, 100, 180, 181, 299, 300, 301, 301, 420, 700])]
+    once, _ = replay(spark, [rows], tmp_path_factory)
+    split, _ = replay(spark, [rows[:3], rows[3:9], rows[9:10], rows[10:]], tmp_path_factory)
+    cols = ["window_count", "burst_count", "window_distinct", "rate_degraded"]
+    assert {i: [r[c] for c in cols] for i, r in once.items()} == {i: [r[c] for c in cols] for i, r in split.items()}
+    late, _ = replay(spark, [[(0, "a", 0, "/x")], [(1, "b", 5000, "/x")], [(2, "b", 5001, "/x")], [(3, "a", 1, "/y")]],
+                     tmp_path_factory)
+    assert len(late) == 4 and late[3].rate_degraded and late[3].window_count == 1
+    assert not late[2].rate_degraded
