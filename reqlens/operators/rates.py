@@ -2,13 +2,17 @@
 
 Counts come from ranks, not from sliding frames: a RANGE frame re-reads the whole
 frame for every row, which is quadratic for a flooding client. The rank of an
-event minus the rank of the instant one window earlier is the same number and
-takes one ordered pass.
+event minus the rank of the instant one window earlier is the same number.
 
 Everything but the last join runs over cells (client, microsecond, arrival
 chunk). Cells are combined map-side, so even a third of all rows on one client
-and one instant shrinks to one row per CHUNK arrivals before it is shuffled, and
-passes are cut into time blocks, so a client that never pauses spreads out.
+and one instant shrinks to one row per CHUNK arrivals before it is shuffled.
+
+Ranks have two levels. A client's time is cut into spans, a SPANS-th of the shortest
+of its windows; a timeline carries totals from span to span, and what happens inside
+a span is ordered there. A flood of one client in one window so spreads over SPANS
+tasks, and the timeline has a row per active span, however many requests that has.
+Nothing is written or cut: the timeline's exchanges are shared by what reads it.
 """
 from __future__ import annotations
 
@@ -16,10 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reqlens.config import DEFAULTS, Settings
-from reqlens.operators.running import running
-from reqlens.session import cut
 
 CHUNK = 65_536
+SPANS = 60   # of the shortest window
+GROUP = 64   # spans that are carried together
 SECOND = 1_000_000
 KEYS = ("_client", "_us", "_chunk")
 
@@ -40,35 +44,75 @@ def _grains(rows: DataFrame, template: str) -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.min("_arrival").alias("_first"))
 
 
-def _ranks(cells: DataFrame, probes: dict[str, int]) -> DataFrame:
-    """Per cell: `_before`, a rank, and per probe the rank that many microseconds
-    ago. Differences of the two count the events in between.
+def _span(us: Column, width: int) -> Column:
+    return F.floor(us / width).cast("bigint")
 
-    Blocks are as long as the longest probe. A block sees its own events and, as
-    copies, those of the block before, which is all its probes can reach; so one
-    shuffle on (client, block) serves ordering, ranking and regrouping.
-    """
-    width = max(SECOND, *probes.values())
-    block = F.floor(F.col("_us") / width).cast("bigint")
 
-    def mark(block, at, kind, n):
-        return F.struct(block.alias("_block"), at.alias("_at"), F.lit(kind).alias("_kind"),
-                        n.cast("bigint").alias("_add"))
+def _walked(spans: Column, start: Column, step) -> Column:
+    """Folds an array of at most GROUP spans; step(acc, span) gives the new fields and the
+    row that is put out."""
+    def merge(acc, s):
+        fields, row = step(acc, s)
+        return F.struct(*fields, F.concat(acc["out"], F.array(row)).alias("out"))
+    return F.aggregate(spans, start, merge)
 
-    marks = [mark(block + 1, F.col("_us"), -1, F.col("_n")),
-             mark(block, F.col("_us"), 0, F.col("_n"))]
-    marks += [mark(block, F.col("_us") - back, i + 1, F.lit(0))
-              for i, back in enumerate(probes.values())]
+
+def _timeline(cells: DataFrame, probes: dict[str, int], width: int,
+              gap_us: int) -> DataFrame:
+    """A row per span in which a client has events or a probe looks: `_before`, the events
+    of earlier spans, and `_start`, where the session that runs in it began.
+
+    Spans are shorter than a session's gap, so only the first event of a span can start one.
+    Per client, GROUP spans are one row of the only ordered pass.
+    """
+    us, nothing = F.col("_us"), F.lit(None).cast("bigint")
+
+    def mark(span, n, at):
+        return F.struct(span.alias("_span"), n.cast("bigint").alias("n"), at.alias("at"))
+    marks = [mark(_span(us, width), F.col("_n"), us)]
+    marks += [mark(_span(us - back, width), F.lit(0), nothing) for back in probes.values()]
+    spans = cells.select("_client", F.explode(F.array(*marks)).alias("m")).select("_client", "m.*").groupBy(
+        "_client", "_span").agg(F.sum("n").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    groups = spans.groupBy("_client", _span(F.col("_span"), GROUP).alias("_group")).agg(
+        F.array_sort(F.collect_list(F.struct("_span", "n", "lo", "hi"))).alias("spans"),
+        F.sum("n").alias("n"), F.max("hi").alias("hi"))
+    earlier = Window.partitionBy("_client").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("_client", "_group", "spans", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"),
+                           F.max("hi").over(earlier).alias("hi"))
+
+    def step(acc, s):
+        starts = (s["n"] > 0) & (acc["hi"].isNull() | (s["lo"] - acc["hi"] >= gap_us))
+        start = F.when(starts, s["lo"]).otherwise(acc["start"])
+        return [(acc["n"] + s["n"]).alias("n"), F.greatest(acc["hi"], s["hi"]).alias("hi"), start.alias("start")], F.struct(
+            s["_span"].alias("_span"), acc["n"].alias("_before"), start.alias("_start"))
+    begin = F.struct("n", "hi", nothing.alias("start"),
+                     F.array().cast("array<struct<_span:bigint,_before:bigint,_start:bigint>>").alias("out"))
+    groups = groups.select("_client", "_group", _walked(F.col("spans"), begin, step).alias("w"))
+    carried = F.last("w.start", ignorenulls=True).over(earlier)
+    groups = groups.withColumn("_carried", carried)
+    return groups.select("_client", "_carried", F.inline("w.out")).withColumn(
+        "_start", F.coalesce("_start", "_carried")).drop("_carried")
+
+
+def _ranks(cells: DataFrame, probes: dict[str, int], timeline: DataFrame, width: int) -> DataFrame:
+    """Per cell: `_before`, a rank, and per probe the rank that many microseconds
+    ago. Differences of the two count the events in between."""
+    def mark(at, kind, n):
+        return F.struct(_span(at, width).alias("_span"), at.alias("_at"), F.lit(kind).alias("_kind"),
+                        n.cast("bigint").alias("_add"))
+    marks = [mark(F.col("_us"), 0, F.col("_n"))]
+    marks += [mark(F.col("_us") - back, i + 1, F.lit(0)) for i, back in enumerate(probes.values())]
+    marks = cells.select(*KEYS, F.explode(F.array(*marks)).alias("m")).select(*KEYS, "m.*")
     # Events sort before probes of the same instant: a probe counts them.
-    so_far = Window.partitionBy("_client", "_block").orderBy("_at", "_kind", "_chunk").rowsBetween(
+    so_far = Window.partitionBy("_client", "_span").orderBy("_at", "_kind", "_chunk").rowsBetween(
         Window.unboundedPreceding, 0)
-    ranked = (cells.select(*KEYS, F.explode(F.array(*marks)).alias("m"))
-              .select(*KEYS, "m.*").withColumn("_rank", F.sum("_add").over(so_far)))
+    ranked = marks.join(timeline.select("_client", "_span", "_before"), ["_client", "_span"]).withColumn(
+        "_rank", F.col("_before") + F.sum("_add").over(so_far))
     own = F.col("_kind") == 0
-    return ranked.filter(F.col("_kind") >= 0).groupBy("_client", "_block", "_us", "_chunk").agg(
+    return ranked.groupBy(*KEYS).agg(
         F.max(F.when(own, F.col("_rank") - F.col("_add"))).alias("_before"),
         *[F.max(F.when(F.col("_kind") == i + 1, F.col("_rank"))).alias(name)
-          for i, name in enumerate(probes)]).drop("_block")
+          for i, name in enumerate(probes)])
 
 
 def _attach(rows: DataFrame, cells: DataFrame) -> DataFrame:
@@ -92,6 +136,10 @@ def _count_probes(settings: Settings) -> dict[str, int]:
     return {"_w_old": settings.window_seconds * SECOND, "_b_old": settings.burst_seconds * SECOND}
 
 
+def _width(settings: Settings) -> int:
+    return max(1, min(settings.window_seconds, settings.session_gap_seconds) * SECOND // SPANS)
+
+
 def sliding_counts(df: DataFrame, settings: Settings = DEFAULTS, client="client", ts="ts",
                    arrival="event_id") -> DataFrame:
     """Adds window_count and burst_count: the client's requests in the half-open
@@ -99,30 +147,43 @@ def sliding_counts(df: DataFrame, settings: Settings = DEFAULTS, client="client"
     `arrival` is an integer that orders requests of the same instant."""
     rows = _keyed(df, client, ts, arrival)
     cells = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
-    return _tidy(_count_columns(_attach(rows, _ranks(cells, _count_probes(settings)))))
-
-
-def _sessions(grains: DataFrame, ranked: DataFrame, gap_us: int) -> DataFrame:
-    """Adds per cell the session's start, the templates first seen in the cell and
-    the number seen before it. `ranked` carries `_before` and `_gap_old`."""
-    # Where no event is newer than one gap, a session starts.
-    starts = cut(ranked.withColumn(
-        "_start_here", F.when(F.col("_before") == F.col("_gap_old"), F.col("_us"))))
-    sessions = cut(running(starts, ["_client"], "_us", "_start_here", "_start", gap_us,
-                           ties=("_chunk",), kind="max").drop("_start_here", "_gap_old"))
-
+    probes, width = _count_probes(settings), _width(settings)
+    timeline = _timeline(cells, probes, width, settings.session_gap_seconds * SECOND)
+    return _tidy(_count_columns(_attach(rows, _ranks(cells, probes, timeline, width))))
+
+
+def _known_before(spans: DataFrame) -> DataFrame:
+    """Of (_client, _start, _span, _fresh: templates first seen there): `_known`, those of
+    the session's earlier spans. GROUP spans are one row of the ordered pass."""
+    groups = spans.groupBy("_client", "_start", _span(F.col("_span"), GROUP).alias("_group")).agg(
+        F.array_sort(F.collect_list(F.struct("_span", "_fresh"))).alias("spans"), F.sum("_fresh").alias("n"))
+    earlier = Window.partitionBy("_client", "_start").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("n", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    begin = F.struct("n", F.array().cast("array<struct<_span:bigint,_known:bigint>>").alias("out"))
+    walked = _walked(F.col("spans"), begin, lambda acc, s: ([(acc["n"] + s["_fresh"]).alias("n")], F.struct(
+        s["_span"].alias("_span"), acc["n"].alias("_known"))))
+    return groups.select("_client", "_start", F.inline(walked["out"]))
+
+
+def _sessions(grains: DataFrame, cells: DataFrame, timeline: DataFrame, width: int) -> DataFrame:
+    """Per cell the session's start, the number of templates seen in it before the cell, and
+    the arrivals that bring a new one."""
+    timeline = timeline.filter("_start IS NOT NULL").select("_client", "_span", "_start")
+    span = _span(F.col("_us"), width).alias("_span")
     # First sighting of each template per session; at most one row per pair.
-    firsts = (grains.join(sessions.select(*KEYS, "_start"), list(KEYS))
+    firsts = (grains.select("*", span).join(timeline, ["_client", "_span"])
               .groupBy("_client", "_start", "_template")
-              .agg(F.min(F.struct("_us", "_chunk", "_first")).alias("f"))
-              .select("_client", "f.*")
-              .groupBy(*KEYS)
-              # Bounded: a cell has at most CHUNK distinct arrivals.
-              .agg(F.count(F.lit(1)).alias("_new"), F.collect_list("_first").alias("_new_at")))
-    found = cut(sessions.join(firsts, list(KEYS), "left").withColumn(
-        "_new", F.coalesce("_new", F.lit(0))))
-    seen = running(found, ["_client", "_start"], "_us", "_new", "_seen", gap_us, ties=("_chunk",))
-    return seen.withColumn("_known", F.col("_seen") - F.col("_new")).drop("_seen", "_new")
+              .agg(F.min(F.struct("_us", "_chunk", "_first", "_span")).alias("f"))
+              .select("_client", "f.*"))
+    new = firsts.groupBy(*KEYS).agg(  # bounded: a cell has at most CHUNK distinct arrivals
+        F.count(F.lit(1)).alias("_new"), F.collect_list("_first").alias("_new_at"))
+    fresh = firsts.groupBy("_client", "_span").agg(F.count(F.lit(1)).alias("_fresh"))
+    known = _known_before(timeline.join(fresh, ["_client", "_span"], "left").withColumn(
+        "_fresh", F.coalesce("_fresh", F.lit(0).cast("bigint"))))
+    inside = Window.partitionBy("_client", "_span").orderBy("_us", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    found = cells.select(*KEYS, span).join(new, list(KEYS), "left").join(known, ["_client", "_span"])
+    return found.withColumn("_known", F.col("_known") + F.coalesce(F.sum("_new").over(inside), F.lit(0))).drop(
+        "_new", "_span")
 
 
 def _session_columns(df: DataFrame) -> DataFrame:
@@ -140,9 +201,9 @@ def session_distinct(df: DataFrame, settings: Settings = DEFAULTS, client="clien
     rows = _keyed(df, client, ts, arrival)
     grains = _grains(rows, template)
     cells = grains.groupBy(*KEYS).agg(F.sum("_n").alias("_n"))
-    gap_us = settings.session_gap_seconds * SECOND
-    found = _sessions(grains, _ranks(cells, {"_gap_old": gap_us}), gap_us)
-    return _tidy(_session_columns(_attach(rows, found)))
+    width = _width(settings)
+    timeline = _timeline(cells, {}, width, settings.session_gap_seconds * SECOND)
+    return _tidy(_session_columns(_attach(rows, _sessions(grains, cells, timeline, width))))
 
 
 def rate_verdict(settings: Settings = DEFAULTS, window="window_count",
@@ -172,10 +233,10 @@ def rate_state(df: DataFrame, settings: Settings = DEFAULTS, client="client", ts
     rows = _keyed(df, client, ts, arrival)
     grains = _grains(rows, template)
     cells = grains.groupBy(*KEYS).agg(F.sum("_n").alias("_n"))
-    gap_us = settings.session_gap_seconds * SECOND
-    ranked = _ranks(cells, {**_count_probes(settings), "_gap_old": gap_us})
-    out = _attach(rows, _sessions(grains, ranked, gap_us))
-    return with_verdict(_tidy(_count_columns(_session_columns(out))), settings)
+    probes, width = _count_probes(settings), _width(settings)
+    timeline = _timeline(cells, probes, width, settings.session_gap_seconds * SECOND)
+    found = _ranks(cells, probes, timeline, width).join(_sessions(grains, cells, timeline, width), list(KEYS))
+    return with_verdict(_tidy(_count_columns(_session_columns(_attach(rows, found)))), settings)
 
 
 def without_counters(df: DataFrame) -> DataFrame:

@@ -113,3 +113,15 @@ def test_requests_without_client_or_time_are_kept(spark):
         "FROM range(3, 6)"))
     got = {r.event_id: (r.window_count, r.window_distinct) for r in rates.rate_state(df).collect()}
     assert got == {1: (1, 1), 2: (2, 2), 3: (1, 1), 4: (2, 1), 5: (3, 1)}
+
+
+def test_a_flood_spreads_over_spans(spark):
+    """One client with every row inside one window: no span holds more than its part, and
+    spans carry the totals."""
+    df = spark.range(60_000).select(F.col("id").alias("event_id"), F.lit("hot").alias("client"),
+                                    F.timestamp_micros(F.col("id") * 1000).alias("ts"), F.lit("/").alias("template"))
+    cells = rates._keyed(df, "client", "ts", "event_id").groupBy(*rates.KEYS).agg(F.count(F.lit(1)).alias("_n"))
+    line = rates._timeline(cells, {}, rates._width(DEFAULTS), 120_000_000).orderBy("_span").collect()
+    assert [r["_before"] for r in line] == list(range(0, 60_000, 1000)) and {r["_start"] for r in line} == {0}
+    out = rates.rate_state(df)
+    assert out.filter("window_count <> least(event_id + 1, 60000) or window_distinct <> 1").count() == 0
