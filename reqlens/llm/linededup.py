@@ -1,16 +1,18 @@
-"""Line dedup by fingerprints of word windows over line hashes.
+"""Line dedup by winnowing over line hashes.
 
 A line is a physical line, wrapped at ends of sentences so that a passage inside a
-paragraph is seen. Windows are tied to words: from each line on, and up to each line,
-the fewest lines that have `min_words` words. Every window is a fingerprint, with the
-hash of all its lines, so its first place is that of the same run of lines. A window
-that stood before is deleted; the first place of a window is never deleted.
-
-That is all there is to find: a run of at least `min_words` words that stood before has
-each of its lines in a window inside it (up to the line if the words suffice, else from
-the run's first line on), and each window is such a run itself. The minima that winnow()
-takes can't stand for the windows: the shortest run holds a single one, and the first
-place of a line says nothing about the lines beside it.
+paragraph is seen. Hashed are shingles: from each line on, the fewest lines with half of
+`min_words`. Of the shingles inside each window of `min_words` words the least hash is a
+fingerprint, so every run of so many words holds one, and equal runs hold equal ones.
+
+Only fingerprints are posted, and only those that stand more than once go on. Windows that
+hold one of these are keyed by all their lines and joined with the first place of the same
+key, so a line that also stands elsewhere can't mislead. A match is extended both ways over
+the lines that are equal in both documents; the later run is deleted, the first never is.
+
+Nothing is missed: a run of at least `min_words` words that stood before has each of its
+lines in a window inside it (the fewest lines from the line on, or up to it), each window is
+such a run itself, and so holds a fingerprint that stands more than once.
 """
 from __future__ import annotations
 
@@ -34,20 +36,54 @@ class LineDedup:
     min_words: int = 30  # of a run that is deleted
 
 
-def winnow(hashes: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
-    """Places of the window minima, the last of equal ones. A document with fewer lines
-    than a window is one window."""
+def winnow(hashes: np.ndarray, doc: np.ndarray, window: int | np.ndarray) -> np.ndarray:
+    """Places of the window minima, the last of equal ones. A window is so many places from
+    each on; a document with fewer is one window. Or an array: the size from each place on,
+    0 where no window starts."""
     n = len(hashes)
+    if isinstance(window, int):
+        last = np.searchsorted(doc, doc, side="right")  # end of the document
+        first = np.searchsorted(doc, doc, side="left")
+        full = (np.arange(n) + window <= last) | (np.arange(n) == first)
+        window = np.where(full, np.minimum(window, last - np.arange(n)), 0)
     best = np.arange(n)
-    for j in range(1, window):
-        other = np.minimum(np.arange(n) + j, n - 1)
-        inside = doc[other] == doc
-        take = inside & (hashes[other] <= hashes[best])
-        best = np.where(take, other, best)
-    last = np.searchsorted(doc, doc, side="right")  # end of the document
-    first = np.searchsorted(doc, doc, side="left")
-    full = (np.arange(n) + window <= last) | (np.arange(n) == first)
-    return np.unique(best[full])
+    for j in range(1, int(window.max(initial=0))):
+        at = np.flatnonzero(window > j)
+        take = at[hashes[at + j] <= hashes[best[at]]]
+        best[take] = take + j
+    return np.unique(best[window > 0])
+
+
+def _run_hashes(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the lines a to b of each run."""
+    size = b - a
+    out = size.astype(np.uint64)
+    for j in range(int(size.max(initial=0))):
+        long = np.flatnonzero(size > j)
+        out[long] += hashes[a[long] + j] * (bw.mix64(np.array([j + 1], np.uint64)) | np.uint64(1))
+    return bw.mix64(out)
+
+
+def _ends(words: np.ndarray, least: int) -> np.ndarray:
+    """End of the fewest lines from each line on with `least` words; beyond the last line if
+    there are too few. Ends may lie in a later document."""
+    sums = np.append(0, np.cumsum(words, dtype=np.int64))
+    return np.searchsorted(sums, sums[:-1] + least)
+
+
+def fingerprints(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lines whose shingle is the least of some window of `least` words, and its hash."""
+    n = len(hashes)
+    short, end = _ends(words, max(1, least // 2)), _ends(words, least)
+    whole = end <= n
+    whole[whole] &= doc[end[whole] - 1] == doc[np.flatnonzero(whole)]
+    # Shingles inside the window: their ends grow with their lines.
+    size = np.where(whole, np.searchsorted(short, end, side="right") - np.arange(n), 0)
+    inside = np.flatnonzero(short <= n)
+    shingles = np.zeros(n, np.uint64)
+    shingles[inside] = _run_hashes(hashes, inside, short[inside])
+    at = winnow(shingles, doc, size)
+    return at, shingles[at]
 
 
 def word_windows(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, least: int):
@@ -56,7 +92,7 @@ def word_windows(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, least:
     n = len(hashes)
     sums = np.append(0, np.cumsum(words, dtype=np.int64))
     at = np.arange(n)
-    to = np.searchsorted(sums, sums[:-1] + least)  # from each line on
+    to = _ends(words, least)  # from each line on
     back = np.searchsorted(sums, sums[1:] - least, side="right") - 1  # up to each line
     a, b = np.append(at, back), np.append(to, at + 1)
     inside = (a >= 0) & (b <= n)
@@ -64,12 +100,7 @@ def word_windows(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, least:
     inside = doc[a] == doc[b - 1]
     pair = np.unique(a[inside] * (n + 1) + b[inside])
     a, b = pair // (n + 1), pair % (n + 1)
-    size = b - a
-    out = size.astype(np.uint64)
-    for j in range(int(size.max(initial=0))):
-        long = np.flatnonzero(size > j)
-        out[long] += hashes[a[long] + j] * (bw.mix64(np.array([j + 1], np.uint64)) | np.uint64(1))
-    return bw.mix64(out), a, b
+    return _run_hashes(hashes, a, b), a, b
 
 
 def _lines(texts: bw.Texts):
@@ -90,8 +121,8 @@ def _lines(texts: bw.Texts):
 
 
 def lines(docs: DataFrame, opts: LineDedup) -> DataFrame:
-    """One row per row of docs: doc_id, key, words, start and end (code points) of its
-    lines, and prints, at and to: hash, first line and end of its windows."""
+    """One row per row of docs: doc_id, key, hashes, words, start and end (code points) of its
+    lines, and prints and at: hash and line of its fingerprints."""
     least = max(1, opts.min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,29 +133,28 @@ def lines(docs: DataFrame, opts: LineDedup) -> DataFrame:
                 base = chars[texts.offsets[doc]]
                 counts = np.bincount(doc, minlength=len(texts))
                 first = np.append(0, np.cumsum(counts))
-                prints, a, b = word_windows(hashes, words, doc, least)
-                of = doc[a]
-                held = np.bincount(of, minlength=len(texts))
+                at, prints = fingerprints(hashes, words, doc, least)
+                held = np.bincount(doc[at], minlength=len(texts))
                 part = batch.slice(texts.first, len(texts))
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("key"),
+                    bw.list_array(hashes.view(np.int64), counts, pa.int64()),
                     bw.list_array(words.astype(np.int32), counts, pa.int32()),
                     bw.list_array((chars[start] - base).astype(np.int32), counts, pa.int32()),
                     bw.list_array((chars[end] - base).astype(np.int32), counts, pa.int32()),
                     bw.list_array(prints.view(np.int64), held, pa.int64()),
-                    bw.list_array((a - first[of]).astype(np.int32), held, pa.int32()),
-                    bw.list_array((b - first[of]).astype(np.int32), held, pa.int32()),
-                ], names=["doc_id", "key", "words", "start", "end", "prints", "at", "to"])
+                    bw.list_array((at - first[doc[at]]).astype(np.int32), held, pa.int32()),
+                ], names=["doc_id", "key", "hashes", "words", "start", "end", "prints", "at"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", row_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, key long, words array<int>, start array<int>, end array<int>, "
-             "prints array<long>, at array<int>, to array<int>")
+        run, f"doc_id {kind}, key long, hashes array<long>, words array<int>, start array<int>, end array<int>, "
+             "prints array<long>, at array<int>")
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets of a list column's rows, and its values."""
-    return column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten()
+    return column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten().to_numpy()
 
 
 def _pairs_array(rows: list[list[tuple[int, int]]], first: str, second: str) -> pa.Array:
@@ -136,36 +166,106 @@ def _pairs_array(rows: list[list[tuple[int, int]]], first: str, second: str) ->
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
+def _windows(bodies: DataFrame, opts: LineDedup) -> DataFrame:
+    """Of documents with the lines (at) of their repeated fingerprints: a row for each window
+    that holds one, with its print, first line a and end b."""
+    least = max(1, opts.min_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (offsets, hashes), (_, words) = _flat(batch.column("hashes")), _flat(batch.column("words"))
+            held, marks = _flat(batch.column("at"))
+            doc = np.repeat(np.arange(len(batch)), np.diff(offsets))
+            marks = np.unique(marks + np.repeat(offsets[:-1], np.diff(held)))
+            prints, a, b = word_windows(hashes.view(np.uint64), words, doc, least)
+            # The next repeated shingle from the window's start on, and its end.
+            short = np.append(_ends(words, max(1, least // 2))[marks], len(words) + 1)
+            keep = short[np.searchsorted(marks, a)] <= b
+            prints, a, b = prints[keep], a[keep], b[keep]
+            of = doc[a]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id").take(pa.array(of)), batch.column("key").take(pa.array(of)),
+                pa.array(prints.view(np.int64)), pa.array((a - offsets[of]).astype(np.int32)),
+                pa.array((b - offsets[of]).astype(np.int32))], names=["doc_id", "key", "print", "a", "b"])
+    kind = bodies.schema["doc_id"].dataType.simpleString()
+    return bodies.select("doc_id", "key", "hashes", "words", "at").mapInArrow(
+        run, f"doc_id {kind}, key long, print long, a int, b int")
+
+
+def _equal(x: np.ndarray, y: np.ndarray) -> int:
+    """How many first items of x and y are equal."""
+    n, at, step = min(len(x), len(y)), 0, 64
+    while at < n:
+        apart = np.flatnonzero(x[at:min(n, at + step)] != y[at:min(n, at + step)])
+        if len(apart):
+            return at + int(apart[0])
+        at, step = at + step, 2 * step
+    return n
+
+
+def extended(mine: np.ndarray, theirs: np.ndarray, seeds: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Runs of lines of mine around seeds (a, b: lines of mine, at: the match's first line in
+    theirs), extended both ways while lines are equal. What is covered isn't extended again."""
+    out, end = [], 0
+    for a, b, at in sorted(seeds):
+        if b <= end:
+            continue
+        left = _equal(mine[max(0, min(end, a)):a][::-1], theirs[:at][::-1])
+        right = _equal(mine[b:], theirs[at + b - a:])
+        out.append((a - left, b + right))
+        end = b + right
+    return out
+
+
+def _extended(pairs: DataFrame) -> DataFrame:
+    """(doc_id, key, mine, theirs, seeds) to (doc_id, key, cuts)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (m, mine), (t, theirs) = _flat(batch.column("mine")), _flat(batch.column("theirs"))
+            seeds = batch.column("seeds").to_pylist()
+            cuts = [extended(mine[m[i]:m[i + 1]], theirs[t[i]:t[i + 1]], [(s["a"], s["b"], s["at"]) for s in seeds[i]])
+                    for i in range(len(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), _pairs_array(cuts, "a", "b")],
+                                             names=["doc_id", "key", "cuts"])
+    kind = pairs.schema["doc_id"].dataType.simpleString()
+    return pairs.select("doc_id", "key", "mine", "theirs", "seeds").mapInArrow(
+        run, f"doc_id {kind}, key long, cuts array<struct<a:int,b:int>>")
+
+
 def _deleted(rows: DataFrame) -> DataFrame:
-    """Per document with repeated windows (pos): the deleted spans, in code points, and their sizes."""
+    """(doc_id, key, cuts, words, start, end) to the deleted spans, in code points, and their sizes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (at, words), (n, pos) = _flat(batch.column("words")), _flat(batch.column("pos"))
-            words = words.to_numpy()
+            at, words = _flat(batch.column("words"))
             start, end = (batch.column(c).flatten().to_numpy() for c in ("start", "end"))
-            held, first = _flat(batch.column("at"))
-            spans, n_lines, n_words = [], [], []
-            # Lines of all rows in one array, each row's windows moved to its place in it.
+            n = batch.column("cuts").offsets.to_numpy()
+            pairs = batch.column("cuts").flatten()
             base = np.repeat(at[:-1], np.diff(n))
-            pos = pos.to_numpy() + np.repeat(held[:-1], np.diff(n))
-            size = len(words) + 1
-            covered = (np.bincount(first.to_numpy()[pos] + base, minlength=size)
-                       - np.bincount(batch.column("to").flatten().to_numpy()[pos] + base, minlength=size))
+            covered = (np.bincount(pairs.field("a").to_numpy() + base, minlength=len(words) + 1)
+                       - np.bincount(pairs.field("b").to_numpy() + base, minlength=len(words) + 1))
             inside = np.cumsum(covered) > 0
             sums = np.append(0, np.cumsum(words))
+            spans, n_lines, n_words = [], [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 edges = np.flatnonzero(np.diff(inside[a:b].astype(np.int8), prepend=0, append=0)) + a
-                cuts = list(zip(edges[::2].tolist(), edges[1::2].tolist()))
-                spans.append([(start[x], end[y - 1]) for x, y in cuts])
-                n_lines.append(sum(y - x for x, y in cuts))
-                n_words.append(int(sum(sums[y] - sums[x] for x, y in cuts)))
+                runs = list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+                spans.append([(start[x], end[y - 1]) for x, y in runs])
+                n_lines.append(sum(y - x for x, y in runs))
+                n_words.append(int(sum(sums[y] - sums[x] for x, y in runs)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), _pairs_array(spans, "start", "end"),
                  pa.array(n_lines, pa.int64()), pa.array(n_words, pa.int64())],
                 names=["doc_id", "key", "deleted", "deleted_lines", "deleted_words"])
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, key long, deleted array<struct<start:int,end:int>>, "
-                                "deleted_lines long, deleted_words long")
+    return rows.select("doc_id", "key", "cuts", "words", "start", "end").mapInArrow(
+        run, f"doc_id {kind}, key long, deleted array<struct<start:int,end:int>>, deleted_lines long, deleted_words long")
+
+
+def _with(left: DataFrame, right: DataFrame, how: str = "inner", on: tuple[str, str] = ("doc_id", "key")) -> DataFrame:
+    """left joined with right (doc_id, key, ...) on its columns of the names in `on`; ids may be null."""
+    right = right.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    match = left[on[0]].eqNullSafe(right["_id"]) & (left[on[1]] == right["_key"])
+    return left.join(right, match, how).drop("_id", "_key")
 
 
 def repeated_runs(docs: DataFrame, opts: LineDedup = LineDedup()) -> DataFrame:
@@ -176,24 +276,35 @@ def repeated_runs(docs: DataFrame, opts: LineDedup = LineDedup()) -> DataFrame:
     rows are one document. Deleted are all lines of the runs of at least min_words words
     that stood before as a whole, in an earlier document or earlier in the same one; such
     runs may overlap. A null, empty or blank text has no lines. Lines are compared
-    word by word, whatever white space stands between.
+    word by word, whatever white space stands between. An empty table gives no rows.
     """
     found = stored(lines(docs, opts), "line-hashes")
-    prints = found.select("doc_id", "key", F.posexplode("prints").alias("pos", "hash"))
-    # Only hashes at first: most windows stand once, and go no further.
-    again = found.select(F.explode("prints").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    again = stored(again.filter("n > 1").select("hash"), "line-repeated")
-    shared = stored(prints.join(again, "hash"), "line-windows")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "pos")
-    first = stored(shared.groupBy("hash").agg(F.min(place).alias("first")), "line-first")
-    later = shared.join(first, "hash").filter(place > F.col("first"))
-    runs = stored(later.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("pos")), "line-runs")
-    mine = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "words", "start", "end", "at", "to")
-    cut = runs.join(mine, runs["doc_id"].eqNullSafe(mine["_id"]) & (runs["key"] == mine["_key"]))
-    cut = _deleted(cut.select("doc_id", "key", "pos", "words", "start", "end", "at", "to")).dropDuplicates(["doc_id", "key"])
-    cut = cut.filter("deleted_lines > 0").toDF("_id", "_key", "deleted", "deleted_lines", "deleted_words")
-    rows = found.select("doc_id", "key", F.size("words").cast("long").alias("n_lines"))
-    rows = rows.join(cut, rows["doc_id"].eqNullSafe(cut["_id"]) & (rows["key"] == cut["_key"]), "left")
+    # Only hashes at first: most fingerprints stand once, and go no further.
+    again = found.select(F.explode("prints").alias("print")).groupBy("print").agg(F.count(F.lit(1)).alias("n"))
+    again = stored(again.filter("n > 1").select("print"), "line-repeated")
+    posted = found.select("doc_id", "key", F.explode(F.arrays_zip("prints", "at")).alias("p")).select(
+        "doc_id", "key", F.col("p.prints").alias("print"), F.col("p.at").alias("at"))
+    marked = posted.join(again, "print").groupBy("doc_id", "key").agg(F.collect_set("at").alias("at"))
+    # The documents that hold one, each once.
+    columns = ["hashes", "words", "start", "end", "at"]
+    bodies = _with(found.drop("prints", "at"), marked).groupBy("doc_id", "key").agg(
+        F.any_value(F.struct(*columns)).alias("body")).select("doc_id", "key", "body.*")
+    bodies = stored(bodies, "line-bodies")
+
+    windows = stored(_windows(bodies, opts), "line-windows")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "a", "b")
+    first = windows.groupBy("print").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = stored(first.filter("n > 1").drop("n"), "line-first")
+    matches = windows.join(first, "print").filter(place > F.col("first"))
+    pairs = matches.groupBy("doc_id", "key", F.col("first.doc_id").alias("of"), F.col("first.key").alias("of_key")).agg(
+        F.collect_list(F.struct("a", "b", F.col("first.a").alias("at"))).alias("seeds"))
+    pairs = stored(pairs, "line-matches")
+    both = _with(pairs, bodies.select("doc_id", "key", F.col("hashes").alias("mine")))
+    both = _with(both, bodies.select("doc_id", "key", F.col("hashes").alias("theirs")), on=("of", "of_key"))
+    cuts = stored(_extended(both).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("cuts")).alias("cuts")), "line-cuts")
+
+    cut = _deleted(_with(cuts, bodies)).filter("deleted_lines > 0")
+    rows = _with(found.select("doc_id", "key", F.size("words").cast("long").alias("n_lines")), cut, "left")
     zero = F.lit(0).cast("long")
     return rows.select(
         "doc_id", "key", "n_lines", F.coalesce("deleted", F.array().cast(

@@ -239,3 +239,29 @@ def test_split_that_changes_fails(spark):
     rows = spark.createDataFrame([(0, 99, "some text")], "base long, end long, text string")
     with pytest.raises(Exception, match="changed between passes"):
         tb._pieces(rows, 30, opts).count()
+
+
+def test_fingerprints_are_few_and_in_every_run():
+    """Every run of min_words words holds a whole shingle that is posted; fewer than half as
+    many are posted as there are windows."""
+    rng = np.random.default_rng(31)
+    doc = np.sort(rng.integers(0, 30, 3000))
+    hashes = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
+    words = rng.integers(1, 22, 3000)
+    at, prints = ld.fingerprints(hashes, words, doc, 30)
+    _, a, b = ld.word_windows(hashes, words, doc, 30)
+    ends = ld._ends(words, 15)
+    for x, y in zip(a, b):
+        assert any(x <= s and ends[s] <= y for s in at[np.searchsorted(at, x):np.searchsorted(at, y)])
+    assert len(at) < len(a) / 2
+    again, same = ld.fingerprints(np.tile(hashes, 2), np.tile(words, 2), np.append(doc, doc + 100), 30)
+    assert again.tolist() == [*at, *(at + 3000)] and same.tolist() == [*prints, *prints]
+
+
+def test_extension_goes_both_ways_and_stops_where_lines_differ():
+    theirs = np.array([9, 1, 2, 3, 4, 5, 8])
+    mine = np.array([7, 1, 2, 3, 4, 5, 6, 1, 2])
+    assert ld.extended(mine, theirs, [(2, 4, 2)]) == [(1, 6)]
+    assert ld.extended(mine, theirs, [(2, 4, 2), (3, 5, 3), (7, 9, 1)]) == [(1, 6), (7, 9)]
+    same = np.zeros(1000, int)
+    assert ld.extended(same, same, [(i, i + 3, 0) for i in range(1, 998)]) == [(1, 1000)]
