@@ -73,3 +73,19 @@ def test_contaminated_documents_go(spark, odd_docs, odd_rows, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert dec.remove_contaminated(odd_docs, none).count() == odd_docs.count()
     assert dec.decontaminate(no_docs, items).count() == 0
+
+
+def test_time_is_linear_in_the_length_of_a_text(spark):
+    import time
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(50)], "item_id long, text string")
+
+    def seconds(n):
+        words = [f"w{i // 12 % 60}x{i % 12}" if i % 240 < 12 else f"v{i}" for i in range(n)]
+        docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+        began = time.time()
+        r = dec.decontaminate(docs, items).first()
+        assert r["n_words"] == n and r["n_hit"] == 12 * len({i // 240 for i in range(n) if i // 240 * 20 % 60 < 50})
+        return time.time() - began
+    seconds(2_000)
+    few = min(seconds(40_000) for _ in range(2))
+    assert min(seconds(160_000) for _ in range(2)) <= 4.6 * few
