@@ -95,7 +95,8 @@ def _secrets() -> str:
   every AS ({' UNION ALL '.join(parts)}),
   found AS (SELECT * FROM every e WHERE kind <> 'token' OR NOT EXISTS (SELECT 1 FROM every b WHERE
     b.doc_id = e.doc_id AND b.kind <> 'token' AND b.a < e.a + e.n AND e.a < b.a + b.n)),
-  own AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) <= 2 AS live FROM found GROUP BY value),
+  own AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) <= 2 AND count(DISTINCT (source, doc_id)) <= 10 AS live
+    FROM found GROUP BY value),
   span AS (SELECT doc_id, kind, rank, a, live, kind || ':' || a || ':' || (a + n) AS s FROM found JOIN own USING (value)),
   per AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
     count(*) FILTER (kind = 'hex') AS n_hex,

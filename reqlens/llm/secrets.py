@@ -1,6 +1,7 @@
 """Secret scans: candidate spans, and who else in the corpus owns the same value.
 
-A value that many owners hold is a copied example; one that few hold looks live.
+A value that many owners, or many repositories, hold is a copied example; one that few
+hold looks live.
 """
 from __future__ import annotations
 
@@ -72,17 +73,20 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
-                 max_owners: int = 2) -> DataFrame:
+                 max_owners: int = 2, max_repositories: int = 10) -> DataFrame:
     """One row per row of docs: doc_id, base (spans), spans (base, and the added ones
-    that look live), n_live and n_copied (spans whose value has at most, or more than,
-    max_owners owners). Rows without spans have empty lists; repeated rows each get
-    the same result and count as further occurrences."""
+    that look live), n_live (spans whose value has at most max_owners owners and
+    max_repositories repositories) and n_copied (the others). An example in many
+    documents of a single owner is copied, too. Rows without spans have empty lists;
+    repeated rows each get the same result and count as further occurrences of one
+    repository. Columns other than doc_id, text, owner and repository are not read."""
     found = stored(candidates(docs, owner, repository), "secret-spans")
-    freq = stored(ownership(found), "secret-owners").select("hash", "owners")
+    freq = stored(ownership(found), "secret-owners").select("hash", "owners", "repositories")
     each = found.filter(F.size("base") + F.size("added") > 0).select(
         "doc_id", "key", F.explode(F.concat("base", "added")).alias("s")
     ).withColumn("hash", F.col("s.hash"))
-    judged = each.join(freq, "hash").withColumn("live", F.col("owners") <= max_owners)
+    judged = each.join(freq, "hash").withColumn(
+        "live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
     judged = judged.groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "live")).alias("all"))
     judged = judged.select(
         "doc_id", "key", F.size(F.filter("all", lambda x: x["live"])).alias("n_live"),

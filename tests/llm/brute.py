@@ -81,7 +81,7 @@ def shingles(text):
     return frozenset(tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, percent=85):
     """docs of distinct ids: {doc_id: (n_shingles, component_id, kept)} by all pairs."""
     sets = {d: shingles(t) for d, t in docs}
     parent = {d: d for d in sets}
@@ -94,7 +94,7 @@ def near_duplicates(docs):
     for i, a in enumerate(ids):
         for b in ids[i + 1:]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), root(d), root(d) == d) for d in ids}

@@ -77,7 +77,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
         assert not (verdict[r["doc_id"]] and brute.quality(r["text"])[5])
 
     second = stored(corpus_pipeline.near_dedup(spark, first, SF), "t2")
-    near = brute.near_duplicates([(r["doc_id"], r["text"]) for r in first.collect()])
+    near = brute.near_duplicates([(r["doc_id"], r["text"]) for r in first.collect()], 80)
     assert sorted(r["doc_id"] for r in second.collect()) == sorted(d for d, x in near.items() if x[2])
 
     third = stored(corpus_pipeline.decontamination(spark, second, SF), "t3")

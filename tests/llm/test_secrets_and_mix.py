@@ -35,6 +35,17 @@ def test_values_of_many_owners_are_copied(spark):
     assert owners == {(6, 6, 6), (1, 2, 2), (1, 1, 1)}
 
 
+def test_an_example_copied_within_one_owner_is_no_live_secret(spark):
+    example, own = "example_key_0123456789ab", "private_key_9876543210zy"
+    rows = [(i, f"call it {example} here", "hot") for i in range(40)] + [(50 + i, f"mine {own}", "hot") for i in range(10)]
+    rows += [(50, f"mine {own}", "hot")] * 5  # repeated rows are one repository
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["n_live"], r["n_copied"], len(r["spans"])) for r in sc.scan_secrets(df).collect()}
+    assert all(got[i] == (0, 1, 0) for i in range(40)) and all(got[50 + i] == (1, 0, 1) for i in range(10))
+    loose = {r["doc_id"]: r["n_live"] for r in sc.scan_secrets(df, max_repositories=100).collect()}
+    assert set(loose.values()) == {1}
+
+
 def test_no_rows(no_docs):
     assert sc.scan_secrets(no_docs).count() == 0
     assert mx.mix_documents(no_docs).count() == 0 and mx.mixed(no_docs).count() == 0
