@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from reqlens.llm.common import stored
 from reqlens.llm.decontaminate import remove_contaminated
 from reqlens.llm.mixing import mixed
-from reqlens.llm.neardup import deduplicate
+from reqlens.llm.neardup import NearDup, deduplicate
 from reqlens.llm.quality import keep_quality
 from reqlens.llm.tokenbinary import token_shards
 
@@ -16,7 +16,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return deduplicate(docs)
+    return deduplicate(docs, NearDup(percent=80))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
