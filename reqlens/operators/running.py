@@ -6,11 +6,15 @@ into one task. Here the order axis is cut into blocks: rows run inside
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SKETCH = 10_000        # accuracy of percentile sketches: ranks are off by a ten-thousandth of the rows at most
+BRACKET = 0.0006       # half a bracket: five times the sketch's error, and a few ranks
+SKETCH_ROWS = 20_000   # columns of so few rows are ranked whole: there the few ranks are more than that
 EDGES = 512            # quantiles that cut the values of a column
 BUCKET_ROWS = 100_000  # rows of a bucket, about
 
@@ -95,35 +99,68 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column],
         (F.sum(n).over(inside) + F.col(f"_before_{n}")).alias(f"cum_{n}") for n in sums])
 
 
+def _brackets(df: DataFrame, columns: Sequence[str], wanted: dict[str, float]) -> list[tuple]:
+    """(column, name, low, high, lower rank, upper rank, share between them) for each usable
+    column and percentile: values that surely enclose it, from one sketch per column."""
+    aside = [q for p in wanted.values() for q in (max(0.0, p - BRACKET), min(1.0, p + BRACKET))]
+    facts = df.agg(*[F.struct(
+        F.count(usable(F.col(c))).alias("n"), F.min(usable(F.col(c))).alias("least"), F.max(usable(F.col(c))).alias("most"),
+        F.percentile_approx(usable(F.col(c)), aside, SKETCH).alias("q")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    out = []
+    for i, c in enumerate(columns):
+        f = facts[f"c{i}"]
+        for k, (name, p) in enumerate(wanted.items()):
+            if f["n"]:
+                spot = (f["n"] - 1) * p
+                small = f["n"] <= SKETCH_ROWS
+                low = f["least"] if small or p <= BRACKET else f["q"][2 * k]
+                high = f["most"] if small or p >= 1 - BRACKET else f["q"][2 * k + 1]
+                out.append((c, name, low, high, math.floor(spot), math.ceil(spot), spot - math.floor(spot)))
+    return out
+
+
 def percentiles_by(df: DataFrame, columns: Sequence[str], wanted: dict[str, float]) -> DataFrame:
     """Per column, exact, linearly interpolated percentiles (0..1): (column, <names>).
 
-    All columns go through one ranking, as rows (column, value). The built-in exact
-    `percentile` keeps every distinct value of a column in one task; this keeps one
-    bucket of them. A column without a usable value has NULLs.
+    Two scans for any number of columns. The first, run here, sketches all of them; the
+    sketch's error is bounded, so each percentile lies in a bracket of a thousandth of the
+    rows. The second counts the rows below each bracket and ranks the distinct values
+    inside. The built-in exact `percentile` keeps every distinct value of a column in one
+    task. A column without a usable value has NULLs.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), usable(F.col(c)).alias("value")) for c in columns])
-    long = df.select(F.explode(pairs).alias("p")).select("p.*")
-    ranked = cumulative_by_value(long, "value", {"n": F.lit(1)}, by=["column"])
-    # The last running total of a column is its number of values.
-    ends = ranked.groupBy("column").agg(F.max("cum_n").alias("_n"))
-    ranked = ranked.join(F.broadcast(ends), "column")  # a row per column
-    first = F.col("cum_n") - F.col("n")
-
-    def at_rank(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank < F.col("cum_n")), F.col("value")))
-
-    picks = []
-    for name, p in wanted.items():
-        spot = (F.col("_n") - 1) * p
-        picks += [at_rank(F.floor(spot)).alias(f"_lo_{name}"), at_rank(F.ceil(spot)).alias(f"_hi_{name}"),
-                  F.max(spot - F.floor(spot)).alias(f"_at_{name}")]
-    found = ranked.groupBy("column").agg(*picks)
-    found = found.select("column", *[
-        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_at_{n}")).alias(n)
-        for n in wanted])
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string").coalesce(1)
-    return names.join(found, "column", "left")
+    spark, found = df.sparkSession, _brackets(df, columns, wanted)
+    if not found:
+        names = spark.createDataFrame([(c,) for c in columns], "column string").coalesce(1)
+        return names.select("column", *[F.lit(None).cast("double").alias(n) for n in wanted])
+    entries = []
+    for at, (c, _, low, high, *_) in enumerate(found):
+        value = usable(F.col(c))
+        # Rows below the bracket are only counted; those above it are left out.
+        entries.append(F.when(value <= F.lit(high), F.struct(
+            F.lit(at).alias("at"), F.when(value >= F.lit(low), value).alias("value"))))
+    rows = df.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+    counts = rows.groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"))
+    so_far = Window.partitionBy("at").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("to", F.sum("n").over(so_far))
+
+    def pick(field: int) -> Column:
+        rank = F.lit(None).cast("bigint")
+        for at, bracket in enumerate(found):
+            rank = F.when(F.col("at") == at, F.lit(bracket[field]).cast("bigint")).otherwise(rank)
+        return F.max(F.when((F.col("to") - F.col("n") <= rank) & (rank < F.col("to")), F.col("value")))
+    picked = ranked.groupBy("at").agg(pick(4).alias("lo"), pick(5).alias("hi"))
+    # A bracket that missed would be a wrong result: fail instead.
+    sure = F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), F.lit(True)).otherwise(
+        F.raise_error(F.lit("a percentile lies outside its bracket")).cast("boolean"))
+
+    def final(c: str, name: str) -> Column:
+        for at, (column, of, *_, share) in enumerate(found):
+            if (column, of) == (c, name):
+                return F.max(F.when((F.col("at") == at) & sure, F.col("lo") + (F.col("hi") - F.col("lo")) * share))
+        return F.lit(None).cast("double")
+    parts = picked.agg(*[F.struct(F.lit(c).alias("column"), *[final(c, n).alias(n) for n in wanted]).alias(f"c{i}")
+                         for i, c in enumerate(columns)])
+    return parts.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(columns))])))
 
 
 def percentiles(df: DataFrame, value: str, wanted: dict[str, float]) -> DataFrame:

@@ -133,3 +133,17 @@ def test_series_fills_gaps(spark):
     got = traffic.traffic_series(df).withColumn("s", F.unix_seconds("bin")).orderBy("s").collect()
     assert [r.s for r in got] == list(range(0, 7210, 5))
     assert (got[0].allowed, got[0].blocked, got[1].allowed, got[-1].allowed) == (1, 1, 0, 1)
+
+
+@pytest.mark.parametrize("kind", ["even", "tied", "tails", "few"])
+def test_percentiles_of_many_rows_are_exact(spark, kind):
+    from reqlens.operators.running import percentiles_by
+    rng = np.random.default_rng(8)
+    v = {"even": rng.random(60_000), "tied": rng.integers(0, 5, 60_000).astype(float),
+         "tails": np.exp(rng.normal(size=60_000) * 4), "few": rng.random(7)}[kind]
+    df = spark.createDataFrame([(float(x), float(-x)) for x in v] + [(None, float("nan"))], "a double, b double").repartition(6)
+    wanted = {"z": 0.0, "lo": 0.01, "m": 0.5, "hi": 0.995, "top": 0.9999, "one": 1.0}
+    got = {r["column"]: r for r in percentiles_by(df, ["a", "b"], wanted).collect()}
+    for name, p in wanted.items():
+        assert got["a"][name] == pytest.approx(np.percentile(v, 100 * p), rel=1e-12)
+        assert got["b"][name] == pytest.approx(np.percentile(-v, 100 * p), rel=1e-12)
