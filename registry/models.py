@@ -1,20 +1,21 @@
 """Scaling, detectors, the decision cascade and the training plans."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from registry import query
-from registry.inputs import (DAY, PAGES_SQL, VECTOR, event_log, page_requests, r6, requests,
+from registry.inputs import (DAY, PAGES_SQL, REQUESTS_SQL, VECTOR, event_log, page_requests, r6, requests,
                              scored, vectors, with_, LOG_SQL, SCORED_SQL)
-from registry.shapes import _HITS_SQL, _RULES_SQL, featured
+from registry.shapes import _BASE_SQL, _CHARS_SQL, _FEATURE_SQL, _HITS_SQL, _RULES_SQL, featured
 from reqlens.config import DEFAULTS
 from reqlens.functions import rules, scalars
 from reqlens.models import autoencoder, forest, meta, scaler
-from reqlens.models.bundle import ModelSet
+from reqlens.models.bundle import ModelSet, score
 from reqlens.operators import decide, eventlog
 from reqlens.operators import baseline as bl
 from reqlens.plans import train
-from reqlens.schemas import FEATURE_NAMES
+from reqlens.schemas import FEATURE_NAMES, FOREST_NODES
 from reqlens.session import cut
 
 _AVERAGES = ", ".join(f"avg(e[{i + 1}]) AS m{i}, stddev_pop(e[{i + 1}]) AS s{i}" for i in range(64))
@@ -171,6 +172,114 @@ def decision_models(spark, sf):
         F.max("probability").alias("high"))
 
 
+# A model written by hand, so that its results can be said in SQL. Two trees over three
+# features, and a network that looks at two and answers with a multiple of its bottleneck.
+_TREES = [(0, 0, "path_len", 8.1, 1, 2, 8), (0, 1, "", 0.0, -1, -1, 5), (0, 2, "q_total_len", 0.9, 3, 4, 3),
+          (0, 3, "", 0.0, -1, -1, 2), (0, 4, "", 0.0, -1, -1, 1),
+          (1, 0, "win_distinct_paths", 0.1, 1, 2, 8), (1, 1, "", 0.0, -1, -1, 7), (1, 2, "", 0.0, -1, -1, 1)]
+_SAMPLE, _GAMMA = 8, 0.5772156649015329
+_RANGES = {"if": (-0.15, 0.2), "ae": (1.5, 3.0)}
+_LEARNER = meta.Meta(-3.0, {"rate": 1.5, "isolation_forest": 2.5, "autoencoder": 3.0})
+_CUT = 0.6
+
+
+def _hand_written(spark):
+    at = {n: i for i, n in enumerate(FEATURE_NAMES)}
+    nodes = spark.createDataFrame([(t, k, at[f] if f else -1, x, a, b, n) for t, k, f, x, a, b, n in _TREES], FOREST_NODES)
+    width = len(FEATURE_NAMES)
+    into = np.zeros((width, 2))
+    into[at["path_entropy"], 0], into[at["q_total_len"], 1] = 1.0, 0.5
+    back = np.array([[0.1 * (j % 3) for j in range(width)], [9.0] * width])
+    network = autoencoder.Network([
+        (into, np.array([0.25, -0.5])), (np.array([[1.0], [0.5]]), np.array([0.1])),
+        (np.array([[1.0, -1.0]]), np.zeros(2)), (back, np.full(width, 0.05))])
+    return ModelSet({n: (1.0, 2.0) for n in FEATURE_NAMES}, forest.load_forest(nodes, _SAMPLE), network, _LEARNER,
+                    bl.empty_baseline(spark), _RANGES, _CUT, FEATURE_NAMES, {})
+
+
+def _judged(spark, sf):
+    """Event requests with features; every seventh carries a value that is not finite."""
+    broken = F.when(F.col("event_id") % 7 == 0, float("nan")).otherwise(0.0)
+    return featured(spark, sf).withColumns({
+        "path_decode_delta": F.col("path_decode_delta") + broken, "window_count": F.col("event_id") % 9,
+        "burst_count": F.col("event_id") % 4, "rate_limited": F.col("event_id") % 50 == 0, "rate_reason": F.lit("")})
+
+
+def _mean_path_sql(n):
+    return "0" if n <= 1 else "1" if n == 2 else f"(2 * (ln({n} - 1) + {_GAMMA}) - 2 * ({n} - 1) / {n})"
+
+
+def _path_sql(tree, node=0, depth=0):
+    _, _, feature, x, left, right, size = next(t for t in _TREES if t[:2] == (tree, node))
+    if left < 0:
+        return f"({depth} + {_mean_path_sql(size)})"
+    return (f"CASE WHEN z_{feature} <= {x} THEN {_path_sql(tree, left, depth + 1)} "
+            f"ELSE {_path_sql(tree, right, depth + 1)} END")
+
+
+def _norm_sql(raw, low, high):
+    return f"greatest(0, least(1, ({raw} - ({low})) / ({high} - ({low}) + 1e-9)))"
+
+
+_MODEL_SQL = ["vec AS (SELECT event_id, " + ", ".join(
+    f"(CAST(CAST({_FEATURE_SQL[n]} AS DOUBLE) AS FLOAT)::DOUBLE - 1) / 2 AS z_{n}" for n in FEATURE_NAMES)
+    + " FROM req JOIN be USING (event_id) JOIN pe USING (event_id) LEFT JOIN base b USING (template))",
+    "deep AS (SELECT *, greatest(0, greatest(0, z_path_entropy + 0.25) + 0.5 * greatest(0, 0.5 * z_q_total_len - 0.5) "
+    "+ 0.1) AS k FROM vec)",
+    f"raw AS (SELECT event_id, pow(2, -({_path_sql(0)} + {_path_sql(1)}) / 2 / {_mean_path_sql(_SAMPLE)}) - 0.5 AS if_raw, ("
+    + " + ".join(f"pow(z_{n} - ({0.1 * (j % 3)} * k + 0.05), 2)" for j, n in enumerate(FEATURE_NAMES))
+    + f") / {len(FEATURE_NAMES)} AS ae_raw, least(1, greatest(event_id % 9 / {DAY.window_limit}, event_id % 4 / "
+    f"{DAY.burst_limit})) AS rate FROM deep)",
+    f"part AS (SELECT *, {_norm_sql('if_raw', *_RANGES['if'])} AS s_if, {_norm_sql('ae_raw', *_RANGES['ae'])} AS s_ae FROM raw)",
+    "prob AS (SELECT *, 1 / (1 + exp(-(-3.0 + 1.5 * rate + 2.5 * s_if + 3.0 * s_ae))) AS p FROM part)"]
+_MODEL = with_(REQUESTS_SQL, _BASE_SQL, _CHARS_SQL.format("b", "body"), _CHARS_SQL.format("p", "path"), *_MODEL_SQL)
+# The cascade takes n_flags from the rules' hits; these requests have none.
+_FLAG = f"(CAST(CAST({_FEATURE_SQL['n_flags']} AS DOUBLE) AS FLOAT)::DOUBLE - 1) / 2 AS z_n_flags"
+
+
+@query("model_scores", _MODEL + """
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'ValueError' END AS error,
+  CASE WHEN event_id % 7 > 0 THEN round(if_raw, 6) END AS if_raw, CASE WHEN event_id % 7 > 0 THEN round(ae_raw, 4) END AS ae_raw,
+  CASE WHEN event_id % 7 > 0 THEN round(s_if, 6) END AS s_if, CASE WHEN event_id % 7 > 0 THEN round(s_ae, 4) END AS s_ae,
+  round(rate, 6) AS rate, CASE WHEN event_id % 7 > 0 THEN round(p, 4) END AS p FROM prob""")
+def model_scores(spark, sf):
+    """Path lengths, reconstruction errors, their normal form and the probability."""
+    out = score(_judged(spark, sf), _hand_written(spark), DAY)
+    # Features are 32-bit numbers, so what adds many of them up is compared to four digits.
+    scored_ = F.col("error").isNull()
+    return out.select("event_id", "error", r6("rate").alias("rate"), *[F.when(scored_, r6(c, k)).alias(n) for n, c, k in (
+        ("if_raw", "if_raw", 6), ("ae_raw", "ae_raw", 4), ("s_if", "isolation_forest", 6), ("s_ae", "autoencoder", 4),
+        ("p", "p", 4))])
+
+
+_MODEL_LAYER = f"""CASE WHEN event_id % 50 = 0 THEN 'L1-rate' WHEN event_id % 7 = 0 THEN 'L-error'
+    WHEN p >= {_CUT} THEN 'L4-meta' ELSE '' END"""
+
+
+def _model_decisions_sql(closed):
+    return _MODEL.replace(_FLAG, "-0.5 AS z_n_flags") + f"""
+SELECT event_id, layer, CASE WHEN layer IN ('L1-rate', 'L4-meta'{", 'L-error'" if closed else ''}) THEN 'block' ELSE 'allow' END
+  AS action, layer = 'L-error' AS degraded, CASE WHEN layer = 'L1-rate' THEN 1 WHEN layer = 'L-error' THEN {int(closed)}
+  ELSE round(p, 4) END AS probability FROM (SELECT *, {_MODEL_LAYER} AS layer FROM prob)"""
+
+
+def _model_decisions(spark, sf, settings):
+    out = decide.decide(_judged(spark, sf).withColumn("hits", rules.scan()), _hand_written(spark), settings)
+    return out.select("event_id", "layer", "action", "degraded", r6("probability", 4).alias("probability"))
+
+
+@query("model_decisions", _model_decisions_sql(True))
+def model_decisions(spark, sf):
+    """All outcomes of the model branch: attack, normal, failed, and settled before it."""
+    return _model_decisions(spark, sf, DAY)
+
+
+@query("model_decisions_open", _model_decisions_sql(False))
+def model_decisions_open(spark, sf):
+    """The same, failing open."""
+    return _model_decisions(spark, sf, DAY.but(fail_closed=False))
+
+
 @query("fail_closed", """
 SELECT 'L-error' AS layer, 'block' AS action, 'inference failure, failing closed: ValueError' AS reason,
   count(*) AS n, true AS degraded, 1.0 AS probability FROM events WHERE event_id % 7 = 0""")
