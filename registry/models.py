@@ -193,8 +193,10 @@ def _hand_written(spark):
     network = autoencoder.Network([
         (into, np.array([0.25, -0.5])), (np.array([[1.0], [0.5]]), np.array([0.1])),
         (np.array([[1.0, -1.0]]), np.zeros(2)), (back, np.full(width, 0.05))])
-    return ModelSet({n: (1.0, 2.0) for n in FEATURE_NAMES}, forest.load_forest(nodes, _SAMPLE), network, _LEARNER,
-                    bl.empty_baseline(spark), _RANGES, _CUT, FEATURE_NAMES, {})
+    out = ModelSet({n: (1.0, 2.0) for n in FEATURE_NAMES}, forest.load_forest(nodes, _SAMPLE), network, _LEARNER,
+                   bl.empty_baseline(spark), _RANGES, _CUT, FEATURE_NAMES, {})
+    out.nodes, out.sample = nodes, _SAMPLE
+    return out
 
 
 def _judged(spark, sf):
@@ -322,3 +324,10 @@ def compare_detectors(spark, sf):
     return table
 
 
+
+
+@query("seed_failures")
+def seed_failures(spark, sf):
+    """Training repeated with two seeds; a pool that is too small is a row, not a gap."""
+    runs = train.seed_runs(training_log(spark, sf), (1, 2), DAY.but(forest_trees=20, forest_samples=256, ae_epochs=5))
+    return runs.select("seed", F.col("failure").isNotNull().alias("failed"), r6("f1").alias("f1"), r6("roc_auc").alias("roc_auc"))

@@ -3,13 +3,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from registry import query
 from registry.inputs import (DAY, LOG_COLUMNS, LOG_DERIVED, LOG_SQL, LOG_VERDICT, REQUEST_COLUMNS,
                              REQUESTS_SQL, with_)
 from registry.rating import _COUNTS_SQL, _SESSION_SQL
+from reqlens.schemas import EVENT_LOG, SCALER
 from reqlens.session import checkpoint_root
+from reqlens.sources import artefacts, logs
 from reqlens.streaming import scoring as streams
 from reqlens.streaming.rate_state import stream_rate_state
 
@@ -122,3 +125,68 @@ def stream_deduplicated(spark, sf):
     raw = _requests(spark, sf)
     return _drain(streams.without_duplicates(raw.unionByName(raw), watermark="60 days").select(
         "event_id"))
+
+
+@query("stream_model_swap", with_(REQUESTS_SQL, _COUNTS_SQL) + """
+SELECT CASE WHEN early THEN 'lenient' ELSE 'strict' END AS model_version, CASE WHEN early THEN 0 ELSE 1 END AS batch,
+  CASE WHEN burst_count > 4 OR window_count > 8 THEN 'L1-rate' WHEN early THEN '' ELSE 'L4-meta' END AS layer, count(*) AS n
+FROM (SELECT *, us < (SELECT (min(us) + max(us)) // 2 FROM req) AS early FROM cnt) GROUP BY ALL""")
+def stream_model_swap(spark, sf):
+    """Two batches of requests; a stricter model is published between them, and the first
+    batch is delivered to the sink twice."""
+    from registry.models import _hand_written
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    root = f"{checkpoint_root(spark)}/swap-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).select(
+        *[F.expr(sql).alias(n) for n, sql in REQUEST_COLUMNS.items()], "ts")
+    at = F.unix_micros("ts")
+    middle = rows.agg(F.expr("(min(unix_micros(ts)) + max(unix_micros(ts))) div 2")).first()[0]
+    for part in (rows.filter(at < middle), rows.filter(at >= middle)):  # a file each, in this order
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+
+    store, models = artefacts.Store(f"{root}/models"), _hand_written(spark)
+    table = spark.createDataFrame([(n, m, s) for n, (m, s) in models.scaler.items()], SCALER)
+    for version, threshold in (("lenient", 1.1), ("strict", 0.0)):
+        artefacts.save_models(spark, store, version, {
+            "scaler": table, "nodes": models.nodes, "trees": 2, "sample": models.sample, "network": models.network,
+            "meta": models.meta})
+        artefacts.save_decision(spark, store, version, {
+            "feature_names": models.feature_names, "threshold": threshold, "if_lo": models.ranges["if"][0],
+            "if_hi": models.ranges["if"][1], "ae_lo": models.ranges["ae"][0], "ae_hi": models.ranges["ae"][1]})
+    artefacts.publish(spark, store, "lenient")
+    keep = streams.batch_sink(f"{root}/log", "gateway")
+
+    def sink(log, batch_id):
+        keep(log, batch_id)
+        if batch_id == 0:
+            keep(log, batch_id)
+            artefacts.publish(log.sparkSession, store, "strict")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    streams.score_with_reload(source, store, sink, f"swap{uuid.uuid4().hex}", DAY, available_now=True,
+                              resolution_us=1).awaitTermination()
+    log = spark.read.schema(EVENT_LOG + ", model_version STRING, query STRING, batch INT").parquet(f"{root}/log")
+    return log.groupBy("model_version", "batch", "layer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("log_lines", """
+SELECT count(*) AS lines, count(*) FILTER (event_id % 10 = 0) AS blank, count(*) FILTER (event_id % 10 = 1) AS malformed,
+  count(*) FILTER (event_id % 10 = 2) AS repaired, count(*) FILTER (event_id % 10 > 1) AS rows,
+  count(*) FILTER (event_id % 10 > 1 AND event_type = 'error') AS errors FROM events""")
+def log_lines(spark, sf):
+    """A JSON-lines log of the events with blank, cut and badly encoded lines, and what
+    reading it counts on the way."""
+    event = spark.read.parquet(f"{sf}/events.parquet")
+    line = F.to_json(F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("ts"),
+                              F.col("event_type").alias("action"), F.lit("GET").alias("method")))
+    part = F.col("event_id") % 10
+    raw = (F.when(part == 0, F.lit("  ").cast("binary")).when(part == 1, F.lit('{"ts": 1, "act').cast("binary"))
+           .when(part == 2, F.concat(F.encode(F.regexp_replace(line, '"GET".*$', '"G'), "utf-8"), F.unhex(F.lit("FF")),
+                                     F.encode(F.lit('ET"}'), "utf-8"))).otherwise(F.encode(line, "utf-8")))
+    path = f"{checkpoint_root(spark)}/lines-{uuid.uuid4().hex}"
+    event.select(raw.cast("string").alias("value")).write.text(path)  # bytes as they are
+    seen = Observation()
+    read = logs.read_event_log(spark, path, seen).filter("method = 'GET'")
+    found = read.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("action") == "error").alias("errors")).first()
+    counts = seen.get
+    return spark.createDataFrame([(*[counts[c] for c in ("lines", "blank", "malformed", "repaired")], found["rows"],
+                                   found["errors"])], "lines long, blank long, malformed long, repaired long, rows long, errors long")

@@ -62,17 +62,19 @@ def numbered(rows: DataFrame) -> DataFrame:
     return copies.select(*columns, F.xxhash64("_hash", "_copy").alias("row_id"))
 
 
-def prepare(log: DataFrame, seed: int) -> DataFrame:
-    """Labelled rows as narrow numeric columns, with row ids."""
+def prepare(log: DataFrame) -> DataFrame:
+    """Labelled rows as narrow numeric columns, with row ids: what all seeds share."""
     rows = from_map(eventlog.labelled_rows(log)).select(
         "y", "family", "client", "template", "body_size", "win",
         F.coalesce("burst_count", F.lit(0)).alias("burst_count"), "l1", "by_rule", *FEATURE_NAMES)
-    return cut(eventlog.with_pool(numbered(rows), seed))
+    return cut(numbered(rows))
 
 
-def fit(log: DataFrame, settings: Settings = DEFAULTS, seed: int | None = None) -> Fitted:
+def fit(log: DataFrame, settings: Settings = DEFAULTS, seed: int | None = None,
+        prepared: DataFrame | None = None) -> Fitted:
+    """`prepared`: what prepare(log) returned, if it is at hand."""
     seed = settings.seed if seed is None else seed
-    rows = prepare(log, seed)
+    rows = eventlog.with_pool(prepare(log) if prepared is None else prepared, seed)
     pools = eventlog.training_pool(rows, settings)
     sizes = {r.pool: r.n for r in metrics.pool_counts(pools).collect()}
     sizes = {p: sizes.get(p, 0) for p in ("base", "meta", "val", "test")}
@@ -115,10 +117,10 @@ class TrainReport:
 
 
 def train(log: DataFrame, settings: Settings = DEFAULTS, seed: int | None = None,
-          store: artefacts.Store | None = None) -> TrainReport:
+          store: artefacts.Store | None = None, prepared: DataFrame | None = None) -> TrainReport:
     """Fit, choose the threshold on validation, evaluate once on test, persist."""
     seed = settings.seed if seed is None else seed
-    fitted = fit(log, settings, seed)
+    fitted = fit(log, settings, seed, prepared)
     duplicates = metrics.duplication(fitted.rows).first()
     picked = metrics.pick_threshold(fitted.pool("val"), settings.target_fpr, score="p").first()
 
@@ -205,22 +207,31 @@ def compare(fitted: Fitted, settings: Settings = DEFAULTS) -> tuple[DataFrame, D
     return table, tests
 
 
-def validate(log: DataFrame, seeds=range(1, 11), settings: Settings = DEFAULTS,
-             n_boot: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """(runs, summary with bootstrap intervals). Retrains per seed; a seed whose
-    split cannot be trained is skipped; fewer than two runs are refused."""
-    runs = []
+def seed_runs(log: DataFrame, seeds=range(1, 11), settings: Settings = DEFAULTS) -> DataFrame:
+    """A row per seed: its test results, or why its split could not be trained (failure).
+    The log is prepared once; anything but a pool that is too small is raised."""
+    prepared, runs = prepare(log), []
     for seed in seeds:
         try:
-            d = train(log, settings, seed).decision
-        except ValueError:
+            d = train(log, settings, seed, prepared=prepared).decision
+        except PoolTooSmall as failure:
+            runs.append((seed, *[None] * 7, str(failure)))
             continue
         m = d["test_metrics"]
         runs.append((seed, m["f1"], m["recall"], m["precision"], m["fpr"],
-                     d["test_roc_auc"], d["test_pr_auc"], d["zero_day_recall"]))
-    if len(runs) < 2:
+                     d["test_roc_auc"], d["test_pr_auc"], d["zero_day_recall"], None))
+    return log.sparkSession.createDataFrame(runs, SEED_RUNS + ", failure STRING")
+
+
+def validate(log: DataFrame, seeds=range(1, 11), settings: Settings = DEFAULTS,
+             n_boot: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(runs, summary with bootstrap intervals). Retrains per seed; seeds whose split
+    cannot be trained are listed with the reason and left out of the summary; fewer than
+    two successful runs are refused."""
+    table = seed_runs(log, seeds, settings)
+    good = table.filter("failure IS NULL").drop("failure")
+    if good.count() < 2:
         raise ValueError("not enough successful runs for statistics")
-    table = log.sparkSession.createDataFrame(runs, SEED_RUNS)
-    summary = metrics.seed_summary(table).join(
-        metrics.seed_intervals(table, n_boot=n_boot), "metric", "left")
+    summary = metrics.seed_summary(good).join(
+        metrics.seed_intervals(good, n_boot=n_boot), "metric", "left")
     return table, summary

@@ -10,7 +10,6 @@ from reqlens.config import DEFAULTS, Settings
 from reqlens.models.bundle import ModelSet
 from reqlens.operators import decide
 from reqlens.plans import scoring
-from reqlens.session import checkpoint_root
 from reqlens.sources.artefacts import Reloader, Store
 from reqlens.streaming.rate_state import stream_rate_state
 
@@ -40,23 +39,38 @@ def log_stream(requests: DataFrame, models: ModelSet | None = None,
     return decide.to_event_log(scored, settings)
 
 
+def batch_sink(path: str, name: str) -> Callable[[DataFrame, int], None]:
+    """A sink keyed by query and batch: a batch that is run again after a failure replaces
+    its own rows. Read the log with spark.read.parquet(path)."""
+    def sink(log: DataFrame, batch_id: int) -> None:
+        log.write.mode("overwrite").parquet(f"{path}/query={name}/batch={batch_id}")
+    return sink
+
+
 def score_with_reload(requests: DataFrame, store: Store, sink: Callable[[DataFrame, int], None],
                       name: str, settings: Settings = DEFAULTS, available_now: bool = False,
-                      **state):
-    """Scores every micro-batch with the newest published model. A model changes
-    between batches, never inside one. `sink(log, batch_id)` should be idempotent
-    per batch id. Returns the started query."""
+                      checkpoint: str | None = None, **state):
+    """Scores every micro-batch with the newest published model, and names its version in
+    every row (model_version). A model changes between batches, never inside one.
+    `sink(log, batch_id)` should be idempotent per batch id, as batch_sink is. The stream's
+    own state is kept at `checkpoint`, by default beside the models, so that a restart goes
+    on where it ended. Returns the started query."""
     accepted, _ = scoring.accept(requests, settings)
     rated = stream_rate_state(scoring.shape(accepted, settings), settings, **state)
     reloader = Reloader(store, settings)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         models = reloader.get(batch.sparkSession)
-        sink(decide.to_event_log(scoring.judge(batch, models, settings), settings), batch_id)
+        log = decide.to_event_log(scoring.judge(batch, models, settings), settings)
+        # Kept while the sink works: it may use the log more than once, and the state is behind it.
+        log = log.withColumn("model_version", F.lit(reloader.version).cast("string")).persist()
+        try:
+            sink(log, batch_id)
+        finally:
+            log.unpersist()
 
-    root = checkpoint_root(requests.sparkSession)
     writer = (rated.writeStream.foreachBatch(handle).queryName(name)
-              .option("checkpointLocation", f"{root}/{name}"))
+              .option("checkpointLocation", checkpoint or f"{store.root}/_streams/{name}"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime="1 second")
     return writer.start()

@@ -260,6 +260,32 @@ def test_small_pools_and_few_seeds_are_refused(log):
         train.validate(log.limit(60), seeds=(1, 2), settings=S)
 
 
+def test_failed_seeds_are_rows_and_other_errors_are_raised(spark, log):
+    runs = train.seed_runs(log.limit(60), (1, 2), S).collect()
+    assert [(r.seed, r.f1) for r in runs] == [(1, None), (2, None)] and all("too small" in r.failure for r in runs)
+    with pytest.raises(Exception, match="label|features|resolve"):
+        train.seed_runs(log.drop("features", "label"), (1, 2), S)
+
+
+def test_log_lines_are_counted_while_they_are_read(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from reqlens.sources import logs
+    good = b'{"ts": 1.5, "method": "GET"}'
+    (tmp_path / "a.log").write_bytes(b"\n".join([good, b"", b"   ", b"{broken", good[:-3] + b"\xff" + good[-3:], good]))
+    seen = Observation()
+    assert logs.read_event_log(spark, str(tmp_path), seen).count() == 3
+    assert seen.get == {"lines": 6, "blank": 2, "malformed": 1, "repaired": 1}
+
+
+def test_a_batch_run_again_replaces_its_rows(spark, tmp_path):
+    from reqlens.streaming.scoring import batch_sink
+    sink = batch_sink(str(tmp_path), "q")
+    for batch, n in ((0, 5), (1, 7), (0, 5)):
+        sink(spark.range(n), batch)
+    assert spark.read.parquet(str(tmp_path)).groupBy("query", "batch").count().orderBy("batch").collect() == [("q", 0, 5), ("q", 1, 7)]
+
+
 def test_drift_needs_old_spread(spark):
     def rate(mean, std):
         return spark.createDataFrame([(mean, std, 1)], RATE_BASELINE)
