@@ -1,10 +1,13 @@
 """Personal data: exact patterns, and a linear-chain conditional random field.
 
 The field tags the words of each line as other, email, ip, card or phone by the shapes
-of the word and its neighbours (letters, digits and marks, not their values), and is
-decoded by Viterbi. It is trained from a small labelled table, at most `sample_rows`
-texts whose words the patterns label. What it tags beyond the patterns' spans is added
-if it passes the kind's own check (a card's check digit, an address's range, ...).
+of the word and its neighbours (letters, digits and marks, not their values; a few cue
+words count as themselves), and is decoded by Viterbi. It is trained from two labelled
+tables: lines with forms that the patterns miss, marked by hand (numbers without +,
+dotted cards, name at host dot org, ...) beside look-alikes that are none, and at most
+`sample_rows` texts of the corpus whose words the patterns label. What it tags beyond the
+patterns' spans is added if the kind allows the form (`allowed`): the form alone doesn't
+decide, 030 901 8200 is a phone or an order by the words around it.
 """
 from __future__ import annotations
 
@@ -33,6 +36,51 @@ _COMPILED = {kind: re.compile(p) for kind, p in PATTERNS.items()}
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
+# Words near personal data, or near numbers that are none.
+CUES = ("at dot call phone tel telephone mobile cell fax dial ring text sms whatsapp telefon handy anrufen téléphone "
+        "teléfono llamar card visa mastercard amex credit debit karte carte tarjeta mail email e-mail contact write "
+        "correo courriel ip host server address gateway login from order invoice isbn page pages room date year born "
+        "total price version item number ticket serial population").split()
+
+# The labelled table: lines by rule from words before, forms, and words behind. A form's
+# digits and letters stand for any others, as only shapes are seen.
+_BEFORE = {
+    "email": ("mail", "write to", "contact:", "email", "reach me by mail:", "e-mail", "send it to", "or", "ask"),
+    "ip": ("server", "host", "ip", "login from", "gateway address", "from", "address:", "ip:"),
+    "card": ("card", "visa", "my credit card is", "paid with card", "mastercard:", "card number", "karte", "carte"),
+    "phone": ("call", "phone", "tel", "tel:", "my phone number is", "mobile", "fax", "ring me on", "text", "telefon",
+              "dial", "call me at", "phone:"),
+    "": ("order", "invoice", "isbn", "order number", "pages", "total", "ticket", "serial", "item", "version", "price",
+         "population", "in", "the", "of", "date", "on"),
+}
+_FORMS = {
+    "email": ("jane at host dot org", "jane.roe at mail dot host dot org", "jane[at]host[.]org", "jane(at)host(dot)org",
+              "jane [at] host [dot] org", "jane (at) host (dot) org", "jr7@host[.]org", "jane_roe at host-x dot com",
+              "j.roe[at]host[.]org", "j.roe(at)mail(.)host(.)org", "jane[at]host.org", "jane(at)host.org", "roe at post dot com"),
+    "ip": ("10[.]0[.]12[.]7", "192[.]168[.]0[.]1", "10 dot 0 dot 12 dot 7", "192(.)168(.)10(.)12", "172[dot]16[dot]0[dot]9"),
+    "card": ("4111.1111.1111.1111", "4111/1111/1111/1111", "4111_1111_1111_1111", "4111 - 1111 - 1111 - 1111"),
+    "phone": ("030 901 8200", "(030) 901-8200", "(212) 555-0199", "212-555-0199", "212.555.0199", "0171 2345678",
+              "0049 30 901820", "1 (212) 555-0199", "2125550199", "1-212-555-0199", "030/9018200", "555 0199 22"),
+    "": ("2021-03-04", "04.03.2021", "2125550199", "212-555-0199", "030 901 8200", "978-3-16-148410-0", "12 345 678",
+         "1.000.000", "20210304", "4111", "10.4.2", "555 0199 22", "10 dot 4", "at noon", "at the dot", "1200-1300",
+         "0171 2345678", "030/9018200", "4111.1111", "1111_2222_3333", "3.14"),
+}
+_BEHIND = ("", "today", "please, and then", ". Then the")
+
+
+def labelled_lines() -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Lines with their marked spans."""
+    out = []
+    for kind, forms in _FORMS.items():
+        for i, form in enumerate(forms):
+            for j, before in enumerate(_BEFORE[kind]):
+                head = ("and so " if (i + j) % 2 else "") + before + " "
+                tail = _BEHIND[(i + j) % len(_BEHIND)]
+                line = head + form + (tail if tail.startswith(".") else f" {tail}")
+                out.append((line, [(kind, len(head), len(head) + len(form))] if kind else []))
+    return out
+
+
 #: Shapes of bytes: A, a, 0, one for characters beyond ASCII, and marks as they are.
 SHAPE = np.arange(256, dtype=np.uint8)
 SHAPE[65:91], SHAPE[97:123], SHAPE[48:58], SHAPE[128:] = 65, 97, 48, 128
@@ -43,7 +91,8 @@ _DIGIT[48:58] = True
 
 @dataclass(frozen=True)
 class Pii:
-    sample_rows: int = 1500  # most texts of the labelled table: the bound of what is collected
+    sample_rows: int = 1500  # most texts that the patterns label: the bound of what is collected
+    other_lines: int = 1000  # lines without personal data to train on, or as many as lines with some
 
 
 def passes(kind: str, found: str) -> bool:
@@ -63,6 +112,23 @@ def passes(kind: str, found: str) -> bool:
     return "@" in found[1:-1]
 
 
+_AT = re.compile(r"\x20?[\[({](?:at|@)[\])}]\x20?|\x20at\x20", re.I)
+_DOT = re.compile(r"\x20?[\[({](?:dot|\.)[\])}]\x20?|\x20dot\x20", re.I)
+_CARD = re.compile(r"[0-9]+(?:(?:[./_]|\x20?-\x20?|\x20)[0-9]+)*")
+_PHONE = re.compile(r"\(?[0-9]+(?:[\x20().\-/]{1,2}[0-9]+)*")
+_SPELT = re.compile(r"[\[({](?:at|@|dot|\.)[\])}]|\x20at\x20\S+\x20dot\x20|[0-9]\x20dot\x20[0-9]", re.I)
+
+
+def allowed(kind: str, found: str) -> bool:
+    """Whether a run of words can be of the kind: the pattern's check, after spelt marks
+    are read as marks, and digit groups with other marks between them."""
+    if kind == "email":
+        return bool(re.fullmatch(PATTERNS["email"], _DOT.sub(".", _AT.sub("@", found, count=1))))
+    if kind == "ip":
+        return passes(kind, _DOT.sub(".", found))
+    return bool((_CARD if kind == "card" else _PHONE).fullmatch(found)) and passes(kind, found)
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """What the pattern finds, looked for from each @ outwards: the pattern itself would
     try every word of the text."""
@@ -87,6 +153,33 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def _cue_hashes(cues) -> np.ndarray:
+    data = [c.encode() for c in cues]
+    ends = np.cumsum([len(d) for d in data])
+    return np.sort(bw.Texts(np.frombuffer(b"".join(data), np.uint8), np.append(0, ends), 0).hashes(
+        np.append(0, ends[:-1]), ends))
+
+
+_CUE_HASHES, _MARK_HASHES = _cue_hashes(CUES), _cue_hashes(("at", "dot"))
+_TRAILING = np.zeros(256, bool)
+_TRAILING[list(b":,.;")] = True
+
+
+def _cues(texts: bw.Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words that are cues, but for one mark behind them, and their hashes."""
+    short = np.flatnonzero(ends - starts <= 12)
+    a, b = starts[short], ends[short]
+    b = b - ((b - a > 1) & _TRAILING[texts.data[b - 1]])
+    hashes = texts.hashes(a, b)
+    place = np.searchsorted(_CUE_HASHES, hashes)
+    place[place == len(_CUE_HASHES)] = 0
+    found = _CUE_HASHES[place] == hashes
+    return short[found], hashes[found]
+
+
+CUE_REACH = 4  # words between a cue and what it speaks of, at most
+
+
 def _tokens(texts: bw.Texts):
     """Starts, ends and texts of words, their feature slots, and bounds of lines."""
     starts, ends, text = texts.words(bw.NOT_SPACE)
@@ -98,14 +191,31 @@ def _tokens(texts: bw.Texts):
     place = np.append(0, np.cumsum(keep))
     short = bw.Texts(shape[keep], place[texts.offsets], 0)
     brief = short.hashes(place[starts], place[ends], _SAME)
+    cue, cue_hash = _cues(texts, starts, ends)
+    spoken = brief.copy()
+    spoken[cue] = cue_hash
     lines = np.cumsum(texts.data == 10)
     line = lines[starts] if len(starts) else starts
     new = np.ones(len(starts), bool)
     new[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
     before, after = np.zeros_like(brief), np.zeros_like(brief)
-    before[1:] = np.where(new[1:], np.uint64(0), brief[:-1] ^ np.uint64(1))
-    after[:-1] = np.where(new[1:], np.uint64(0), brief[1:] ^ np.uint64(2))
-    return starts, ends, text, [full, brief ^ np.uint64(3), before, after], np.append(np.flatnonzero(new), len(starts))
+    before[1:] = np.where(new[1:], np.uint64(0), spoken[:-1] ^ np.uint64(1))
+    after[:-1] = np.where(new[1:], np.uint64(0), spoken[1:] ^ np.uint64(2))
+    heads = np.flatnonzero(new)
+    # The last cue before the word in its line, with the word's own shape. Spelt marks
+    # speak of their neighbours only.
+    near = np.zeros_like(brief)
+    far = ~np.isin(cue_hash, _MARK_HASHES)
+    cue, cue_hash = cue[far], cue_hash[far]
+    if len(cue):
+        at = np.arange(len(starts))
+        last = np.searchsorted(cue, at) - 1
+        where = cue[np.maximum(last, 0)]
+        head = heads[np.searchsorted(heads, at, side="right") - 1]
+        near = np.where((last >= 0) & (where >= head) & (at - where <= CUE_REACH),
+                        bw.mix64(cue_hash[np.maximum(last, 0)] + spoken), np.uint64(0))
+    return (starts, ends, text, [full, spoken ^ np.uint64(3), before, after, near],
+            np.append(heads, len(starts)))
 
 
 def labelled_table(docs: DataFrame, opts: Pii) -> list[str]:
@@ -121,29 +231,47 @@ def labelled_table(docs: DataFrame, opts: Pii) -> list[str]:
     return [r["text"] for y in (True, False) for r in [r for r in drawn if r["some"] == y][:half]]
 
 
-def train(rows: list[str]) -> ch.Chain:
-    """The chain of the labelled table; of an empty one, a chain that tags nothing."""
+def _unsure(row: str) -> list[tuple[int, int]]:
+    """Where a kind may stand in a form that no pattern matches: the patterns' silence
+    there is no label."""
+    out = [m.span() for m in _SPELT.finditer(row)]
+    for kind, form in (("card", _CARD), ("phone", _PHONE)):
+        out += [m.span() for m in form.finditer(row) if passes(kind, m[0])]
+    return out
+
+
+def train(rows: list[str], opts: Pii = Pii()) -> ch.Chain:
+    """The chain of the texts that the patterns label, but for lines where their silence
+    is no label, and of the lines marked by hand; without any text, a chain that tags
+    nothing."""
     n = len(KINDS) + 1
     if not rows:
         return ch.Chain(np.zeros(0, np.uint64), np.zeros((0, n)), np.zeros((n, n)), -np.arange(n, dtype=float))
-    column = pa.array(rows, pa.string())
-    texts = next(_all_texts(column))
+    marked = [(row, [(k, *span) for k, spans in base_spans(row).items() for span in spans]) for row in rows]
+    marked += labelled_lines()
+    texts = next(_all_texts(pa.array([row for row, _ in marked], pa.string())))
     starts, ends, text, slots, bounds = _tokens(texts)
     chars = bw.code_points(texts.data)
     base = chars[texts.offsets]
     labels = np.zeros(len(starts), np.int64)
-    first = np.searchsorted(text, np.arange(len(rows) + 1))
-    for i, row in enumerate(rows):
+    unsure = np.zeros(len(starts), bool)
+    first = np.searchsorted(text, np.arange(len(marked) + 1))
+    for i, (row, spans) in enumerate(marked):
         a, b = first[i], first[i + 1]
         word_from, word_to = chars[starts[a:b]] - base[i], chars[ends[a:b]] - base[i]
-        for k, kind in enumerate(KINDS):
-            for s, e in base_spans(row)[kind]:
-                labels[a:b][(word_from < e) & (word_to > s)] = k + 1
+        for kind, s, e in spans:
+            labels[a:b][(word_from < e) & (word_to > s)] = KINDS.index(kind) + 1
+        for s, e in _unsure(row) if i < len(rows) else ():
+            unsure[a:b] |= (word_from < e) & (word_to > s) & (labels[a:b] == 0)
     line = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     has = np.zeros(len(bounds) - 1, bool)
     has[line[labels > 0]] = True
-    others = np.flatnonzero(~has)
-    has[others[::max(1, len(others) // max(1000, int(has.sum())))]] = True
+    has[line[text >= len(rows)]] = True  # look-alikes too
+    silent = np.zeros_like(has)
+    silent[line[unsure]] = True
+    has &= ~silent
+    others = np.flatnonzero(~has & ~silent)
+    has[others[::max(1, len(others) // max(opts.other_lines, int(has.sum())))]] = True
     use = has[line]
     return ch.fit([s[use] for s in slots], labels[use], np.append(0, np.cumsum(np.diff(bounds)[has])), n)
 
@@ -155,24 +283,25 @@ def _all_texts(column: pa.Array) -> Iterator[bw.Texts]:
 
 
 def _added(text: str, tags: list[tuple[int, int, int]], base: dict) -> list[tuple[str, int, int]]:
-    """Runs of equally tagged words, trimmed to the kind's characters, that touch no
-    base span and pass the kind's check."""
+    """Runs of equally tagged words of a line, trimmed to the kind's characters, that
+    touch no base span and that the kind allows."""
     runs: list[list[int]] = []
     for label, a, b in tags:
-        if runs and runs[-1][0] == label and text[runs[-1][2]:a].strip(" ") == "" and label in (3, 4):
+        if runs and runs[-1][0] == label and text[runs[-1][2]:a] == " ":
             runs[-1][2] = b
         else:
             runs.append([label, a, b])
     out = []
     for label, a, b in runs:
         kind = KINDS[label - 1]
-        ends = "()" if kind == "phone" else ""
-        while a < b and not (text[a].isalnum() or text[a] in ends + "+"):
+        while a < b and not (text[a].isalnum() or kind == "phone" and text[a] == "("):
             a += 1
         while b > a and not text[b - 1].isalnum():
             b -= 1
+        if a < b and text[a] == "(" and ")" not in text[a:b]:
+            a += 1
         clear = all(e <= a or b <= s for spans in base.values() for s, e in spans)
-        if a < b and clear and passes(kind, text[a:b]):
+        if a < b and clear and allowed(kind, text[a:b]):
             out.append((kind, a, b))
     return out
 
@@ -180,7 +309,8 @@ def _added(text: str, tags: list[tuple[int, int, int]], base: dict) -> list[tupl
 def find_pii(docs: DataFrame, chain: ch.Chain) -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone and base (of the
     patterns' spans), spans (all). Spans are kind:start:end by kind, then start, in code
-    points, comma-joined. A null text has none."""
+    points, comma-joined. A null or empty text has none; repeated rows get the same spans
+    each; an empty table gives an empty one; other columns are ignored, whatever their name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")

@@ -159,3 +159,45 @@ def test_chain_adds_what_the_patterns_miss(spark):
     got = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs, chain).collect()}
     assert "phone:" in got[0] and "email:" in got[0]
     assert got[999].startswith("phone:") or got[999] == ""
+
+
+def planted(rng, forms):
+    """Texts with one form each among prose, behind words that speak of it; and the span."""
+    rows, want = [], {}
+    for i, (kind, words, form) in enumerate(forms * 6):
+        value = "".join(rng.choice("123456789") if c == "9" else c for c in form)
+        head = prose(rng, 12) + " " + words + " "
+        rows.append((i, head + value + " " + prose(rng, 12)))
+        if kind:
+            want[i] = f"{kind}:{len(head)}:{len(head) + len(value)}"
+    return rows, want
+
+
+def test_chain_finds_planted_variants(spark):
+    """Forms that no pattern matches, told from look-alikes by the words around them."""
+    rng = random.Random(31)
+    background = [(10_000 + i, " ".join([prose(rng, 15), f"mail {prose(rng, 1).strip('.')}@mail{i % 7}.example.com or",
+                                         f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}", prose(rng, 15)]))
+                  for i in range(150)]
+    rows, want = planted(rng, [
+        ("phone", "please call", "(999) 999-9999"), ("phone", "my phone number is", "099 999 9999"),
+        ("phone", "tel:", "999-999-9999"), ("phone", "mobile", "0999 9999999"), ("phone", "phone", "9 (999) 999-9999"),
+        ("card", "paid with card", "4111.1111.1111.1111"), ("card", "visa", "5500/0000/0000/0004"),
+        ("email", "write to", "sam at shop dot org"), ("email", "contact:", "k.lee[at]mail[.]net"),
+        ("email", "mail", "ann (at) post (dot) com"), ("ip", "server", "10[.]20[.]30[.]40"), ("ip", "login from", "172[.]16[.]0[.]9"),
+        ("", "order number", "999 999 9999"), ("", "invoice", "999-999-9999"), ("", "isbn", "999-9-99-999999-9"),
+        ("", "date", "2019-09-09"), ("", "we met", "at noon by the dot"), ("", "population", "99 999 999")])
+    docs = spark.createDataFrame(rows + background, "doc_id long, text string")
+    chain = pii.train(pii.labelled_table(docs, pii.Pii()))
+    found = {r["doc_id"]: r for r in pii.find_pii(docs, chain).collect()}
+    extra = {(i, s) for i, r in found.items() for s in set(r["spans"].split(",")) - set(r["base"].split(","))}
+    right = extra & set(want.items())
+    assert len(right) >= 0.9 * len(want) and len(right) >= 0.9 * len(extra)
+    assert not any(brute.pii_spans(dict(rows)[i]) for i in want)
+
+
+def test_forms_that_a_kind_allows():
+    assert all(pii.allowed(k, f) for k, forms in pii._FORMS.items() if k for f in forms)
+    assert not any(pii.allowed(k, f) for k, f in [
+        ("email", "jane at host"), ("email", "at dot org"), ("ip", "300[.]1[.]1[.]1"), ("ip", "10.4.2"),
+        ("card", "4111.1111.1111.1112"), ("card", "4111.1111"), ("phone", "12 34"), ("phone", "1" * 16), ("phone", "1, 2345678")])
