@@ -61,14 +61,14 @@ def _quality() -> str:
       n_chars >= {rules.judged_chars} AND n_words >= {rules.judged_words},
       generate_subscripts(list_concat(listed, [0]), 1), unnest(list_concat(listed, [n_words - list_sum(listed)])) FROM f),
   sums AS (SELECT lang, part, bin, sum(floor(k * {quality.SCALE} / total)) AS s FROM bins
-    WHERE counts AND lang IN ({', '.join(_q(x) for x in quality.COMMON_WORDS)}) GROUP BY ALL),
+    WHERE counts AND lang IS NOT NULL GROUP BY ALL),
   ref AS (SELECT lang AS ref, part, bin, s / sum(s) OVER (PARTITION BY lang, part) AS q FROM sums),
   far AS (SELECT doc_id, lang, part, ref, sqrt(least(1, greatest(0, sum(
       (CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
        + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)))) AS js
     FROM (SELECT doc_id, lang, part, bin, k / total AS p FROM bins WHERE judged AND total > 0)
-    JOIN ref USING (part, bin) GROUP BY ALL),
-  dist AS (SELECT doc_id, part, coalesce(min(js) FILTER (ref = lang), min(js)) AS js FROM far GROUP BY ALL),
+    JOIN ref USING (part, bin) WHERE ref = lang GROUP BY ALL),
+  dist AS (SELECT doc_id, part, min(js) AS js FROM far GROUP BY ALL),
   out AS (SELECT f.*, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeated_percent} * n_words
       AS base_failed, coalesce(a.js, 0) AS cj, coalesce(b.js, 0) AS wj
     FROM f LEFT JOIN dist a ON a.doc_id = f.doc_id AND a.part = 'c' LEFT JOIN dist b ON b.doc_id = f.doc_id AND b.part = 'w')

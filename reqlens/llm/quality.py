@@ -2,7 +2,7 @@
 
 A document's histogram of character classes, and that of its language's common words,
 are compared with the mean histograms of all documents of the language by
-Jensen-Shannon distance (base 2, so 0 to 1). Texts below the minimum lengths aren't
+Jensen-Shannon distance (base 2, so 0 to 1), whatever its script. Texts below the minimum lengths aren't
 judged by distance: their histograms say little.
 """
 from __future__ import annotations
@@ -118,25 +118,25 @@ def _shares(counts: str, total: str) -> Column:
     return F.transform(counts, lambda c: F.floor(c * SCALE / F.col(total)))
 
 
-def references(found: DataFrame, rules: QualityRules = QualityRules()) -> dict[str, dict[str, list[float]]]:
-    """Mean histograms per language, over all documents long enough to be judged.
+def references(found: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """(lang, ref_chars, ref_words): mean histograms of every language of the corpus, over
+    all its documents long enough to be judged.
 
-    Only languages with a list of common words have one, so what comes to the driver
-    is bounded by that list, whatever the corpus. Shares are summed as whole
-    millionths: the result doesn't depend on the order of the rows.
+    Shares are summed as whole millionths: the result doesn't depend on the order of the
+    rows. A language without a list of common words has all its words in the last place.
     """
-    df = found.filter(F.col("lang").isin(list(COMMON_WORDS)) & (F.col("n_chars") >= rules.judged_chars)
+    df = found.filter(F.col("lang").isNotNull() & (F.col("n_chars") >= rules.judged_chars)
                       & (F.col("n_words") >= rules.judged_words))
     df = df.select("lang", _shares("chars", "n_chars").alias("c"), _shares("common", "n_words").alias("w"))
-    n_c, n_w = N_CLASSES, len(VOCABULARY) + 1
-    rows = df.groupBy("lang").agg(*[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(n_c)],
-                                  *[F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(n_w)]
-                                  ).collect()
+    sizes = {"c": N_CLASSES, "w": len(VOCABULARY) + 1}
+    sums = df.groupBy("lang").agg(*[F.sum(F.get(part, F.lit(i))).alias(f"{part}{i}")
+                                    for part, n in sizes.items() for i in range(n)])
 
-    def share(row, prefix: str, n: int) -> list[float]:
-        values = [row[f"{prefix}{i}"] for i in range(n)]
-        return [v / max(1, sum(values)) for v in values]
-    return {r["lang"]: {"chars": share(r, "c", n_c), "words": share(r, "w", n_w)} for r in rows}
+    def share(part: str) -> Column:
+        values = [F.col(f"{part}{i}") for i in range(sizes[part])]
+        total = F.aggregate(F.array(*values), F.lit(0).cast("long"), lambda a, x: a + x)
+        return let(F.greatest(F.lit(1).cast("long"), total), lambda t: F.array(*[v / t for v in values]))
+    return sums.select("lang", share("c").alias("ref_chars"), share("w").alias("ref_words"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -149,42 +149,35 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))
 
 
-def _distance(counts: str, total: Column, refs: dict, part: str) -> Column:
-    """To the reference of the row's language; for other languages, to the nearest."""
-    if not refs:
-        return F.lit(None).cast("double")
-    p = F.transform(counts, lambda c: c / total)
-    each = {lang: F.array(*[F.lit(x) for x in ref[part]]) for lang, ref in sorted(refs.items())}
-
-    def of(shares: Column) -> Column:
-        out = F.array_min(F.array(*[js_distance(shares, q) for q in each.values()]))
-        own = F.when(F.lit(False), F.lit(None).cast("double"))
-        for lang, q in each.items():
-            own = own.when(F.col("lang") == lang, js_distance(shares, q))
-        return own.otherwise(out)
-    return F.when(total > 0, let(p, of))
+def _distance(counts: str, total: Column, ref: str) -> Column:
+    return F.when((total > 0) & F.col(ref).isNotNull(), js_distance(
+        F.transform(counts, lambda c: c / total), F.col(ref)))
 
 
 def quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """One row per row of docs: doc_id, key, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
 
-    A null text counts as an empty one and fails the base rule; a null or unknown
-    language is compared with the nearest reference; repeated rows each get the same
-    verdict; an empty table gives an empty one.
+    A null text counts as an empty one and fails the base rule; a document without a
+    language, or whose language has no document long enough, has the base rule alone;
+    repeated rows each get the same verdict; an empty table gives an empty one.
+
+    The references, a row per language, are a written table, so Spark joins them by
+    their true size, and splits a frequent language if they are too many to broadcast.
     """
     found = stored(features(docs), "quality-features")
-    refs = references(found, rules)
-    df = found.withColumns({
+    refs = stored(references(found, rules), "quality-references")
+    df = found.join(refs, "lang", "left").withColumns({
         "char_distance": F.when(F.col("n_chars") >= rules.judged_chars, _distance(
-            "chars", F.col("n_chars"), refs, "chars")),
+            "chars", F.col("n_chars"), "ref_chars")),
         "word_distance": F.when(F.col("n_words") >= rules.judged_words, _distance(
-            "common", F.col("n_words"), refs, "words")),
+            "common", F.col("n_words"), "ref_words")),
         "base_failed": (F.col("n_words") < rules.min_words) | (
             F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeated_percent)})
     far = ((F.coalesce("char_distance", F.lit(0.0)) > rules.max_char_distance)
            | (F.coalesce("word_distance", F.lit(0.0)) > rules.max_word_distance))
-    return df.withColumn("kept", ~F.col("base_failed") & ~far).drop("lang", "n_chars", "chars", "common")
+    return df.withColumn("kept", ~F.col("base_failed") & ~far).drop(
+        "lang", "n_chars", "chars", "common", "ref_chars", "ref_words")
 
 
 def keep_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +33,22 @@ def test_divergence_tells_junk_from_prose(spark):
     assert kept == set(range(30))
 
 
+def test_each_language_has_its_own_reference(spark):
+    """Clean texts in another script stay, junk that calls itself that language goes, and
+    texts without a language have the base rule alone."""
+    rng = random.Random(17)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 9)))
+    text = lambda letters: " ".join(word(letters) for _ in range(160)) + "."
+    rows = [(i, text("абвгдежзиклмнопрстуфхцчшы"), "ru") for i in range(30)]
+    rows += [(100 + i, text("etaoinshrdlucmfw"), "xx") for i in range(30)]
+    rows += [(200 + i, " | ".join(f"Q{j * i}#%{j}" for j in range(150)), "ru") for i in (1, 2)]
+    rows += [(300, text("абвгде"), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in q.quality(df).collect()}
+    assert {i for i, r in got.items() if r["kept"]} == {*range(30), *range(100, 130), 300}
+    assert got[300]["char_distance"] is None and not got[201]["base_failed"]
+
+
 def test_distance_of_equal_and_disjoint_shares(spark):
     row = spark.range(1).select(
         q.js_distance(F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.5), F.lit(0.5))).alias("same"),
