@@ -247,8 +247,9 @@ def zero_day_recall(spark, sf):
     return _rounded(metrics.zero_day_recall(_predicted(spark, sf)), ["zero_day_recall", "known_recall"])
 
 
-def _pairs(spark, sf):
+def _pairs(spark, sf, *keys):
     return scored(spark, sf).select(
+        *keys,
         ((F.col("score") >= 0.05).cast("int") == F.col("y")).alias("a"),
         ((F.col("score2") >= 0.5).cast("int") == F.col("y")).alias("b"))
 
@@ -262,9 +263,40 @@ def paired_discordance(spark, sf):
     return metrics.paired_discordance(_pairs(spark, sf), "a", "b")
 
 
-@query("mcnemar")
+def _mcnemar_sql(pairs, keys=""):
+    """McNemar's test of counts: the binomial tail, or the chi-square tail by the series of
+    the error function with positive terms (beyond 30 it rounds to nothing)."""
+    return f"""SELECT {keys} n01, n10, round(p, 6) AS p, CASE WHEN n = 0 THEN 'no discordant pairs'
+    WHEN n < 25 THEN 'exact binomial' ELSE 'chi-square with continuity correction' END AS method,
+  n > 0 AND p < 0.05 AS significant, CASE WHEN n > 0 AND p < 0.05 AND n01 > n10 THEN 'stack significantly better'
+    WHEN n > 0 AND p < 0.05 THEN 'single detector significantly better'
+    ELSE 'no significant difference' END AS verdict
+FROM (SELECT *, CASE WHEN n = 0 THEN 1 WHEN n < 25 THEN least(1, 2 * list_sum([exp(lgamma(n + 1) - lgamma(k + 1)
+      - lgamma(n - k + 1)) for k in range(least(n01, n10) + 1)]) / pow(2, n))
+    WHEN x > 30 THEN 0 WHEN x = 0 THEN 1 ELSE 1 - 2 / sqrt(pi()) * exp(-x / 2) * list_sum([exp(k * ln(4)
+      + (2 * k + 1) * ln(sqrt(x / 2)) + lgamma(k + 1) - lgamma(2 * k + 2)) for k in range(120)]) END AS p
+  FROM (SELECT *, n01 + n10 AS n, CASE WHEN n01 + n10 > 0 THEN pow(abs(n01 - n10) - 1, 2) / (n01 + n10) END AS x
+    FROM {pairs}))"""
+
+
+def _tested(counts):
+    tested = metrics.with_mcnemar(counts).withColumn("verdict", metrics.verdict())
+    return tested.withColumn("p", F.round("p", 6))
+
+
+@query("mcnemar", SC + _mcnemar_sql(_PAIR_SQL))
 def mcnemar(spark, sf):
-    return metrics.mcnemar(_pairs(spark, sf), "a", "b").withColumn("verdict", metrics.verdict())
+    return _tested(metrics.paired_discordance(_pairs(spark, sf), "a", "b"))
+
+
+@query("mcnemar_by_client", SC + _mcnemar_sql("""(SELECT client, count(*) FILTER (a AND NOT b) AS n01,
+    count(*) FILTER (NOT a AND b) AS n10
+  FROM (SELECT client, (score >= 0.05) = (y = 1) AS a, (score2 >= 0.5) = (y = 1) AS b FROM sc) GROUP BY client)""",
+                                              "client,"))
+def mcnemar_by_client(spark, sf):
+    """Few pairs a client: the exact branch."""
+    pairs = _pairs(spark, sf, "client")
+    return _tested(metrics.paired_discordance(pairs, "a", "b", by=["client"]))
 
 
 _MODELS_SQL = """m AS (SELECT 'rate' AS model, score >= 0.02 AS p, y FROM sc UNION ALL

@@ -265,10 +265,10 @@ def best_single(df: DataFrame, order=("rate", "iforest", "autoencoder"),
 
 # ── statistics ───────────────────────────────────────────────────────────────
 
-def paired_discordance(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(n01, n10): rows only `a` gets right, rows only `b` gets right."""
+def paired_discordance(df: DataFrame, a: str, b: str, by=()) -> DataFrame:
+    """(n01, n10): rows only `a` gets right, rows only `b` gets right; per group of `by`."""
     a, b = F.col(a), F.col(b)
-    return df.agg(_ones(a & ~b).alias("n01"), _ones(~a & b).alias("n10"))
+    return df.groupBy(*by).agg(_ones(a & ~b).alias("n01"), _ones(~a & b).alias("n10"))
 
 
 def mcnemar_p(n01: int, n10: int) -> float:
@@ -306,31 +306,49 @@ def verdict() -> Column:
             .otherwise("no significant difference"))
 
 
+def _poisson(mean_one: int = 18) -> list[float]:
+    """The distribution function of a Poisson number of mean 1, up to double precision."""
+    return [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(mean_one)]
+
+
+SINGLE_COPIES = 32  # equal values up to which each has a draw of its own
+
+
 def bootstrap_ci(values: DataFrame, column: str, n_boot: int = 10_000, alpha: float = 0.05,
                  seed: int = 0) -> DataFrame:
-    """One row (mean, ci_low, ci_high, n) for the mean of a column of run results.
-
-    Draws are hashes of their number, so replicates spread over the cluster and
-    repeat exactly. Fewer than two values give NaN bounds. Meant for one value
-    per training run: the numbering below orders them in one task.
+    """One row (mean, ci_low, ci_high, n) for the mean of a column, of any number of rows.
+
+    A Poisson bootstrap: in each replicate a value counts a Poisson number of times, drawn
+    from a hash of value and replicate, and replicates are weighted means, summed map-side.
+    Nothing is numbered, joined or ordered, and results repeat exactly on any layout. Equal
+    values are one row with their count; beyond SINGLE_COPIES of them their common number
+    is drawn at once, from the normal approximation. Nulls don't count; fewer than two
+    values give NaN bounds.
     """
     values = values.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = values.count()
-    if n < 2:
-        nan = F.lit(float("nan"))
-        return values.agg(F.avg("v").alias("mean"), F.max(nan).alias("ci_low"),
-                          F.max(nan).alias("ci_high"), F.count("v").alias("n"))
-    slots = values.select(
-        "v", (F.row_number().over(Window.orderBy("v")) - 1).cast("bigint").alias("slot"))
-    draws = values.sparkSession.range(n_boot * n).select(
-        (F.col("id") % n_boot).alias("replicate"),
-        F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("slot"))
-    means = draws.join(slots, "slot").groupBy("replicate").agg(F.avg("v").alias("m"))
+    copies = F.when(F.col("c") <= SINGLE_COPIES, F.sequence(F.lit(1), F.col("c").cast("int"))).otherwise(
+        F.array(F.lit(0)))
+    rows = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).select("v", "c", F.explode(copies).alias("copy"))
+    draws = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
+
+    def uniform(salt: int) -> Column:
+        return (F.shiftrightunsigned(F.xxhash64("v", "copy", "replicate", F.lit(seed), F.lit(salt)), 11) + 0.5) * 2.0 ** -53
+
+    draws = draws.withColumns({"u": uniform(0), "w": uniform(1)})
+    single = F.lit(0)
+    for step in _poisson():
+        single = single + (F.col("u") >= step).cast("int")
+    normal = F.sqrt(-2 * F.log("u")) * F.cos(2 * math.pi * F.col("w"))
+    many = F.greatest(F.lit(0.0), F.round(F.col("c") + F.sqrt("c") * normal))
+    draws = draws.withColumn("k", F.when(F.col("copy") > 0, single.cast("double")).otherwise(many))
+    means = draws.groupBy("replicate").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("v")).alias("s"))
+    means = means.filter("k > 0").select((F.col("s") / F.col("k")).alias("m"))
     bounds = percentiles(means, "m", {"low": alpha / 2, "high": 1 - alpha / 2})
+    n = F.count("v")
     return values.agg(F.avg("v").alias("mean"),
-                      F.max(bounds.select("low").scalar()).alias("ci_low"),
-                      F.max(bounds.select("high").scalar()).alias("ci_high"),
-                      F.count("v").alias("n"))
+                      *[F.when(n < 2, F.lit(float("nan"))).otherwise(F.max(bounds.select(name).scalar())).alias(
+                          f"ci_{name}") for name in ("low", "high")],
+                      n.alias("n"))
 
 
 def seed_summary(runs: DataFrame, columns=RUN_METRICS) -> DataFrame:

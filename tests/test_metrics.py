@@ -99,6 +99,20 @@ def test_bootstrap_and_summary(spark):
     assert (summary["f1"].min, summary["f1"].max, summary["recall"].n) == (0.7182, 0.9456, 1)
 
 
+def test_bootstrap_of_many_and_of_equal_values(spark):
+    """A third of the rows hold one value; bounds near the mean's normal ones."""
+    df = spark.range(6_000).select(F.when(F.col("id") % 3 == 0, 0.5).otherwise(
+        F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("v"))
+    got = metrics.bootstrap_ci(df, "v", 1_000).first()
+    error = 1.96 * df.agg(F.stddev("v")).first()[0] / 6_000 ** 0.5
+    assert got.n == 6_000 and got.ci_low == pytest.approx(got.mean - error, abs=error * 0.15)
+    assert got.ci_high == pytest.approx(got.mean + error, abs=error * 0.15)
+    again = metrics.bootstrap_ci(df.repartition(7), "v", 1_000).first()
+    assert (again.ci_low, again.ci_high) == (pytest.approx(got.ci_low, rel=1e-12), pytest.approx(got.ci_high, rel=1e-12))
+    none = metrics.bootstrap_ci(df.filter("v > 9"), "v", 100).first()
+    assert none.n == 0 and none.mean is None and np.isnan(none.ci_low) and np.isnan(none.ci_high)
+
+
 def test_family_recall_joins_both_sides(spark):
     scored = spark.createDataFrame([("sqli", 1, 1), ("sqli", 1, 0), ("cmdi", 1, 1), (None, 0, 1)],
                                    "family string, y int, pred int")
