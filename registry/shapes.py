@@ -292,14 +292,10 @@ def rule_scan(spark, sf):
     return hits.select("page_id", F.array_join(rules.hit_ids(), ",").alias("ids"))
 
 
-_MINE = [r for r in rules.CATALOGUE if r.category in ("sqli", "xss")]
-
-
-@query("rule_scan_table", with_(PAGES_SQL) + f"SELECT page_id, {_ids_sql(_MINE)} AS ids FROM pg")
+@query("rule_scan_table", with_(PAGES_SQL, _HITS_SQL) + "SELECT page_id, ids FROM hit")
 def rule_scan_table(spark, sf):
     """A rule table that is data, not code."""
-    mine = rules.rules_table(spark).filter(F.col("category").isin("sqli", "xss"))
-    hits = rules.scan_table(page_requests(spark, sf), mine)
+    hits = rules.scan_table(page_requests(spark, sf), rules.rules_table(spark))
     return hits.select("page_id", F.array_join(rules.hit_ids(), ",").alias("ids"))
 
 

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reqlens.functions import literals
+
 BLOCK, FLAG = "block", "flag"
 PATH, BODY, ANY = "path", "body", "any"
 
@@ -120,17 +122,22 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def scan(path="canon_path", body="canon_body", rules: Sequence[Rule] = tuple(CATALOGUE)) -> Column:
-    """Hits in catalogue order. An empty subject never matches."""
+def scan(path="canon_path", body="canon_body", rules: Sequence[Rule] = tuple(CATALOGUE),
+         only: Sequence[Column | None] | None = None) -> Column:
+    """Hits in catalogue order. An empty subject never matches. only: for each rule, where
+    it is worth trying; None: everywhere."""
     path, body = F.coalesce(_c(path), F.lit("")), F.coalesce(_c(body), F.lit(""))
     subject = {PATH: path, BODY: body, ANY: F.concat(path, F.lit("\n"), body)}
     found = []
-    for rule in rules:
+    for rule, tried in zip(rules, only or [None] * len(rules)):
         text = subject[rule.target]
         hit = F.struct(*[F.lit(v).alias(k) for k, v in (
             ("id", rule.id), ("category", rule.category),
             ("severity", rule.severity), ("why", rule.why))])
-        found.append(F.when((text != "") & text.rlike(REGEX_FLAGS + rule.pattern), hit))
+        fires = (text != "") & text.rlike(REGEX_FLAGS + rule.pattern)
+        if tried is not None:
+            fires = tried & fires
+        found.append(F.when(fires, hit))
     if not found:
         return F.array().cast(HIT_TYPE)
     return F.filter(F.array(*found), lambda h: h.isNotNull())
@@ -146,23 +153,38 @@ def rules_table(spark) -> DataFrame:
 
 
 def scan_table(df: DataFrame, rules: DataFrame, path="canon_path", body="canon_body",
-               chunk: int = 200) -> DataFrame:
+               chunk: int = 200, max_bytes: int = 16 << 20) -> DataFrame:
     """Scan with a user-supplied rule table; adds `hits`.
 
     Rules are operator configuration, so they come to the driver and turn into
-    literal patterns. A join on RLIKE would pair every request with every rule
-    and recompile a pattern per pair. Large tables scan in chunks of columns.
+    literal patterns; a table beyond max_bytes is refused before it is read there. A join
+    on RLIKE would pair every request with every rule and recompile a pattern per pair.
+
+    A rule whose pattern has required literals is tried only on texts that hold one of
+    them: one automaton finds the literals of all rules in one pass over the text, so
+    that cost hardly grows with the rules. Rules without such literals are always tried.
+    Large tables scan in chunks of columns.
     """
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in rules.columns), F.lit(0))
+    total = rules.agg(F.sum(size.cast("long"))).first()[0] or 0
+    if total > max_bytes:
+        raise ValueError(f"a rule table of {total} bytes, more than max_bytes = {max_bytes}")
     rows = rules.orderBy("ordinal").collect()
     parsed = [Rule(r.id, r.category, r.severity, r.target, r.pattern, r.why) for r in rows]
+    needs = [literals.required(r.pattern) for r in parsed]
+    found = [(k, words) for k, words in enumerate(needs) if words]
+    if found:
+        whole = F.concat(F.coalesce(_c(path), F.lit("")), F.lit("\n"), F.coalesce(_c(body), F.lit("")))
+        df = df.withColumn("_candidates", literals.holders(found)(whole))
+    only = [F.array_contains("_candidates", k) if words else None for k, words in enumerate(needs)]
     pieces = []
     for at in range(0, len(parsed), chunk):
         name = f"_hits{at}"
-        df = df.withColumn(name, scan(path, body, parsed[at:at + chunk]))
+        df = df.withColumn(name, scan(path, body, parsed[at:at + chunk], only[at:at + chunk]))
         pieces.append(name)
     if not pieces:
         return df.withColumn("hits", F.array().cast(HIT_TYPE))
-    return df.withColumn("hits", F.concat(*pieces)).drop(*pieces)
+    return df.withColumn("hits", F.concat(*pieces)).drop(*pieces, "_candidates")
 
 
 # ── reading hits ─────────────────────────────────────────────────────────────

@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from reqlens.functions import rules, text
+from reqlens.functions import literals, rules, text
 
 # rule id -> (path, query, body) that triggers it
 TRIGGERS = {
@@ -103,3 +103,35 @@ def test_catalogue_is_sound():
     ids = [r.id for r in rules.CATALOGUE]
     assert len(ids) == len(set(ids)) == 26 and len(rules.BLOCK_IDS) == 22
     assert all(len(r.why) > 10 and r.severity in (rules.BLOCK, rules.FLAG) for r in rules.CATALOGUE)
+
+
+def test_user_rules_beyond_the_bound_are_refused(spark):
+    df = scan(spark, HARMLESS).drop("hits")
+    with pytest.raises(ValueError, match="max_bytes"):
+        rules.scan_table(df, rules.rules_table(spark), max_bytes=100)
+    none = rules.scan_table(df, rules.rules_table(spark).limit(0))
+    assert none.filter(F.size("hits") > 0).count() == 0
+
+
+@pytest.mark.parametrize("pattern,want", [
+    (r"union\s+(?:all\s+)?select", {"select"}), (r"(?:foo|barbar)+x", {"foo", "barbar"}), (r"abc*", {"ab"}),
+    (r"(?:abc)?", set()), (r"(?:abc|)", set()), (r"abc|\d", set()), (r"[abc]def", {"def"}), (r"\bKEY\s*=", {"key"}),
+    (r"(?!never)then", {"then"}), (r"[a[bc]]tail", set()), (r"\Qa.b\E", set()), (r"(?x) a b c d", set()),
+    (r"\p{L}word", set()), (r"a{0,2}", set()), ("été", set()), ("(", set()), ("", set())])
+def test_required_literals(pattern, want):
+    assert set(literals.required(pattern)) == want
+
+
+def test_rules_with_literals_are_tried_wherever_they_match(spark):
+    """Each pattern on texts that hold matches of it in several cases, beside scan();
+    rules share ids."""
+    patterns = [r"union\s+select", r"ki\w", "(?:tick|toc)k", "sis$", r"\d+", "(?i)ABC.DEF", "a+b", "x{2}yz"]
+    own = [rules.Rule(f"r{i % 4}", "c", rules.FLAG, (rules.ANY, rules.PATH, rules.BODY)[i % 3], p, "w")
+           for i, p in enumerate(patterns * 3)]
+    words = ["UNION select", "unıon ſelect", "Kİx", "ticKk", "TOCK", "sis", "SIſ", "12",
+             "abcédef", "aab", "xxyz", "XxYZ", "", None, "plain"]
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "canon_path string, canon_body string")
+    table = spark.createDataFrame([(i, *vars(r).values()) for i, r in enumerate(own)], ["ordinal", *vars(own[0])])
+    got = rules.scan_table(df.withColumn("want", rules.scan(rules=own)), table, chunk=5).collect()
+    assert all(r["hits"] == r["want"] for r in got) and sum(len(r["want"]) for r in got) > 300
+    assert {h["id"] for r in got for h in r["want"]} == {"r0", "r1", "r2", "r3"}
