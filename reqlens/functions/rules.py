@@ -5,6 +5,7 @@ no join, no explode, and every pattern is a literal that is compiled once.
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ PATH, BODY, ANY = "path", "body", "any"
 REGEX_FLAGS = "(?idU)"
 
 HIT_TYPE = "array<struct<id:string,category:string,severity:string,why:string>>"
+_KNOWN = ("array<struct<at:int,hit:struct<id:string,category:string,severity:string,why:string>,"
+          "target:string,pattern:string>>")
 
 
 @dataclass(frozen=True)
@@ -122,22 +125,24 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def scan(path="canon_path", body="canon_body", rules: Sequence[Rule] = tuple(CATALOGUE),
-         only: Sequence[Column | None] | None = None) -> Column:
-    """Hits in catalogue order. An empty subject never matches. only: for each rule, where
-    it is worth trying; None: everywhere."""
+def _subjects(path, body) -> dict[str, Column]:
     path, body = F.coalesce(_c(path), F.lit("")), F.coalesce(_c(body), F.lit(""))
-    subject = {PATH: path, BODY: body, ANY: F.concat(path, F.lit("\n"), body)}
-    found = []
-    for rule, tried in zip(rules, only or [None] * len(rules)):
-        text = subject[rule.target]
-        hit = F.struct(*[F.lit(v).alias(k) for k, v in (
-            ("id", rule.id), ("category", rule.category),
-            ("severity", rule.severity), ("why", rule.why))])
-        fires = (text != "") & text.rlike(REGEX_FLAGS + rule.pattern)
-        if tried is not None:
-            fires = tried & fires
-        found.append(F.when(fires, hit))
+    return {PATH: path, BODY: body, ANY: F.concat(path, F.lit("\n"), body)}
+
+
+def _fires(rule: Rule, subject: dict[str, Column]) -> Column:
+    text = subject[rule.target]
+    return (text != "") & text.rlike(REGEX_FLAGS + rule.pattern)
+
+
+def _hit(rule: Rule) -> Column:
+    return F.struct(*[F.lit(getattr(rule, k)).alias(k) for k in ("id", "category", "severity", "why")])
+
+
+def scan(path="canon_path", body="canon_body", rules: Sequence[Rule] = tuple(CATALOGUE)) -> Column:
+    """Hits in catalogue order. An empty subject never matches."""
+    subject = _subjects(path, body)
+    found = [F.when(_fires(rule, subject), _hit(rule)) for rule in rules]
     if not found:
         return F.array().cast(HIT_TYPE)
     return F.filter(F.array(*found), lambda h: h.isNotNull())
@@ -161,9 +166,10 @@ def scan_table(df: DataFrame, rules: DataFrame, path="canon_path", body="canon_b
     on RLIKE would pair every request with every rule and recompile a pattern per pair.
 
     A rule whose pattern has required literals is tried only on texts that hold one of
-    them: one automaton finds the literals of all rules in one pass over the text, so
-    that cost hardly grows with the rules. Rules without such literals are always tried.
-    Large tables scan in chunks of columns.
+    them: one automaton finds the literals of all rules in one pass over the text, and the
+    rules it names are looked up in one constant. So neither the plan nor the work on a
+    text grows with such rules. Rules without such literals are tried on every text, each
+    an expression, in chunks of columns.
     """
     size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in rules.columns), F.lit(0))
     total = rules.agg(F.sum(size.cast("long"))).first()[0] or 0
@@ -172,19 +178,33 @@ def scan_table(df: DataFrame, rules: DataFrame, path="canon_path", body="canon_b
     rows = rules.orderBy("ordinal").collect()
     parsed = [Rule(r.id, r.category, r.severity, r.target, r.pattern, r.why) for r in rows]
     needs = [literals.required(r.pattern) for r in parsed]
-    found = [(k, words) for k, words in enumerate(needs) if words]
-    if found:
-        whole = F.concat(F.coalesce(_c(path), F.lit("")), F.lit("\n"), F.coalesce(_c(body), F.lit("")))
-        df = df.withColumn("_candidates", literals.holders(found)(whole))
-    only = [F.array_contains("_candidates", k) if words else None for k, words in enumerate(needs)]
+    subject = _subjects(path, body)
     pieces = []
-    for at in range(0, len(parsed), chunk):
+    gated = [(k, words) for k, words in enumerate(needs) if words]
+    if gated:
+        df = df.withColumn("_candidates", literals.holders(list(enumerate(w for _, w in gated)))(subject[ANY]))
+        table = json.dumps([{"at": k, "hit": vars(parsed[k]), "target": parsed[k].target,
+                             "pattern": REGEX_FLAGS + parsed[k].pattern} for k, _ in gated])
+        known = F.from_json(F.lit(table), _KNOWN)
+
+        def fires(rule: Column) -> Column:
+            text = F.when(rule["target"] == PATH, subject[PATH]).when(
+                rule["target"] == BODY, subject[BODY]).otherwise(subject[ANY])
+            return (text != "") & F.rlike(text, rule["pattern"])
+        hits = F.filter(F.transform("_candidates", lambda k: F.get(known, k)), fires)
+        df = df.withColumn("_gated", F.transform(hits, lambda r: F.struct(r["at"].alias("at"), r["hit"].alias("hit"))))
+        pieces.append("_gated")
+    others = [k for k, words in enumerate(needs) if not words]
+    for at in range(0, len(others), chunk):
         name = f"_hits{at}"
-        df = df.withColumn(name, scan(path, body, parsed[at:at + chunk], only[at:at + chunk]))
+        found = [F.when(_fires(parsed[k], subject), F.struct(F.lit(k).alias("at"), _hit(parsed[k]).alias("hit")))
+                 for k in others[at:at + chunk]]
+        df = df.withColumn(name, F.filter(F.array(*found), lambda h: h.isNotNull()))
         pieces.append(name)
     if not pieces:
         return df.withColumn("hits", F.array().cast(HIT_TYPE))
-    return df.withColumn("hits", F.concat(*pieces)).drop(*pieces, "_candidates")
+    ordered = F.transform(F.array_sort(F.concat(*pieces)), lambda h: h["hit"])
+    return df.withColumn("hits", ordered.cast(HIT_TYPE)).drop(*pieces, "_candidates")
 
 
 # ── reading hits ─────────────────────────────────────────────────────────────
