@@ -53,6 +53,7 @@ def decide(df: DataFrame, models: ModelSet | None = None, settings: Settings = D
     layer = (F.when(rule, "L1-rules").when(rate, "L1-rate").when(no_model, "L1-only")
              .when(failed, "L-error").when(attack, "L4-meta").otherwise(""))
     threshold = models.threshold if models is not None else settings.fallback_threshold
+    # Layers above and reasons below, as they stand in the log.
     reason = (
         F.when(rule, rules.block_reason("hits"))
         .when(rate, F.coalesce(F.nullif("rate_reason", F.lit("")), F.lit("rate limit exceeded")))

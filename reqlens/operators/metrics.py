@@ -287,6 +287,7 @@ def with_mcnemar(df: DataFrame) -> DataFrame:
         return pd.Series([mcnemar_p(int(x), int(y)) for x, y in zip(a, b)], dtype="float64")
 
     n = F.col("n01") + F.col("n10")
+    # Names of the methods, and below of the verdicts.
     return df.withColumns({
         "p": F.pandas_udf(p_values, "double")("n01", "n10"),
         "method": F.when(n == 0, "no discordant pairs").when(n < 25, "exact binomial").otherwise(
