@@ -106,7 +106,9 @@ def counter_of(model_file: str, cached: int) -> Counter:
 
 
 def count_tokens(docs: DataFrame, opts: TokenCounts = TokenCounts()) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, n_chars. A null or empty text has none.
+    """One row per row of docs: doc_id, n_tokens, n_chars. A null or empty text has none;
+    repeated rows get the same counts each; an empty table gives an empty one; other columns
+    are ignored, whatever their names. Of ways that tie, the library's rule takes one.
     The vocabulary file must be at its path on every node; it is read once per worker."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(opts.model_file, opts.cached_words)

@@ -29,6 +29,7 @@ class Toxicity:
     # Most training rows that are toxic, and that aren't: the bound of what is collected.
     toxic_rows: int = 1000
     other_rows: int = 3000
+    clean_lines: int = 2000  # without a toxic token: this many, or as many as have one, up to twice that
     beginnings: tuple = (4, 5)  # bytes of a word's beginning, as features
     # Log-likelihood ratio (G2) for a word's tokens to be toxic: in all rows, and then in
     # the toxic rows that have no such token yet.
@@ -138,7 +139,7 @@ def train(rows: list[tuple[str, int]], opts: Toxicity = Toxicity()) -> Model:
     has = np.zeros(lines, bool)
     has[line[tags]] = True
     others = np.flatnonzero(~has)
-    has[others[::max(1, len(others) // max(2000, int(has.sum())))]] = True
+    has[others[::max(1, len(others) // max(opts.clean_lines, int(has.sum())))]] = True
     use = has[line]
     lengths = np.bincount(line[use], minlength=lines)[has]
     chain = ch.fit([s[use] for s in slots], tags[use].astype(np.int64), np.append(0, np.cumsum(lengths)), 2)
@@ -160,7 +161,9 @@ def train(rows: list[tuple[str, int]], opts: Toxicity = Toxicity()) -> Model:
 def score(docs: DataFrame, model: Model, opts: Toxicity = Toxicity()) -> DataFrame:
     """One row per row of docs: doc_id, score (0 to 1), n_spans, spans (start:end of
     offending words in code points, comma-joined). A null or empty text has no words
-    and gets the score of a text without any toxic word."""
+    and gets the score of a text without any toxic word. Repeated rows get the same score
+    each, texts that tie too; an empty table gives an empty one; other columns are ignored,
+    whatever their names."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in bw.chunks(batch.column("text")):
