@@ -281,7 +281,7 @@ FROM (SELECT *, CASE WHEN n = 0 THEN 1 WHEN n < 25 THEN least(1, 2 * list_sum([e
 
 def _tested(counts):
     tested = metrics.with_mcnemar(counts).withColumn("verdict", metrics.verdict())
-    return tested.withColumn("p", F.round("p", 6))
+    return tested.withColumn("p", r6("p"))
 
 
 @query("mcnemar", SC + _mcnemar_sql(_PAIR_SQL))

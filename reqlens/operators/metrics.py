@@ -46,8 +46,8 @@ def with_metrics(df: DataFrame) -> DataFrame:
         "accuracy": (tp + tn) / F.greatest(F.lit(1), tp + tn + fp + fn),
         "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn),
         "fpr": ratio(fp, fp + tn), "fnr": ratio(fn, fn + tp)})
-    p, r = F.col("precision"), F.col("recall")
-    return df.withColumn("f1", ratio(2 * p * r, p + r))
+    # From the counts: equal ones are equal numbers, which the harmonic mean of ratios isn't.
+    return df.withColumn("f1", ratio(2 * tp, 2 * tp + fp + fn))
 
 
 def metrics(df: DataFrame, *by: str, y="y", pred="pred") -> DataFrame:
