@@ -22,7 +22,7 @@ def beside_sql(spark, tmp_path, name, **tables):
     assert rows_of(out.columns, out.collect()) == rows_of([d[0] for d in cur.description], cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["threshold_sweep"])
+@pytest.mark.parametrize("name", ["threshold_sweep", "unscored_threshold"])
 def test_scores_between_two_steps(spark, tmp_path, name):
     docs = spark.createDataFrame([(i, "text", "en", "s", n) for i, n in enumerate(TIED)],
                                  "doc_id long, text string, lang string, source string, n_chars long")
