@@ -229,9 +229,9 @@ FROM (SELECT unnest(range(a, b + 1)) AS k FROM span) t
   LEFT JOIN log ON log.us // 300000000 = t.k GROUP BY t.k""".replace(
     "\n,\n", ",\n"))
 def traffic_series(spark, sf):
-    """Five-minute bins here: events are sparse. The log keeps milliseconds."""
-    df = event_log(spark, sf).withColumn("time", scalars.to_time("ts"))
-    out = traffic.traffic_series(df, seconds=300)
+    """Five-minute bins here: events are sparse. By the events' own times: the log's
+    milliseconds would put those at the end of a bin into the next."""
+    out = traffic.traffic_series(event_log(spark, sf, "time"), seconds=300)
     return out.withColumn("bin", F.unix_seconds("bin"))
 
 

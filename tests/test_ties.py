@@ -28,3 +28,11 @@ def test_scores_between_two_steps(spark, tmp_path, name):
                                  "doc_id long, text string, lang string, source string, n_chars long")
     labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
     beside_sql(spark, tmp_path, name, documents=docs, labels=labels)
+
+
+def test_events_at_the_end_of_a_bin(spark, tmp_path):
+    events = spark.range(6).select(
+        F.col("id").alias("event_id"),
+        F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 300_000_000 + 299_999_600).cast("timestamp_ntz").alias("ts"),
+        F.col("id").alias("user_id"), F.lit("view").alias("event_type"), F.lit(3.0).alias("value"), F.lit("{}").alias("props"))
+    beside_sql(spark, tmp_path, "traffic_series", events=events)
