@@ -130,9 +130,24 @@ def _subjects(path, body) -> dict[str, Column]:
     return {PATH: path, BODY: body, ANY: F.concat(path, F.lit("\n"), body)}
 
 
-def _fires(rule: Rule, subject: dict[str, Column]) -> Column:
-    text = subject[rule.target]
-    return (text != "") & text.rlike(REGEX_FLAGS + rule.pattern)
+def _read(subject: dict[str, Column]) -> Column:
+    """Texts and their folded forms as one value, so that each is made once for all rules."""
+    return F.struct(*[c.alias(t) for t, c in subject.items()],
+                    *[literals.folded_text(c).alias(f"{t}_folded") for t, c in subject.items()])
+
+
+def _fires(rule: Rule, read: Column) -> Column:
+    """The pattern is tried on texts only that hold the literals which each match of it holds."""
+    text = read[rule.target]
+    tried = F.rlike(text, F.lit(REGEX_FLAGS + rule.pattern))
+    may = literals.may_match(read[f"{rule.target}_folded"], rule.pattern)
+    return (text != "") & (tried if may is None else may & tried)
+
+
+def _found(read: Column, hits: Sequence[tuple[Rule, Column]]) -> Column:
+    def of(read: Column) -> Column:
+        return F.filter(F.array(*[F.when(_fires(rule, read), hit) for rule, hit in hits]), lambda h: h.isNotNull())
+    return F.get(F.transform(F.array(read), of), F.lit(0))
 
 
 def _hit(rule: Rule) -> Column:
@@ -141,11 +156,9 @@ def _hit(rule: Rule) -> Column:
 
 def scan(path="canon_path", body="canon_body", rules: Sequence[Rule] = tuple(CATALOGUE)) -> Column:
     """Hits in catalogue order. An empty subject never matches."""
-    subject = _subjects(path, body)
-    found = [F.when(_fires(rule, subject), _hit(rule)) for rule in rules]
-    if not found:
+    if not rules:
         return F.array().cast(HIT_TYPE)
-    return F.filter(F.array(*found), lambda h: h.isNotNull())
+    return _found(_read(_subjects(path, body)), [(rule, _hit(rule)) for rule in rules])
 
 
 def rules_table(spark) -> DataFrame:
@@ -197,9 +210,8 @@ def scan_table(df: DataFrame, rules: DataFrame, path="canon_path", body="canon_b
     others = [k for k, words in enumerate(needs) if not words]
     for at in range(0, len(others), chunk):
         name = f"_hits{at}"
-        found = [F.when(_fires(parsed[k], subject), F.struct(F.lit(k).alias("at"), _hit(parsed[k]).alias("hit")))
-                 for k in others[at:at + chunk]]
-        df = df.withColumn(name, F.filter(F.array(*found), lambda h: h.isNotNull()))
+        df = df.withColumn(name, _found(_read(subject), [
+            (parsed[k], F.struct(F.lit(k).alias("at"), _hit(parsed[k]).alias("hit"))) for k in others[at:at + chunk]]))
         pieces.append(name)
     if not pieces:
         return df.withColumn("hits", F.array().cast(HIT_TYPE))

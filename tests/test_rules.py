@@ -135,3 +135,21 @@ def test_rules_with_literals_are_tried_wherever_they_match(spark):
     got = rules.scan_table(df.withColumn("want", rules.scan(rules=own)), table, chunk=5).collect()
     assert all(r["hits"] == r["want"] for r in got) and sum(len(r["want"]) for r in got) > 300
     assert {h["id"] for r in got for h in r["want"]} == {"r0", "r1", "r2", "r3"}
+
+
+def test_rules_are_tried_only_where_their_literals_stand(spark):
+    from reqlens.functions import literals
+    assert literals.all_required(r"<\s*script[\s/>]") == [("script",), ("<",)]
+    assert literals.all_required(r"[;|]\s*(?:cat|ls)(?:x)?") == [("cat", "ls"), (";", "|")]
+    assert literals.all_required(r"\w+[^;]x?") == []
+    texts = ["<SCRIPT>", "<ſcript>", "unıon ſelect", "UNİON SELECT", "x' or 1=1 --", "; lS", "a $(id) `b`",
+             "booK", "<svg é onload=", "/etc/passwd", "{{7*7}}", "plain", "ab " * 30_000 + "<script>"]
+    rows = [(i, "/" + (t if i % 2 else ""), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, canon_path string, canon_body string")
+    subject = {rules.PATH: F.col("canon_path"), rules.BODY: F.col("canon_body"),
+               rules.ANY: F.concat("canon_path", F.lit("\n"), "canon_body")}
+    every = F.array_compact(F.array(*[F.when(subject[r.target].rlike(rules.REGEX_FLAGS + r.pattern), r.id)
+                                      for r in rules.CATALOGUE]))
+    got = df.select(rules.hit_ids(rules.scan()).alias("got"), every.alias("want")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    assert sum(map(len, (r.got for r in got))) > 8
