@@ -127,6 +127,9 @@ def stream_deduplicated(spark, sf):
         "event_id"))
 
 
+SWAP_ROWS = 100_000  # of two files of the replay, about
+
+
 @query("stream_model_swap", with_(REQUESTS_SQL, _COUNTS_SQL) + """
 SELECT CASE WHEN early THEN 'lenient' ELSE 'strict' END AS model_version, CASE WHEN early THEN 0 ELSE 1 END AS batch,
   CASE WHEN burst_count > 4 OR window_count > 8 THEN 'L1-rate' WHEN early THEN '' ELSE 'L4-meta' END AS layer, count(*) AS n
@@ -140,9 +143,10 @@ def stream_model_swap(spark, sf):
     rows = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).select(
         *[F.expr(sql).alias(n) for n, sql in REQUEST_COLUMNS.items()], "ts")
     at = F.unix_micros("ts")
-    middle = rows.agg(F.expr("(min(unix_micros(ts)) + max(unix_micros(ts))) div 2")).first()[0]
-    for part in (rows.filter(at < middle), rows.filter(at >= middle)):  # a file each, in this order
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    middle, n = rows.agg(F.expr("(min(unix_micros(ts)) + max(unix_micros(ts))) div 2"), F.count(F.lit(1))).first()
+    rows.filter(at < middle).repartition(n // SWAP_ROWS + 1).write.parquet(f"{root}/in")
+    files = len(spark.read.schema(rows.schema).parquet(f"{root}/in").inputFiles())  # of the first batch
+    rows.filter(at >= middle).repartition(files).write.mode("append").parquet(f"{root}/in")  # no more than those
 
     store, models = artefacts.Store(f"{root}/models"), _hand_written(spark)
     table = spark.createDataFrame([(n, m, s) for n, (m, s) in models.scaler.items()], SCALER)
@@ -161,7 +165,7 @@ def stream_model_swap(spark, sf):
         if batch_id == 0:
             keep(log, batch_id)
             artefacts.publish(log.sparkSession, store, "strict")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
     streams.score_with_reload(source, store, sink, f"swap{uuid.uuid4().hex}", DAY, available_now=True,
                               resolution_us=1).awaitTermination()
     log = spark.read.schema(EVENT_LOG + ", model_version STRING, query STRING, batch INT").parquet(f"{root}/log")

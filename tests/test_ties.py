@@ -36,3 +36,17 @@ def test_events_at_the_end_of_a_bin(spark, tmp_path):
         F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 300_000_000 + 299_999_600).cast("timestamp_ntz").alias("ts"),
         F.col("id").alias("user_id"), F.lit("view").alias("event_type"), F.lit(3.0).alias("value"), F.lit("{}").alias("props"))
     beside_sql(spark, tmp_path, "traffic_series", events=events)
+
+
+def test_model_swap_batches_of_many_files(spark, tmp_path, monkeypatch):
+    from registry import streams
+    monkeypatch.setattr(streams, "SWAP_ROWS", 60)
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").filter("event_id < 300")
+    beside_sql(spark, tmp_path, "stream_model_swap", events=events)
+    (root,) = {f.rsplit("/in/", 1)[0] for f in _written(spark)}
+    assert len([f for f in _written(spark) if f.startswith(root)]) > 2
+
+
+def _written(spark):
+    import glob
+    return glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/swap-*/in/*.parquet")
