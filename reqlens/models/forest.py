@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from reqlens.schemas import FOREST_NODES
 
 EULER_GAMMA = 0.5772156649015329
+BLOCK = 2_048  # rows scored at a time
 
 
 def mean_path(n):
@@ -104,32 +105,41 @@ class Forest:
         base = nodes["tree"].map(starts).to_numpy()
         leaf = nodes["feature"].to_numpy() < 0
         own = base + nodes["node"].to_numpy()
-        self.roots = starts.to_numpy().astype(np.int32)
+        self.roots = starts.to_numpy().astype(np.int64)
         self.feature = np.where(leaf, 0, nodes["feature"]).astype(np.int32)
         # A leaf points at itself, so walking past it changes nothing.
         self.threshold = np.where(leaf, np.inf, nodes["threshold"])
-        self.left = np.where(leaf, own, base + nodes["left"]).astype(np.int32)
-        self.right = np.where(leaf, own, base + nodes["right"]).astype(np.int32)
-        self.leaf = leaf
-        self.extra = mean_path(nodes["size"].to_numpy())
+        left = np.where(leaf, own, base + nodes["left"]).astype(np.int64)
+        right = np.where(leaf, own, base + nodes["right"]).astype(np.int64)
+        self.child = np.column_stack([left, right]).ravel()
         self.scale = float(mean_path(sample))
-        self.depth = math.ceil(math.log2(max(sample, 2)))
+        # What a walk adds that stops at the node: its depth, and the path of the rows left there.
+        depth, level = np.zeros(len(nodes)), self.roots
+        self.levels = []  # per level, whether a tree goes on below it
+        for at in range(math.ceil(math.log2(max(sample, 2)))):
+            inner = level[~leaf[level]]
+            if not len(inner):
+                break
+            self.levels.append(np.isin(np.arange(len(self.roots)), np.searchsorted(self.roots, inner, side="right") - 1))
+            level = np.concatenate([left[inner], right[inner]])
+            depth[level] = at + 1
+        self.value = depth + mean_path(nodes["size"].to_numpy())
 
     def score(self, X: np.ndarray) -> np.ndarray:
         """2^(-E[h]/c) - 0.5: above 0 is more isolated than average."""
         total = np.zeros(len(X))
-        rows = np.arange(len(X))
-        for root in self.roots:
-            at = np.full(len(X), root, dtype=np.int32)
-            depth = np.zeros(len(X))
-            for _ in range(self.depth):
-                inner = ~self.leaf[at]
-                if not inner.any():
-                    break
-                depth += inner
-                right = X[rows, self.feature[at]] > self.threshold[at]
-                at = np.where(right, self.right[at], self.left[at])
-            total += depth + self.extra[at]
+        width = X.shape[1] if X.ndim == 2 else 0
+        for start in range(0, len(X), BLOCK):  # a block stays in the processor's cache for all trees
+            part = np.ascontiguousarray(X[start:start + BLOCK], dtype=float).ravel()
+            rows = np.arange(0, len(part), width)
+            for tree, root in enumerate(self.roots):
+                at = np.full(len(rows), root)
+                for goes_on in self.levels:
+                    if not goes_on[tree]:
+                        break
+                    right = part.take(rows + self.feature.take(at)) > self.threshold.take(at)
+                    at = self.child.take(2 * at + right)
+                total[start:start + BLOCK] += self.value.take(at)
         mean = total / max(1, len(self.roots))
         return 2.0 ** (-mean / self.scale) - 0.5 if self.scale > 0 else np.zeros(len(X))
 

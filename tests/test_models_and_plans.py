@@ -291,3 +291,26 @@ def test_drift_needs_old_spread(spark):
         return spark.createDataFrame([(mean, std, 1)], RATE_BASELINE)
     assert bl.rate_drift(rate(10.0, 2.0), rate(17.0, 1.0)).first().large
     assert bl.rate_drift(rate(10.0, 0.0), rate(17.0, 1.0)).first().drift is None
+
+
+def test_forest_walks_blocks_as_single_rows():
+    import numpy as np
+    import pandas as pd
+
+    from reqlens.models import forest
+    rng = np.random.default_rng(5)
+    X = np.round(rng.normal(size=(forest.BLOCK + 700, 6)), 1)
+    parts = [(t, *node) for t, k in enumerate((256, 1, 40))
+             for node in forest.grow_tree(X[:k], np.random.default_rng(t))]
+    nodes = pd.DataFrame(parts, columns=["tree", "node", "feature", "threshold", "left", "right", "size"])
+
+    def walk(x, tree):
+        at, depth = tree.loc[0], 0
+        while at.feature >= 0:
+            at, depth = tree.loc[int(at.left if x[int(at.feature)] <= at.threshold else at.right)], depth + 1
+        return depth + float(forest.mean_path(at["size"]))
+    got = forest.Forest(nodes, 256).score(X)
+    trees = [t.set_index("node") for _, t in nodes.groupby("tree")]
+    for i in (0, 17, forest.BLOCK - 1, forest.BLOCK, len(X) - 1):
+        mean = sum(walk(X[i], t) for t in trees) / 3
+        assert got[i] == 2.0 ** (-mean / float(forest.mean_path(256))) - 0.5
