@@ -91,7 +91,11 @@ class RateState(StatefulProcessor):
             out[3] |= us < behind
         session = np.cumsum(fresh)
         starts = np.append(NEVER if start is None else start, us[fresh])
-        first = ~pd.DataFrame({"s": session, "t": templates}).duplicated().to_numpy()
+        met = {}  # a client has few rows in a batch: frames would cost more than the rows
+        for i, pair in enumerate(zip(session.tolist(), templates.tolist())):
+            met.setdefault(pair, i)
+        first = np.zeros(len(us), bool)
+        first[list(met.values())] = True
         for i in np.flatnonzero(first & (session == 0)):  # none without a running session
             seen = self.templates.getValue((templates[i],))
             first[i] = seen is None or seen[0] != start
@@ -141,9 +145,10 @@ class RateState(StatefulProcessor):
             at = edge + 1
         at = 0
         for frame in frames:
-            part = frame[["packed"]].assign(**{c: out[k, at:at + len(frame)] for k, c in enumerate(COUNTS)})
+            passed = frame["kind"].to_numpy() != RESET
+            part = out[:, at:at + len(frame)][:, passed]
             at += len(frame)
-            yield part[(frame["kind"] != RESET).to_numpy()][["packed", *COUNTS]]
+            yield pd.DataFrame({"packed": frame["packed"].to_numpy()[passed], **dict(zip(COUNTS, part))})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._forget()
