@@ -4,7 +4,11 @@ Counts come from ranks, not from sliding frames: a RANGE frame re-reads the whol
 frame for every row, which is quadratic for a flooding client. The rank of an
 event minus the rank of the instant one window earlier is the same number.
 
-Everything but the last join runs over cells (client, microsecond, arrival
+Rows go to their client once, where frames that only grow rank them. Clients of more than
+BUSY requests, at most one per BUSY rows of the input, are too long for one task's pass;
+they take the way below, with the same results.
+
+There, everything but the last join runs over cells (client, microsecond, arrival
 chunk). Cells are combined map-side, so even a third of all rows on one client
 and one instant shrinks to one row per CHUNK arrivals before it is shuffled.
 
@@ -18,9 +22,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from reqlens.config import DEFAULTS, Settings
 
+BUSY = 100_000  # requests of a client, beyond which its time is cut into spans
 CHUNK = 65_536
 SPANS = 60   # of the shortest window
 GROUP = 64   # spans that are carried together
@@ -140,16 +146,60 @@ def _width(settings: Settings) -> int:
     return max(1, min(settings.window_seconds, settings.session_gap_seconds) * SECOND // SPANS)
 
 
+def _by_load(rows: DataFrame, whole, cut) -> DataFrame:
+    """whole(rows) of clients up to BUSY requests, cut(rows) of the others."""
+    busy = F.broadcast(rows.groupBy("_client").agg(F.count(F.lit(1)).alias("_n")).filter(
+        F.col("_n") > BUSY).select("_client"))
+    few, many = (rows.join(busy, "_client", how) for how in ("left_anti", "left_semi"))
+    return _tidy(whole(few)).unionByName(_tidy(cut(many)))
+
+
+def _line() -> WindowSpec:
+    return Window.partitionBy("_client").orderBy("_us", "_arrival")
+
+
+def _counted(rows: DataFrame, settings: Settings) -> DataFrame:
+    """window_count and burst_count by frames that only grow: a client's rank less the
+    events up to one window earlier."""
+    rows = rows.withColumn("_rank", F.row_number().over(_line()).cast("bigint"))
+    times = Window.partitionBy("_client").orderBy("_us")
+    old = {name: F.count(F.lit(1)).over(times.rangeBetween(Window.unboundedPreceding, -back))
+           for name, back in _count_probes(settings).items()}
+    return rows.withColumns(old).withColumns({
+        "window_count": F.col("_rank") - F.col("_w_old"), "burst_count": F.col("_rank") - F.col("_b_old")})
+
+
+def _visited(rows: DataFrame, settings: Settings, template: str) -> DataFrame:
+    """session_start and window_distinct: a template is new if it was last seen before the
+    session's start. Requests of one instant and arrival see each other's templates."""
+    us, line = F.col("_us"), _line()
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_template", F.coalesce(F.col(template), F.lit("/")))
+    rows = rows.withColumn("_seen", F.lag("_us").over(
+        Window.partitionBy("_client", "_template").orderBy("_us", "_arrival")))
+    rows = rows.withColumn("_last", F.lag("_us").over(line))
+    opens = F.col("_last").isNull() | (us - F.col("_last") >= settings.session_gap_seconds * SECOND)
+    rows = rows.withColumn("_opens", opens).withColumn("_start", F.max(F.when(F.col("_opens"), us)).over(so_far))
+    rows = rows.withColumn("_new", F.when(F.coalesce(F.col("_seen") >= F.col("_start"), F.lit(False)), 0).otherwise(1))
+    rows = rows.withColumns({
+        "_known": F.sum("_new").over(so_far),
+        "_total": F.sum("_new").over(line.rangeBetween(Window.unboundedPreceding, Window.currentRow))})
+    rows = rows.withColumn("_base", F.max(F.when(F.col("_opens"), F.col("_known") - 1)).over(so_far))
+    return rows.withColumns({"session_start": F.timestamp_micros("_start"),
+                             "window_distinct": F.col("_total") - F.col("_base")})
+
+
 def sliding_counts(df: DataFrame, settings: Settings = DEFAULTS, client="client", ts="ts",
                    arrival="event_id") -> DataFrame:
     """Adds window_count and burst_count: the client's requests in the half-open
     spans (t - window, t] and (t - burst, t], in arrival order, itself included.
     `arrival` is an integer that orders requests of the same instant."""
-    rows = _keyed(df, client, ts, arrival)
-    cells = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
-    probes, width = _count_probes(settings), _width(settings)
-    timeline = _timeline(cells, probes, width, settings.session_gap_seconds * SECOND)
-    return _tidy(_count_columns(_attach(rows, _ranks(cells, probes, timeline, width))))
+    def cut(rows):
+        cells = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
+        probes, width = _count_probes(settings), _width(settings)
+        timeline = _timeline(cells, probes, width, settings.session_gap_seconds * SECOND)
+        return _count_columns(_attach(rows, _ranks(cells, probes, timeline, width)))
+    return _by_load(_keyed(df, client, ts, arrival), lambda rows: _counted(rows, settings), cut)
 
 
 def _known_before(spans: DataFrame) -> DataFrame:
@@ -198,12 +248,13 @@ def session_distinct(df: DataFrame, settings: Settings = DEFAULTS, client="clien
                      template="template", arrival="event_id") -> DataFrame:
     """Adds session_start and window_distinct: distinct templates the client has
     touched since its last pause of session_gap_seconds or more, exactly."""
-    rows = _keyed(df, client, ts, arrival)
-    grains = _grains(rows, template)
-    cells = grains.groupBy(*KEYS).agg(F.sum("_n").alias("_n"))
-    width = _width(settings)
-    timeline = _timeline(cells, {}, width, settings.session_gap_seconds * SECOND)
-    return _tidy(_session_columns(_attach(rows, _sessions(grains, cells, timeline, width))))
+    def cut(rows):
+        grains = _grains(rows, template)
+        cells = grains.groupBy(*KEYS).agg(F.sum("_n").alias("_n"))
+        width = _width(settings)
+        timeline = _timeline(cells, {}, width, settings.session_gap_seconds * SECOND)
+        return _session_columns(_attach(rows, _sessions(grains, cells, timeline, width)))
+    return _by_load(_keyed(df, client, ts, arrival), lambda rows: _visited(rows, settings, template), cut)
 
 
 def rate_verdict(settings: Settings = DEFAULTS, window="window_count",
@@ -230,13 +281,15 @@ def with_verdict(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 def rate_state(df: DataFrame, settings: Settings = DEFAULTS, client="client", ts="ts",
                template="template", arrival="event_id") -> DataFrame:
     """All rate columns at once: counts, session breadth and the verdict."""
-    rows = _keyed(df, client, ts, arrival)
-    grains = _grains(rows, template)
-    cells = grains.groupBy(*KEYS).agg(F.sum("_n").alias("_n"))
-    probes, width = _count_probes(settings), _width(settings)
-    timeline = _timeline(cells, probes, width, settings.session_gap_seconds * SECOND)
-    found = _ranks(cells, probes, timeline, width).join(_sessions(grains, cells, timeline, width), list(KEYS))
-    return with_verdict(_tidy(_count_columns(_session_columns(_attach(rows, found)))), settings)
+    def cut(rows):
+        grains = _grains(rows, template)
+        cells = grains.groupBy(*KEYS).agg(F.sum("_n").alias("_n"))
+        probes, width = _count_probes(settings), _width(settings)
+        timeline = _timeline(cells, probes, width, settings.session_gap_seconds * SECOND)
+        found = _ranks(cells, probes, timeline, width).join(_sessions(grains, cells, timeline, width), list(KEYS))
+        return _count_columns(_session_columns(_attach(rows, found)))
+    rated = _by_load(_keyed(df, client, ts, arrival), lambda rows: _counted(_visited(rows, settings, template), settings), cut)
+    return with_verdict(rated, settings)
 
 
 def without_counters(df: DataFrame) -> DataFrame:

@@ -125,3 +125,30 @@ def test_a_flood_spreads_over_spans(spark):
     assert [r["_before"] for r in line] == list(range(0, 60_000, 1000)) and {r["_start"] for r in line} == {0}
     out = rates.rate_state(df)
     assert out.filter("window_count <> least(event_id + 1, 60000) or window_distinct <> 1").count() == 0
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("busy", [0, 150, 100_000])
+def test_long_and_short_clients_agree_with_replay(spark, monkeypatch, seed, busy):
+    """Clients cut into spans, clients in one pass, and both in one input."""
+    monkeypatch.setattr(rates, "BUSY", busy)
+    rows = random_rows(seed)
+    want = replay(rows)
+    df = frame(spark, rows)
+    got = {r.event_id: (r.window_count, r.burst_count, r.window_distinct) for r in rates.rate_state(df).collect()}
+    assert got == want
+    counts = {r.event_id: (r.window_count, r.burst_count) for r in rates.sliding_counts(df).collect()}
+    assert counts == {k: v[:2] for k, v in want.items()}
+    distinct = {r.event_id: (r.window_distinct, r.session_start) for r in rates.session_distinct(df).collect()}
+    assert {k: v[0] for k, v in distinct.items()} == {k: v[2] for k, v in want.items()}
+    monkeypatch.setattr(rates, "BUSY", 0)
+    assert distinct == {r.event_id: (r.window_distinct, r.session_start) for r in rates.session_distinct(df).collect()}
+
+
+def test_short_clients_are_shuffled_once(spark):
+    """No client over the bound: after the count of clients, rows go through one exchange."""
+    df = frame(spark, random_rows(5))
+    out = rates.rate_state(df)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert 1 <= plan.count("Exchange hashpartitioning(") <= 2
