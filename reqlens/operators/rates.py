@@ -146,11 +146,14 @@ def _width(settings: Settings) -> int:
     return max(1, min(settings.window_seconds, settings.session_gap_seconds) * SECOND // SPANS)
 
 
-def _by_load(rows: DataFrame, whole, cut) -> DataFrame:
-    """whole(rows) of clients up to BUSY requests, cut(rows) of the others."""
+def _by_load(rows: DataFrame, whole, cut, prepare=None) -> DataFrame:
+    """whole(rows) of clients up to BUSY requests, cut(rows) of the others. `prepare` runs
+    on each part behind the split, so no row takes it twice."""
     busy = F.broadcast(rows.groupBy("_client").agg(F.count(F.lit(1)).alias("_n")).filter(
         F.col("_n") > BUSY).select("_client"))
     few, many = (rows.join(busy, "_client", how) for how in ("left_anti", "left_semi"))
+    if prepare is not None:
+        few, many = prepare(few), prepare(many)
     return _tidy(whole(few)).unionByName(_tidy(cut(many)))
 
 
@@ -279,8 +282,9 @@ def with_verdict(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 
 def rate_state(df: DataFrame, settings: Settings = DEFAULTS, client="client", ts="ts",
-               template="template", arrival="event_id") -> DataFrame:
-    """All rate columns at once: counts, session breadth and the verdict."""
+               template="template", arrival="event_id", prepare=None) -> DataFrame:
+    """All rate columns at once: counts, session breadth and the verdict. `prepare` maps the
+    rows, keeping those that the rates need, before they are shuffled."""
     def cut(rows):
         grains = _grains(rows, template)
         cells = grains.groupBy(*KEYS).agg(F.sum("_n").alias("_n"))
@@ -288,7 +292,8 @@ def rate_state(df: DataFrame, settings: Settings = DEFAULTS, client="client", ts
         timeline = _timeline(cells, probes, width, settings.session_gap_seconds * SECOND)
         found = _ranks(cells, probes, timeline, width).join(_sessions(grains, cells, timeline, width), list(KEYS))
         return _count_columns(_session_columns(_attach(rows, found)))
-    rated = _by_load(_keyed(df, client, ts, arrival), lambda rows: _counted(_visited(rows, settings, template), settings), cut)
+    rated = _by_load(_keyed(df, client, ts, arrival),
+                     lambda rows: _counted(_visited(rows, settings, template), settings), cut, prepare)
     return with_verdict(rated, settings)
 
 

@@ -60,7 +60,8 @@ def score_requests(df: DataFrame, models: ModelSet | None = None,
                    settings: Settings = DEFAULTS) -> DataFrame:
     """Batch scoring."""
     accepted, _ = accept(df, settings)
-    return judge(rates.rate_state(shape(accepted, settings), settings), models, settings)
+    rated = rates.rate_state(accepted, settings, prepare=lambda rows: shape(rows, settings))
+    return judge(rated, models, settings)
 
 
 def event_log(df: DataFrame, models: ModelSet | None = None,

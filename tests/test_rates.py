@@ -152,3 +152,21 @@ def test_short_clients_are_shuffled_once(spark):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert 1 <= plan.count("Exchange hashpartitioning(") <= 2
+
+
+def test_scoring_splits_before_it_reads_texts(spark, monkeypatch):
+    """Long clients take their own way, and no text is decoded for both."""
+    from reqlens.plans import scoring
+    df = frame(spark, random_rows(6)).withColumns({"path": F.col("template"), "body": F.lit("a%2Bb"), "status": F.lit(200)})
+
+    def scored(busy):
+        monkeypatch.setattr(rates, "BUSY", busy)
+        out = scoring.score_requests(df)
+        return out, sorted(map(str, out.select("event_id", "window_count", "window_distinct", "layer", "path_len",
+                                               "body_entropy", "session_start").collect()))
+    _, want = scored(100_000)
+    out, got = scored(150)
+    assert got == want
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    payload, split = (next(i for i, x in enumerate(lines) if mark in x) for mark in ("ArrowEvalPython [payload", "LeftAnti"))
+    assert payload < split
