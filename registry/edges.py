@@ -127,9 +127,8 @@ def deep_encoding(spark, sf):
                    F.lit(")"), mark, F.lit("3C/script"), mark, F.lit("3E"))
     df = table(spark, sf, "events").select("event_id", F.lit("/").alias("path"), F.lit("").alias("query"),
                                            raw.alias("body"))
-    decoded = df.select("event_id", text.url_decode_loop("body").alias("decoded"))
-    hits = scoring.shape(df, measured=False).select("event_id", F.array_join(rules.hit_ids(), ",").alias("ids"))
-    return decoded.join(hits, "event_id")
+    shaped = scoring.shape(df.withColumn("decoded", text.url_decode_loop("body")), measured=False)
+    return shaped.select("event_id", "decoded", F.array_join(rules.hit_ids(), ",").alias("ids"))
 
 
 # ── the batch path ───────────────────────────────────────────────────────────

@@ -39,14 +39,28 @@ HEX_SEGMENT = r"(?di)^[0-9a-f]{16,}$"
 
 # ── canonical form ───────────────────────────────────────────────────────────
 
+def _links(text: str) -> int:
+    """The rounds in which decoding does no more than take a link off every chain."""
+    marks = text.count("%")
+    if not marks or text.count("%25") < marks:
+        return 0
+    return min(map(len, _CHAIN.findall(text))) // 2
+
+
 def _decode(text: str) -> str:
     """Decodes until nothing changes. Every change uses up a "%" or "+", so it
-    ends; a chain "%252525..." loses one link a round, so long ones are cut short."""
+    ends; a chain "%252525..." loses one link a round, so long ones are cut short.
+    Rounds that only shorten chains are taken at once."""
     rounds = 0
-    while (decoded := unquote_plus(text)) != text:
+    while True:
+        if links := _links(text):
+            rounds += links
+            text = text.replace("+", " ")
+            text = text.replace("%" + "25" * links, "%") if rounds < PLAIN_ROUNDS else _CHAIN.sub("%", text)
+        if (decoded := unquote_plus(text)) == text:
+            return text
         rounds += 1
         text = decoded if rounds < PLAIN_ROUNDS else _CHAIN.sub("%", decoded)
-    return text
 
 
 def _normal(text: str) -> str:

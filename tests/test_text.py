@@ -117,3 +117,26 @@ def test_sql_names(spark):
     r = spark.sql("SELECT payload_canonical('A%2BB  c'), payload_normalize('&lt;X'), "
                   "payload_decode('%2541'), text_entropy('abab')").first()
     assert list(r) == ["a b c", "<X", "A", 1.0]
+
+
+def test_chains_are_shortened_at_once(monkeypatch):
+    """As many rounds in one step as a round by round decoding would take, with its results."""
+    import random
+    from urllib.parse import unquote_plus
+
+    def by_rounds(value):
+        rounds = 0
+        while (decoded := unquote_plus(value)) != value:
+            rounds += 1
+            value = decoded if rounds < text.PLAIN_ROUNDS else text._CHAIN.sub("%", decoded)
+        return value
+
+    rng = random.Random(7)
+    parts = ["a", "+", "%", "%2", "%25", "3C", "25", "%C3", "A9", "%252B", "%2525", "%25252525252525252525", "\u00e9", "2525"]
+    values = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(30_000)]
+    values += ["%" + "25" * k + "C3%" + "25" * j + "A9+" for k in range(14) for j in range(14)]
+    assert [text._decode(v) for v in values] == [by_rounds(v) for v in values]
+
+    calls = []
+    monkeypatch.setattr(text, "unquote_plus", lambda v: calls.append(v) or unquote_plus(v))
+    assert text._decode("a+%25252525253Cb%25252525253E") == "a <b>" and len(calls) == 2
