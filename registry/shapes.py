@@ -178,7 +178,8 @@ def feature_vector(spark, sf):
 def feature_vector_pages(spark, sf):
     """Features of whole pages posted as bodies, with real encodings in them."""
     df = page_requests(spark, sf).select("page_id", "path", "query", F.col("html").alias("body"))
-    df = text.with_payload(shaping.to_request(df)).withColumns({
+    df = shaping.to_request(df).withColumns({  # features need no canonical body
+        "path_decode_delta": text.decode_delta("path"), "q_decode_delta": text.decode_delta("query"),
         "body_mean": F.lit(None).cast("double"), "body_std": F.lit(None).cast("double"),
         "path_known": F.lit(1.0), "window_distinct": F.lit(1), "n_flags": F.lit(0)})
     return features.with_features(df).select("page_id", *[r6(n).alias(n) for n in FEATURE_NAMES])

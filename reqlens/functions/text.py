@@ -13,6 +13,7 @@ from urllib.parse import unquote_plus
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -254,9 +255,12 @@ def _bits(s: str) -> float:
 
 
 def entropy_udf():
-    def bits(values: pd.Series) -> pd.Series:
-        return pd.Series([None if not v else _bits(v) for v in values], dtype="float64")
-    return F.pandas_udf(bits, "double")
+    """Over Arrow values as they are: one text at a time becomes a string."""
+    def bits(values: pa.Array) -> pa.Array:
+        texts = (v.as_py() for v in values)
+        return pa.array([None if not t else _bits(t) for t in texts], pa.float64())
+    bits.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(bits, "double")
 
 
 def shannon_entropy(text) -> Column:

@@ -76,3 +76,18 @@ def test_truncation_keeps_whole_characters(spark, cap, want):
     from reqlens.config import DEFAULTS
     df = spark.createDataFrame([("éézz",)], "body string")
     assert requests.truncate_body(df, DEFAULTS.but(inspect_bytes=cap)).first().body == want
+
+
+def test_page_features_send_bodies_to_python_once(spark):
+    """Only the entropy reads whole bodies in Python, and as Arrow values."""
+    import __spark_entry__ as contract
+    plan = contract.queries()["feature_vector_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "payload(" not in plan and "bits(" in plan
+
+
+def test_entropy_of_arrow_values(spark):
+    df = spark.createDataFrame([(None,), ("",), ("aa",), ("ab",), ("\u00e9\U0001F600",)], "t string")
+    assert [r.e for r in df.select(text.shannon_entropy("t").alias("e")).collect()] == [0.0, 0.0, 0.0, 1.0, 1.0]
+    from reqlens.functions.register import register
+    register(spark)
+    assert spark.sql("SELECT text_entropy('abcd') AS e").first().e == 2.0
