@@ -10,6 +10,8 @@ from reqlens.config import DEFAULTS, Settings
 from reqlens.functions import rules, scalars
 from reqlens.schemas import ENDPOINT_BASELINE
 
+SHARES = 16  # of a template's rows in the join
+
 
 @dataclass(frozen=True)
 class Baseline:
@@ -51,9 +53,16 @@ def build_baseline(df: DataFrame, settings: Settings = DEFAULTS) -> Baseline:
 
 def join_endpoints(df: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Left join on template. No broadcast hint: the baseline grows with the API,
-    so its measured size decides, and a hot template is split by AQE."""
+    so its measured size decides. A template's rows are dealt over SHARES by hash, as an
+    API of few templates would else keep as few tasks busy with all that follows."""
     keep = endpoints.select("template", "body_mean", "body_std", F.lit(True).alias("_known"))
-    return df.drop("body_mean", "body_std").join(keep, "template", "left")
+    df = df.drop("body_mean", "body_std")
+    told_apart = [c for c in ("event_id", "client", "ts", "path", "body_size") if c in df.columns]
+    if not told_apart:
+        return df.join(keep, "template", "left")
+    df = df.withColumn("_share", F.pmod(F.xxhash64(*told_apart), F.lit(SHARES)))
+    keep = keep.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SHARES - 1).cast("bigint"))))
+    return df.join(keep, ["template", "_share"], "left").drop("_share")
 
 
 def apply_baseline(df: DataFrame, baseline: Baseline) -> DataFrame:

@@ -91,3 +91,16 @@ def test_entropy_of_arrow_values(spark):
     from reqlens.functions.register import register
     register(spark)
     assert spark.sql("SELECT text_entropy('abcd') AS e").first().e == 2.0
+
+
+def test_rows_of_one_template_are_dealt_over_tasks(spark):
+    df = spark.range(4_000).select(F.col("id").alias("event_id"), F.lit("/a").alias("template"), F.lit(4).alias("body_size"))
+    endpoints = spark.createDataFrame([("/a", 3.0, 1.0, 9)], "template string, body_mean double, body_std double, n long")
+    out = bl.join_endpoints(df.repartition(4), endpoints.hint("shuffle_hash"))
+    assert out.filter("body_mean = 3 AND _known").count() == 4_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = out.select(F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.p for r in tasks}) > 1
