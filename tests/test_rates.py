@@ -170,3 +170,14 @@ def test_scoring_splits_before_it_reads_texts(spark, monkeypatch):
     lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     payload, split = (next(i for i, x in enumerate(lines) if mark in x) for mark in ("ArrowEvalPython [payload", "LeftAnti"))
     assert payload < split
+
+
+def test_scoring_short_clients_reads_and_shuffles_once(spark):
+    """No client over the bound: texts are decoded once, and scored rows go through one exchange."""
+    from reqlens.plans import scoring
+    df = frame(spark, random_rows(7)).withColumns({"path": F.col("template"), "body": F.lit("a%2Bb"), "status": F.lit(200)})
+    out = scoring.score_requests(df)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert 1 <= plan.count("Exchange hashpartitioning(") <= 2
+    assert plan.count("ArrowEvalPython [payload") == 1
